@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, sketch, url_filter
+from . import sharding, simhash, sketch, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
+    "op6_simhash": simhash.op6_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op9_fingerprint": sketch.op9_fingerprint,
 }
