@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lang_id, quality, sharding, simhash, sketch, url_filter
+from . import lang_id, packing, quality, sharding, simhash, sketch, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": lang_id.op3_language_id,
+    "op4_packing": packing.op4_packing,
     "op6_simhash": simhash.op6_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op9_fingerprint": sketch.op9_fingerprint,
