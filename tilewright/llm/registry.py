@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lang_id, packing, quality, sharding, simhash, sketch, url_filter
+from . import decontam, lang_id, packing, quality, sharding, simhash, sketch, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": lang_id.op3_language_id,
     "op4_packing": packing.op4_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op9_fingerprint": sketch.op9_fingerprint,
     "op10_quality": quality.op10_quality,
@@ -16,4 +17,5 @@ QUERIES = {
 
 SQL = {
     "op2_url_filter": url_filter.SQL,
+    "op7_decontamination": decontam.SQL,
 }
