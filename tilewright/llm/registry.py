@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, lang_id, packing, quality, sharding, simhash, sketch, url_filter
+from . import decontam, lang_id, packing, quality, sharding, simhash, sketch, url_filter, warc
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": lang_id.op3_language_id,
     "op4_packing": packing.op4_packing,
+    "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
@@ -17,5 +18,6 @@ QUERIES = {
 
 SQL = {
     "op2_url_filter": url_filter.SQL,
+    "op5_warc": warc.SQL,
     "op7_decontamination": decontam.SQL,
 }
