@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, lang_id, packing, quality, sharding, simhash, sketch, url_filter, warc
+from . import decontam, lang_id, license_scan, packing, quality, sharding, simhash, sketch, url_filter, warc
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": lang_id.op3_language_id,
     "op4_packing": packing.op4_packing,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_license_scan": license_scan.SQL,
     "op2_url_filter": url_filter.SQL,
     "op5_warc": warc.SQL,
     "op7_decontamination": decontam.SQL,
