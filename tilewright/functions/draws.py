@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Marks the stream of epoch orders and that of composites off from the examples' own. Fixed values.
 ORDER_STREAM = 0xFFFFFFFF
@@ -39,7 +40,7 @@ def seed_words(*entropy: int) -> int:
     return int(np.random.SeedSequence([int(x) for x in entropy]).generate_state(1)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _seed(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([int(np.random.SeedSequence([int(x), int(y), int(z)]).generate_state(1)[0]) for x, y, z in zip(a, b, c)], dtype="int64")
 

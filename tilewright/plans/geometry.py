@@ -6,17 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..operators import detections as ops
-from .views import DET, FRAME_H, FRAME_W, TOP3, detections, flat, ord_columns
-
-B = F.col("box")
+from .views import DET, FRAME_H, FRAME_W, TOP3, box, detections, flat, ord_columns
 
 
 def box_geometry(spark, sf):
     d = detections(spark, sf)
-    cx, cy = boxes.center(B)
+    cx, cy = boxes.center(box())
     return d.select(
-        "frame", *ord_columns(d), boxes.width(B).alias("w"), boxes.height(B).alias("h"), cx.alias("cx"), cy.alias("cy"), boxes.area(B).alias("area"),
-        *flat(boxes.expanded(B, 0.15), "e_"), *flat(boxes.shifted(B, 3.5, -2.25), "s_"), *flat(boxes.scaled(B, 0.5), "z_"),
+        "frame", *ord_columns(d), boxes.width(box()).alias("w"), boxes.height(box()).alias("h"), cx.alias("cx"), cy.alias("cy"), boxes.area(box()).alias("area"),
+        *flat(boxes.expanded(box(), 0.15), "e_"), *flat(boxes.shifted(box(), 3.5, -2.25), "s_"), *flat(boxes.scaled(box(), 0.5), "z_"),
     )
 
 
@@ -30,7 +28,7 @@ BOX_GEOMETRY = BOX_GEOMETRY.replace("+ 3.5", "+ 3.5::DOUBLE").replace("- 2.25",
 
 def box_clip_round(spark, sf):
     d = detections(spark, sf)
-    grown = boxes.expanded(B, 0.13)
+    grown = boxes.expanded(box(), 0.13)
     return d.select("frame", *ord_columns(d), *flat(boxes.clipped(grown, FRAME_W, FRAME_H), "c_"), *flat(boxes.rounded(grown), "r_"), F.get(boxes.as_int(grown), F.lit(2)).alias("slice_x1"))
 
 
@@ -43,7 +41,7 @@ SELECT frame, ln, pk, sk, round(greatest(0.0::DOUBLE, least(a, 640::DOUBLE)), 6)
 
 def box_iou_pairs(spark, sf):
     d = detections(spark, sf)
-    a, b = d.select("frame", F.col("ord").alias("oa"), B.alias("a")), d.select("frame", F.col("ord").alias("ob"), B.alias("b"))
+    a, b = d.select("frame", F.col("ord").alias("oa"), box().alias("a")), d.select("frame", F.col("ord").alias("ob"), box().alias("b"))
     both = a.join(b, "frame").where("oa < ob")
     iou = F.round(boxes.iou(F.col("a"), F.col("b")), 9)
     return both.select("frame", F.col("oa.ln").alias("ln"), F.col("oa.pk").alias("pk"), F.col("oa.sk").alias("sk"), F.col("ob.pk").alias("other_pk"), F.col("ob.sk").alias("other_sk"), iou.alias("iou")).where("iou > 0")
@@ -59,7 +57,7 @@ SELECT frame, ln, pk, sk, other_pk, other_sk, round(inter / (areas - inter), 9)
 def finalize_boxes(spark, sf):
     d = ops.finalize(detections(spark, sf), ["A", "R"], {"R": "ship"}, 12.0, (FRAME_W, FRAME_H))
     d = ops.rank(d, "frame")
-    return d.select("frame", "n", *ord_columns(d), *flat(B), B["label"].alias("label"))
+    return d.select("frame", "n", *ord_columns(d), *flat(box()), box()["label"].alias("label"))
 
 
 _CLIP = "greatest(0.0::DOUBLE, least(x0, 640::DOUBLE)) AS x0, greatest(0.0::DOUBLE, least(y0, 512::DOUBLE)) AS y0, greatest(0.0::DOUBLE, least(x1, 640::DOUBLE)) AS x1, greatest(0.0::DOUBLE, least(y1, 512::DOUBLE)) AS y1"
@@ -75,7 +73,7 @@ def chosen(spark, sf, top: int | None = None):
 
 def select_topk(spark, sf):
     d = chosen(spark, sf, 3)
-    return d.select("frame", "n", *ord_columns(d), *flat(B), B["score"].alias("score"))
+    return d.select("frame", "n", *ord_columns(d), *flat(box()), box()["score"].alias("score"))
 
 
 SELECT_TOPK = f"WITH {TOP3} SELECT frame, n, ln, pk, sk, x0, y0, x1, y1, score FROM top3"
@@ -111,7 +109,7 @@ SELECT frame, n, round((x0 - wx) * s, 6) + 0.0::DOUBLE AS d_x0, round((y0 - wy)
 
 def roi_zoom(spark, sf):
     d = chosen(spark, sf, 3)
-    return d.select("frame", "n", *flat(boxes.roi(B, FRAME_W, FRAME_H), "r_"), *flat(boxes.zoom(B, FRAME_W, FRAME_H), "z_"))
+    return d.select("frame", "n", *flat(boxes.roi(box(), FRAME_W, FRAME_H), "r_"), *flat(boxes.zoom(box(), FRAME_W, FRAME_H), "z_"))
 
 
 _Z = lambda e, hi: f"round(greatest(0.0::DOUBLE, least({e}, {hi}::DOUBLE)), 6)"
@@ -125,7 +123,7 @@ def letterbox_roundtrip(spark, sf):
     d = detections(spark, sf)
     w, h = (F.col("frame") % 700 + 100).cast("double"), (F.col("ord.pk") % 500 + 80).cast("double")
     g = boxes.letterbox(w, h, 416)
-    into = boxes.each_corner(B, lambda x: x * F.col("g.sx") + F.col("g.left"), lambda y: y * F.col("g.sy") + F.col("g.top"))
+    into = boxes.each_corner(box(), lambda x: x * F.col("g.sx") + F.col("g.left"), lambda y: y * F.col("g.sy") + F.col("g.top"))
     d = d.withColumn("g", g).withColumn("sq", into)
     back = boxes.undo_letterbox(F.col("sq"), F.col("g"))
     return d.select("frame", *ord_columns(d), F.round("g.sx", 9).alias("sx"), F.round("g.sy", 9).alias("sy"), "g.left", "g.top", *flat(F.col("sq"), "q_"), *flat(back, "b_"))
@@ -141,7 +139,7 @@ SELECT frame, ln, pk, sk, round(sx, 9) AS sx, round(sy, 9) AS sy, "left", top, r
 
 def nms_fold(spark, sf):
     d = ops.suppress(detections(spark, sf).withColumn("frame", F.col("frame") % 3000), 0.3, "frame")
-    return d.select("frame", F.col("ord").cast("bigint").alias("rank"), *flat(B), B["score"].alias("score"), B["label"].alias("label"))
+    return d.select("frame", F.col("ord").cast("bigint").alias("rank"), *flat(box()), box()["score"].alias("score"), box()["label"].alias("label"))
 
 
 NMS_FOLD = f"""WITH {DET}, lists AS (
@@ -158,17 +156,17 @@ FROM (SELECT frame, b, unnest(range(1, len(b) + 1)) AS i FROM kept)"""
 
 def raw_predictions(spark, sf):
     d = detections(spark, sf)
-    cx, cy = boxes.center(B)
+    cx, cy = boxes.center(box())
     p = lambda k: ((F.col("ord.pk") * k + F.col("ord.sk")) % 100).cast("double") / 100
     return d.select(
-        (F.col("frame") % 3000).alias("frame"), "ord", (cx * 0.65).alias("cx"), (cy * 0.65 + 41).alias("cy"), (boxes.width(B) * 0.65).alias("w"), (boxes.height(B) * 0.65).alias("h"),
-        B["score"].alias("obj"), F.array(p(3), p(7), p(11)).alias("cls"), F.lit(640.0).alias("frame_w"), F.lit(512.0).alias("frame_h"),
+        (F.col("frame") % 3000).alias("frame"), "ord", (cx * 0.65).alias("cx"), (cy * 0.65 + 41).alias("cy"), (boxes.width(box()) * 0.65).alias("w"), (boxes.height(box()) * 0.65).alias("h"),
+        box()["score"].alias("obj"), F.array(p(3), p(7), p(11)).alias("cls"), F.lit(640.0).alias("frame_w"), F.lit(512.0).alias("frame_h"),
     )
 
 
 def decode_predictions(spark, sf):
     d = ops.decode(raw_predictions(spark, sf), ["boat", "buoy", "bird"], ["boat", "bird"], 0.5, 0.45, 416, "frame")
-    return d.select("frame", *flat(B, digits=5), F.round(B["score"], 6).alias("score"), B["label"].alias("label"))
+    return d.select("frame", *flat(box(), digits=5), F.round(box()["score"], 6).alias("score"), box()["label"].alias("label"))
 
 
 DECODE = f"""WITH {DET}, raw AS (
@@ -195,7 +193,7 @@ SELECT frame, round(x0, 5) + 0.0::DOUBLE AS x0, round(y0, 5) + 0.0::DOUBLE AS y0
 
 def single_batch_agreement(spark, sf):
     one = detections(spark, sf)
-    moved = boxes.shifted(B, F.when(F.col("ord.pk") % 17 == 0, F.lit(2.0)).otherwise(F.lit(0.25)), 0)
+    moved = boxes.shifted(box(), F.when(F.col("ord.pk") % 17 == 0, F.lit(2.0)).otherwise(F.lit(0.25)), 0)
     relabelled = boxes.make(*[moved[c] for c in boxes.CORNERS], moved["score"], F.when(F.col("ord.sk") % 13 == 0, F.lit("x")).otherwise(moved["label"]))
     many = one.where(F.col("ord.pk") % 29 != 0).withColumn("box", relabelled)
     out = ops.agreement(one, many, "frame")

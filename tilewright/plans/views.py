@@ -44,6 +44,10 @@ CHOSEN = (
 TOP3 = CHOSEN + ", top3 AS (SELECT * FROM chosen WHERE n < 3)"
 
 
+def box() -> Column:
+    return F.col("box")
+
+
 def ord_columns(df: DataFrame) -> list[Column]:
     return [F.col("ord.ln").alias("ln"), F.col("ord.pk").alias("pk"), F.col("ord.sk").alias("sk")]
 
