@@ -39,6 +39,8 @@ from .common import stage, table
 WINDOW = 1024
 QUANTUM = 64
 QUEUES = 256
+#: Rows of the table of queue starts (queues x partitions) that are broadcast at most.
+BROADCAST = 200_000
 
 
 def default_vocabulary() -> str:
@@ -189,7 +191,9 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
     tokens = tokenized(docs, queues, vocabulary, sources)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("queue", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    starts = stage(parts.select("queue", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base")), "queue-starts")
+    if starts.count() <= BROADCAST:  # else the ids are shuffled once
+        starts = F.broadcast(starts)
     width = max(queues, len(sources)) + 1
     lengths = np.zeros(width, np.int64)
     for r in parts.groupBy("queue").agg(F.sum("tokens").alias("n")).collect():  # at most queues + 1 rows
