@@ -71,9 +71,11 @@ def as_hex(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, blocks: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, derived: dict[str, Column] | None = None, blocks: int | None = None) -> DataFrame:
     """df with next_<c> of the row that follows in the order, for each carried column; after the last comes the first.
 
+    derived: further carried columns, worked out from a row once it is read, and only for rows that are sent.
+
     Rows are cut into blocks at quantiles of the order column and ranked within them,
     so one shuffle does and no task holds all rows; of each block only its first row
     is sent to the block before.
@@ -85,10 +87,16 @@ def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, blocks
     block = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col(order) > c, 1).otherwise(0)) if cuts else F.lit(0)
     df = df.withColumn("__block", block).withColumn("__tie", tie)
     ranked = Window.partitionBy("__block").orderBy(F.col(order).asc_nulls_first(), "__tie")
+    derived = derived or {}
+    firsts = df.select("__block", F.struct(F.col(order).alias("o"), F.col("__tie").alias("t")).alias("first")).groupBy("__block").agg(F.min("first").alias("f"))
+    firsts = F.broadcast(firsts.select(F.col("__block").alias("__b"), F.col("f.o").alias("__o"), F.col("f.t").alias("__t")))  # blocks rows at most
+    met = (F.col("__block") == F.col("__b")) & F.col(order).eqNullSafe(F.col("__o")) & (F.col("__tie") == F.col("__t"))
+    heads = df.join(firsts, met).dropDuplicates(["__block"]).select("__block", F.struct(*carried).alias("h"))
+    heads = heads.select("__block", "h.*").withColumns(derived).select("__block", F.struct(*carried, *derived).alias("__head"))
+    df = df.withColumns(derived)
+    carried = [*carried, *derived]
     rows = df.withColumn("__next", F.lead(F.struct(*carried)).over(ranked)).withColumn("__last", F.lead(F.lit(1)).over(ranked).isNull())
-    firsts = df.withColumn("__rank", F.row_number().over(ranked)).where("__rank = 1")
     around = Window.orderBy("__block")
-    heads = firsts.select("__block", F.struct(*carried).alias("__head"))
     # one row a block: blocks are bounded by the number of partitions
     ids = heads.select("__block", F.coalesce(F.lead("__block").over(around), F.first("__block").over(around)).alias("__after"))
     after = ids.join(heads.withColumnRenamed("__block", "__after"), "__after").select("__block", "__head")
@@ -99,8 +107,8 @@ def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, blocks
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sketch against that of its edited text and of the next document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sk", sketch(F.col("text")))
-    rows = with_next(docs, "doc_id", ["text", "sk"], F.xxhash64("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(docs, "doc_id", ["text"], F.xxhash64("text"), {"sk": sketch(F.col("text"))})
     cut = F.floor(F.char_length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     rows = rows.withColumn("edited", edited).withColumn("edited_sk", sketch(F.col("edited")))
