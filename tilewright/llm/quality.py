@@ -182,11 +182,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
-    """A machine fitted on about `sample` of the labelled rows. docs: doc_id, text; labels: doc_id, quality."""
+    """A machine fitted on about `sample` of the labelled rows. docs: doc_id, text; labels: doc_id, quality.
+
+    The labels are sampled before they meet the texts, so they are few enough to broadcast and no text is shuffled.
+    """
     labels = labels.select("doc_id", "quality").where("quality is not null")
-    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", "quality")
     n = labels.count()
-    rows = rows.where(row_share(F.col("doc_id"), F.col("quality"), F.lit("fm")) < min(1.0, sample / max(n, 1)))
+    few = labels.where(row_share(F.col("doc_id"), F.col("quality"), F.lit("fm")) < min(1.0, sample / max(n, 1)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
