@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage, table
+from .common import ascii_lower, let, stage, table
 
 SIZE = 10
 DEPTH = 2
@@ -103,8 +103,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = SIZE, depth: int = DE
     named = places.join(small(wins), "window").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "words", "items")).alias("places"))
     named = stage(named, "candidates")
     texts = docs.select("text", *key_of(F.col("text"))).join(small(named.select("k1", "k2")), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    texts = texts.join(named, ["k1", "k2"]).withColumn("w", words(F.col("text")))
-    real = F.filter("places", lambda p: F.slice(F.col("w"), p["start"] + 1, F.size(p["words"])) == p["words"])
+    texts = texts.join(named, ["k1", "k2"])
+    real = let(words(F.col("text")), lambda w: F.filter("places", lambda p: F.slice(w, p["start"] + 1, F.size(p["words"])) == p["words"]))
     spans = F.array_sort(F.transform(real, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.size(p["words"])).alias("end"), p["items"].alias("items"))))
     return texts.select("k1", "k2", spans.alias("found")).where("size(found) > 0")
 
