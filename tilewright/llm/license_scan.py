@@ -66,7 +66,7 @@ def terms(text: Column) -> Column:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """(file, unit): the texts of each file that are held against templates; files: file, path, text."""
+    """(file, unit, key): the texts of each file that are held against templates, and the md5 they are known by; files: file, path, text."""
     name = F.element_at(F.split(ascii_lower(F.coalesce("path", F.lit(""))), "/"), -1)
     low = files.select("file", name.rlike(LICENCE_FILE).alias("whole"), ascii_lower(F.col("text")).alias("low")).where(F.col("whole") | has_cue(F.col("low")))
     marked = F.transform(F.split("low", "\r?\n"), lambda x: F.when(has_cue(x), F.trim(x)).otherwise(F.lit("")))
@@ -74,12 +74,12 @@ def units(files: DataFrame) -> DataFrame:
     # runs of lines with cues stand between empty ones
     runs = F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda x: F.trim(F.regexp_replace(x, "\n", " "))), lambda x: x != "")
     whole = F.when(F.col("whole"), F.array(F.trim("low"))).otherwise(F.array().cast("array<string>"))
-    return low.select("file", F.explode(F.array_distinct(F.concat(lines, runs, whole))).alias("unit")).where("unit != ''")
+    return low.select("file", F.explode(F.array_distinct(F.concat(lines, runs, whole))).alias("unit")).where("unit != ''").withColumn("key", F.md5("unit"))
 
 
 def scored(texts: DataFrame, templates: DataFrame) -> DataFrame:
-    """(unit, licence, score): the best template of each unit text. texts: unit, n (how often it occurs)."""
-    bag = texts.select("unit", "n", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, licence, score): the best template of each unit. texts: key, unit, n (how often it occurs)."""
+    bag = texts.select("key", "n", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     bag = stage(bag, "unit-terms")
     df = bag.groupBy("term").agg(F.sum("n").alias("df"))
     total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_units"))  # one row
@@ -89,12 +89,12 @@ def scored(texts: DataFrame, templates: DataFrame) -> DataFrame:
     index = stage(index.join(df, "term", "left").join(F.broadcast(total)).select("template", "licence", "term", (F.col("tf") * idf).alias("weight")), "template-index")
     few = (lambda x: F.broadcast(x)) if index.count() <= BROADCAST else (lambda x: x)
     lengths = index.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("template_norm"))
-    weighed = stage(bag.join(df, "term").join(F.broadcast(total)).select("unit", "term", (F.col("tf") * idf).alias("w")), "unit-weights")
-    norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(few(index), "term").groupBy("unit", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    weighed = stage(bag.join(df, "term").join(F.broadcast(total)).select("key", "term", (F.col("tf") * idf).alias("w")), "unit-weights")
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(few(index), "term").groupBy("key", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm") / F.col("template_norm"), 6)
-    best = dots.join(norms, "unit").join(few(lengths), "template").groupBy("unit").agg(F.min(F.struct((-cosine).alias("s"), "licence")).alias("b"))
-    return best.select("unit", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    best = dots.join(norms, "key").join(few(lengths), "template").groupBy("key").agg(F.min(F.struct((-cosine).alias("s"), "licence")).alias("b"))
+    return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -110,10 +110,11 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFr
     keyed = files.select(F.struct(*own).alias("row"), name.alias("file"), F.col("path"), F.col("text"))
     parts = stage(units(keyed.select(F.struct("file", "path").alias("file"), "path", "text")).distinct(), "licence-units")
     rows = keyed.select(F.struct("file", "path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("copies"))
-    texts = stage(parts.join(rows, "file").groupBy("unit").agg(F.sum("copies").alias("n")), "licence-texts")
+    counts = parts.select("file", "key").join(rows, "file").groupBy("key").agg(F.sum("copies").alias("n"))
+    texts = stage(parts.select("key", "unit").distinct().join(counts, "key"), "licence-texts")
     known = stage(scored(texts, templates).where(F.col("score") >= least), "licence-scores")
     few = F.broadcast(known) if known.count() <= BROADCAST else known
-    found = parts.join(few, "unit").groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    found = parts.select("file", "key").join(few, "key").groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     found = stage(found.select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score")), "file-licences")
 
     base = F.element_at(F.split(ascii_lower(F.col("file.path")), "/"), -1)
