@@ -46,6 +46,27 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Have texts handed to Python in batches of a few MB, unless the session asks for another size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, str(64 << 20)).rstrip("bB") == str(64 << 20):  # Spark's own default
+        spark.conf.set(name, str(8 << 20))
+
+
+def tidy() -> None:
+    """Give freed memory of a Python worker back, as workers outlive their tasks."""
+    import ctypes
+    import sys
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body uses it."""
     return F.transform(F.array(value), body)[0]

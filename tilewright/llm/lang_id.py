@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, row_share, table
+from .common import crc_remainder, in_small_batches, row_share, table, tidy
 
 MAX_ORDER = 3
 #: Training texts of each language, about.
@@ -166,6 +166,7 @@ class Model:
 
 def count_grams(docs: DataFrame, max_order: int) -> DataFrame:
     """(lang, ord, gram, n): how often each byte followed each context in the texts of each language."""
+    in_small_batches(docs.sparkSession)
     pad = b"\n" * max_order
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,6 +228,7 @@ def train(docs: DataFrame, max_order: int = MAX_ORDER, sample: int = SAMPLE) ->
 
 def predict(model: Model | None, text: Column, spark: SparkSession) -> Column:
     """struct<lang_pred string, score double, bits double>: the language, its posterior probability, and bits a byte of its code."""
+    in_small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, bits double")
@@ -244,6 +246,7 @@ def predict(model: Model | None, text: Column, spark: SparkSession) -> Column:
                 out.loc[some, "score"] = 1.0 / np.exp2(np.maximum(-(length - least[:, None]) / UNIT, -1000.0)).sum(axis=1)
                 out.loc[some, "bits"] = least / UNIT / np.array([len(data[i]) for i in some])
             yield out
+        tidy()
 
     return of(text)
 

@@ -26,19 +26,26 @@ source that isn't named are its natural share.
 
 from __future__ import annotations
 
+import json
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import stage, table
+from .common import in_small_batches, stage, table, tidy
 
 WINDOW = 1024
 QUANTUM = 64
 QUEUES = 256
+#: How a byte-level vocabulary cuts a text before it merges. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows of the table of queue starts (queues x partitions) that are broadcast at most.
 BROADCAST = 200_000
 
@@ -49,56 +56,62 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(vocabulary: str):
-    """(text -> array of ids as the tokenizer file defines them, the type that holds an id).
+def probe(vocabulary: str) -> tuple[bool, list[str], str]:
+    """Whether tiktoken gives the ids of a tokenizer file, its special tokens' strings, and the type that holds an id.
 
-    A byte-level vocabulary is also run by tiktoken, which gives the same ids several
-    times faster; texts with a special token's string go to the tokenizer itself, as do
-    all texts if the file is of another kind or the two differ on a probe.
+    It does for byte-level vocabularies, several times faster; a text of many kinds of
+    characters must come out alike.
     """
-    import json
-    import sys
-    import types
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    exact = Tokenizer.from_file(vocabulary)
+    specials = [t["content"] for t in spec.get("added_tokens", [])]
+    pre = spec.get("pre_tokenizer") or {}
+    text = "It's  the 12th\n\n\tprobe: naïve Ünïcödé, 東京 🙂 don't_stop! "
+    alike = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not spec.get("normalizer")
+    alike = alike and byte_level(vocabulary).encode_ordinary(text) == exact.encode(text, add_special_tokens=False).ids
+    return alike, specials, "<u2" if exact.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def byte_level(vocabulary: str) -> tiktoken.Encoding:
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    specials = {t["content"] for t in spec.get("added_tokens", [])}
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in specials}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
 
-    from tokenizers import Tokenizer
+def encoder(vocabulary: str, fast: bool, specials: list[str]):
+    """text -> array of ids as the tokenizer file defines them, by tiktoken where it gives the same.
 
+    Texts with a special token's string go to the tokenizer itself, which is loaded only then.
+    """
     # kept for as long as the worker lives, and out of what is pickled
     cache = sys.modules.setdefault("tilewright_worker_cache", types.ModuleType("tilewright_worker_cache")).__dict__
-    if vocabulary in cache:
-        return cache[vocabulary]
-    exact = Tokenizer.from_file(vocabulary)
-    fast = None
-    with open(vocabulary) as f:
-        spec = json.load(f)
-    specials = [t["content"] for t in spec.get("added_tokens", [])]
-    pre = spec.get("pre_tokenizer") or {}
-    if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not spec.get("normalizer"):
-        import tiktoken
-
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        hidden = [b for b in range(256) if b not in shown]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in specials}
-        fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        probe = "It's  the 12th\n\n\tprobe: naïve Ünïcödé, 東京 🙂 don't_stop! "
-        if fast.encode_ordinary(probe) != exact.encode(probe, add_special_tokens=False).ids:
-            fast = None
+
+    def held(kind: str, load):
+        if (kind, vocabulary) not in cache:
+            cache[kind, vocabulary] = load()
+        return cache[kind, vocabulary]
 
     def encode(text: str) -> np.ndarray:
-        if fast is None or any(s in text for s in specials):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(fast.encode_ordinary(text), np.uint32)
+        if fast and not any(s in text for s in specials):
+            return np.array(held("fast", lambda: byte_level(vocabulary)).encode_ordinary(text), np.uint32)
+        return np.array(held("exact", lambda: Tokenizer.from_file(vocabulary)).encode(text, add_special_tokens=False).ids, np.uint32)
 
-    cache[vocabulary] = encode, "<u2" if exact.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    return cache[vocabulary]
+    return encode
 
 
-def tokenized(docs: DataFrame, queues: int, vocabulary: str, sources: list[str]) -> DataFrame:
+def tokenized(docs: DataFrame, queues: int, vocabulary: str, probed: tuple, sources: list[str]) -> DataFrame:
     """A written table: doc_id, queue, part, ids (little-endian, 16 bits where they fit), n, and before: tokens of the queue in earlier rows of the part."""
 
+    fast, specials, stored = probed
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode, stored), part, seen = encoder(vocabulary), TaskContext.get().partitionId(), {}
+        encode, part, seen = encoder(vocabulary, fast, specials), TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
@@ -111,6 +124,7 @@ def tokenized(docs: DataFrame, queues: int, vocabulary: str, sources: list[str])
                     [b["doc_id"], b["queue"], pa.array([part] * len(ids), pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.array(before, pa.int64()), pa.array([x.astype(stored).tobytes() for x in ids], pa.binary())],
                     ["doc_id", "queue", "part", "n", "before", "ids"],
                 )
+        tidy()
 
     queue = F.pmod(F.xxhash64("source"), F.lit(queues)).cast("int") if len(sources) > queues else (F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(sources) for x in (s, i + 1)]), F.col("source")), F.lit(0)) if sources else F.lit(0))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -186,9 +200,12 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
     if window % quantum:
         raise ValueError("window must be a multiple of quantum")
     vocabulary = vocabulary or default_vocabulary()
+    in_small_batches(docs.sparkSession)
     named = docs.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     sources = [r.source for r in named.orderBy("source").select("source").limit(queues + 1).collect()]  # more than `queues` are hashed
-    tokens = tokenized(docs, queues, vocabulary, sources)
+    probed = probe(vocabulary)
+    stored = probed[2]
+    tokens = tokenized(docs, queues, vocabulary, probed, sources)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = stage(parts.select("queue", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base")), "queue-starts")
@@ -207,8 +224,6 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
     plan = Plan(lengths, share if share.max() > 0 else np.ones(width), window, quantum)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
-    stored = encoder(vocabulary)[1]
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = plan.total - 1
         for batch in batches:
@@ -234,6 +249,7 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
                     [b["doc_id"].take(pa.array(run)), pa.array(queue[run]), pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(n[run]), pa.array(sequence), pa.array(place % window), pa.array(padded)],
                     ["doc_id", "queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length"],
                 )
+        tidy()
 
     placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", "n", "before", "base", "ids")
     return placed.mapInArrow(cut, f"doc_id {kind}, queue int, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, row_share, table
+from .common import crc_remainder, in_small_batches, row_share, table, tidy
 
 WORD_BITS = 15
 WORDS = 1 << WORD_BITS
@@ -186,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
 
     The labels are sampled before they meet the texts, so they are few enough to broadcast and no text is shuffled.
     """
+    in_small_batches(docs.sparkSession)
     labels = labels.select("doc_id", "quality").where("quality is not null")
     n = labels.count()
     few = labels.where(row_share(F.col("doc_id"), F.col("quality"), F.lit("fm")) < min(1.0, sample / max(n, 1)))
@@ -207,6 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
 
 def predict(machine: Machine | None, text: Column, spark: SparkSession) -> Column:
     """double: how likely label 1 is."""
+    in_small_batches(spark)
     shared = spark.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
@@ -214,6 +216,7 @@ def predict(machine: Machine | None, text: Column, spark: SparkSession) -> Colum
         m = shared.value
         for texts in batches:
             yield pd.Series(m.score([t.encode() if isinstance(t, str) else b"" for t in texts]) if m is not None else np.full(len(texts), 0.5))
+        tidy()
 
     return of(text)
 

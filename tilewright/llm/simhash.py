@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage, table
+from .common import in_small_batches, shared_dir, stage, table, tidy
 
 MAX_BITS = 3
 SEED = 42
@@ -85,6 +85,7 @@ def fingerprint(text: Column) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint_of(t if isinstance(t, str) else None) for t in texts], dtype="int64")
+        tidy()
 
     return of(text)
 
@@ -241,6 +242,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its id, fp and component (bigint), and component_id."""
+    in_small_batches(docs.sparkSession)
     prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
