@@ -12,31 +12,48 @@ def double(x) -> Column:
     return x.cast("double") if isinstance(x, Column) else F.lit(float(x))
 
 
+def whole(parts: dict[str, Column]) -> Column:
+    """A struct that remembers its parts.
+
+    Without this every field of a struct made here would carry all its other fields
+    along, and nested geometry would grow beyond what the analyzer can walk.
+    """
+    out = F.struct(*[v.alias(n) for n, v in parts.items()])
+    out._tilewright_parts = parts
+    return out
+
+
+def part(b: Column, name: str) -> Column:
+    parts = getattr(b, "_tilewright_parts", None)
+    return parts[name] if isinstance(parts, dict) else b[name]
+
+
 def make(x_min, y_min, x_max, y_max, score=DEFAULT_SCORE, label=DEFAULT_LABEL) -> Column:
-    named = zip((*CORNERS, "score"), (x_min, y_min, x_max, y_max, score))
-    return F.struct(*[double(v).alias(n) for n, v in named], (label if isinstance(label, Column) else F.lit(label)).alias("label"))
+    parts = {n: double(v) for n, v in zip((*CORNERS, "score"), (x_min, y_min, x_max, y_max, score))}
+    parts["label"] = label if isinstance(label, Column) else F.lit(label)
+    return whole(parts)
 
 
 def moved(b: Column, x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> Column:
     """b with other corners, its score and label kept."""
-    return make(x_min, y_min, x_max, y_max, b["score"], b["label"])
+    return make(x_min, y_min, x_max, y_max, part(b, "score"), part(b, "label"))
 
 
 def each_corner(b: Column, x, y) -> Column:
     """b with x applied to both abscissae and y to both ordinates."""
-    return moved(b, x(b["x_min"]), y(b["y_min"]), x(b["x_max"]), y(b["y_max"]))
+    return moved(b, x(part(b, "x_min")), y(part(b, "y_min")), x(part(b, "x_max")), y(part(b, "y_max")))
 
 
 def width(b: Column) -> Column:
-    return b["x_max"] - b["x_min"]
+    return part(b, "x_max") - part(b, "x_min")
 
 
 def height(b: Column) -> Column:
-    return b["y_max"] - b["y_min"]
+    return part(b, "y_max") - part(b, "y_min")
 
 
 def center(b: Column) -> tuple[Column, Column]:
-    return (b["x_min"] + b["x_max"]) / 2, (b["y_min"] + b["y_max"]) / 2
+    return (part(b, "x_min") + part(b, "x_max")) / 2, (part(b, "y_min") + part(b, "y_max")) / 2
 
 
 def area(b: Column) -> Column:
@@ -55,7 +72,7 @@ def long_side(b: Column) -> Column:
 def expanded(b: Column, frac) -> Column:
     """Each side longer by `frac` of its length, about the center."""
     dx, dy = width(b) * double(frac) / 2, height(b) * double(frac) / 2
-    return moved(b, b["x_min"] - dx, b["y_min"] - dy, b["x_max"] + dx, b["y_max"] + dy)
+    return moved(b, part(b, "x_min") - dx, part(b, "y_min") - dy, part(b, "x_max") + dx, part(b, "y_max") + dy)
 
 
 def shifted(b: Column, dx, dy) -> Column:
@@ -78,17 +95,17 @@ def clipped(b: Column, frame_width, frame_height) -> Column:
 
 def rounded(b: Column) -> Column:
     """Grown to whole pixels: floor of the min corner, ceiling of the max corner."""
-    return moved(b, F.floor(b["x_min"]), F.floor(b["y_min"]), F.ceil(b["x_max"]), F.ceil(b["y_max"]))
+    return moved(b, F.floor(part(b, "x_min")), F.floor(part(b, "y_min")), F.ceil(part(b, "x_max")), F.ceil(part(b, "y_max")))
 
 
 def as_int(b: Column) -> Column:
     """array<bigint>: the corners of rounded(), for slicing."""
-    return F.array(F.floor(b["x_min"]), F.floor(b["y_min"]), F.ceil(b["x_max"]), F.ceil(b["y_max"]))
+    return F.array(F.floor(part(b, "x_min")), F.floor(part(b, "y_min")), F.ceil(part(b, "x_max")), F.ceil(part(b, "y_max")))
 
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union, 0 where the union is empty."""
-    over = lambda lo, hi: F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]))
+    over = lambda lo, hi: F.greatest(F.lit(0.0), F.least(part(a, hi), part(b, hi)) - F.greatest(part(a, lo), part(b, lo)))
     inter = over("x_min", "x_max") * over("y_min", "y_max")
     union = area(a) + area(b) - inter
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
@@ -97,7 +114,7 @@ def iou(a: Column, b: Column) -> Column:
 def finite(b: Column) -> Column:
     ok = F.lit(True)
     for c in (*CORNERS, "score"):
-        ok = ok & b[c].isNotNull() & ~F.isnan(b[c]) & (F.abs(b[c]) < float("inf"))
+        ok = ok & part(b, c).isNotNull() & ~F.isnan(part(b, c)) & (F.abs(part(b, c)) < float("inf"))
     return ok
 
 
@@ -139,7 +156,7 @@ def window_scale(win: Column, out_size: int = 256) -> Column:
 
 def in_patch(b: Column, win: Column, scale) -> Column:
     """A box of the frame in the coordinates of a window's patch; without a window it is there already."""
-    inside = scaled(shifted(b, -win["x_min"], -win["y_min"]), scale)
+    inside = scaled(shifted(b, -part(win, "x_min"), -part(win, "y_min")), scale)
     return F.when(win.isNull(), b).otherwise(inside)
 
 
@@ -147,13 +164,13 @@ def roi(rect: Column, frame_width, frame_height) -> Column:
     """The region to work on around a rectangle: half its longer side and 16 pixels more each way, within the frame."""
     r = rounded(rect)
     pad = F.ceil(F.lit(0.5) * long_side(rect)) + 16
-    return clipped(moved(r, r["x_min"] - pad, r["y_min"] - pad, r["x_max"] + pad, r["y_max"] + pad), frame_width, frame_height)
+    return clipped(moved(r, part(r, "x_min") - pad, part(r, "y_min") - pad, part(r, "x_max") + pad, part(r, "y_max") + pad), frame_width, frame_height)
 
 
 def zoom(rect: Column, frame_width, frame_height, margin: float = 0.45) -> Column:
     """A rectangle with `margin` of its longer side around it, within the frame."""
     pad = long_side(rect) * margin
-    return clipped(moved(rect, rect["x_min"] - pad, rect["y_min"] - pad, rect["x_max"] + pad, rect["y_max"] + pad), frame_width, frame_height)
+    return clipped(moved(rect, part(rect, "x_min") - pad, part(rect, "y_min") - pad, part(rect, "x_max") + pad, part(rect, "y_max") + pad), frame_width, frame_height)
 
 
 # -- letterboxing ------------------------------------------------------------
@@ -164,11 +181,11 @@ def letterbox(frame_width: Column, frame_height: Column, size: int) -> Column:
     w, h, n = double(frame_width), double(frame_height), F.lit(float(size))
     fit = F.least(n / w, n / h)
     nw, nh = F.greatest(F.floor(w * fit).cast("double"), F.lit(1.0)), F.greatest(F.floor(h * fit).cast("double"), F.lit(1.0))
-    return F.struct((nw / w).alias("sx"), (nh / h).alias("sy"), F.floor((n - nw) / 2).cast("double").alias("left"), F.floor((n - nh) / 2).cast("double").alias("top"))
+    return whole({"sx": nw / w, "sy": nh / h, "left": F.floor((n - nw) / 2).cast("double"), "top": F.floor((n - nh) / 2).cast("double")})
 
 
 def undo_letterbox(b: Column, g: Column) -> Column:
-    return each_corner(b, lambda x: (x - g["left"]) / g["sx"], lambda y: (y - g["top"]) / g["sy"])
+    return each_corner(b, lambda x: (x - part(g, "left")) / part(g, "sx"), lambda y: (y - part(g, "top")) / part(g, "sy"))
 
 
 def from_center(cx: Column, cy: Column, w: Column, h: Column, score=DEFAULT_SCORE, label=DEFAULT_LABEL) -> Column:
@@ -177,4 +194,4 @@ def from_center(cx: Column, cy: Column, w: Column, h: Column, score=DEFAULT_SCOR
 
 def order_columns(b: Column, ordinal: str) -> list[Column]:
     """Best first: score, then area; equals keep their order."""
-    return [b["score"].desc(), area(b).desc(), F.col(ordinal).asc()]
+    return [part(b, "score").desc(), area(b).desc(), F.col(ordinal).asc()]

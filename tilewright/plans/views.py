@@ -54,7 +54,7 @@ def ord_columns(df: DataFrame) -> list[Column]:
 
 def flat(b: Column, prefix: str = "", digits: int = 6) -> list[Column]:
     """The corners as columns x0, y0, x1, y1; rounding takes the sign of zero away."""
-    return [(F.round(b[c], digits) + F.lit(0.0)).alias(prefix + n) for c, n in zip(CORNERS, ("x0", "y0", "x1", "y1"))]
+    return [(F.round(boxes.part(b, c), digits) + F.lit(0.0)).alias(prefix + n) for c, n in zip(CORNERS, ("x0", "y0", "x1", "y1"))]
 
 
 def patches(spark: SparkSession, sf: str) -> DataFrame:
