@@ -35,10 +35,10 @@ def finalize(
 
 
 def strong(min_score: float = 0.0, min_side: float = 0.0) -> Column:
-    """score and shorter side reach their thresholds; NaN reaches none."""
+    """score and both sides reach their thresholds; NaN, which Spark takes for the largest number, reaches none."""
     b = F.col("box")
-    side = boxes.short_side(b)
-    return (b["score"] >= min_score) & ~F.isnan(b["score"]) & (side >= min_side) & ~F.isnan(side)
+    reaches = lambda x, least: (x >= least) & ~F.isnan(x)
+    return reaches(b["score"], min_score) & reaches(boxes.width(b), min_side) & reaches(boxes.height(b), min_side)
 
 
 def rank(det: DataFrame, by: str | list[str] = "path", ordinal: str = "ord") -> DataFrame:
