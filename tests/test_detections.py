@@ -72,7 +72,7 @@ def test_partitions_never_change_numbers(spark, parts):
     rows = [det(f"f{i % 50}", i, 0, 0, 10 + i % 7, 10, (i % 10) / 10) for i in range(300)]
     i = ExampleIndex.build(frame(spark, rows).repartition(parts), scanned(spark, 50))
     a = i.examples
-    b = index.numbered(a.drop("idx"), ["frame_ord", "n"], chunks=parts).select(*a.columns)
+    b = index.in_order(a.drop("idx"), ["frame_ord", "n"], chunks=parts).select(*a.columns)
     assert checks.same_rows(a, b).count() == 0
     assert [r.idx for r in ordering.epoch_order(a, 1, 2).orderBy("pos").limit(5).collect()] == [r.idx for r in ordering.epoch_order(a.repartition(parts + 1), 1, 2).orderBy("pos").limit(5).collect()]
 

@@ -12,21 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..session import shared_dir
 from . import detections
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "idx", chunks: int | None = None) -> DataFrame:
+def in_order(df: DataFrame, order: list[str | Column], name: str = "idx", chunks: int | None = None) -> DataFrame:
     """df with a gapless number from 0 in the given order.
 
-    Rows are cut into key ranges, ranked within them, and each range starts where the
-    ones before it end, so no task sorts everything. The ranges are written by a
-    checkpoint when the session has a folder for one, and else computed again alike.
+    Rows are cut into key ranges and ranked within them, and each range starts where the
+    ones before it end, so no task sorts everything. The ranges are checkpointed in the
+    shared folder, as they are used twice and must be the same both times.
     """
     spark = df.sparkSession
+    shared_dir(spark)
     chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(chunks, *order).withColumn("__part", F.spark_partition_id())
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        ranged = ranged.checkpoint()
+    ranged = df.repartitionByRange(chunks, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # one row a range
@@ -35,11 +35,6 @@ def numbered(df: DataFrame, order: list[str], name: str = "idx", chunks: int | N
     return out.withColumn(name, (F.col("__start") + F.col("__rank") - 1).cast("bigint")).drop("__part", "__rank", "__start")
 
 
-def in_order(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
-    """The same by one sorted window; for frames of a pool, not for pixels of them."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-
-
 def quartiles(x: Column) -> Column:
     """struct(min, p25, median, p75, max), linear between ranks; null if there are no values."""
     q = F.percentile(x, F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)]))
