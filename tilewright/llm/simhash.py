@@ -20,6 +20,11 @@ Pairs are found among distinct fingerprints:
 3. A cell with many members is cut into chunks, and each pair of chunks is a unit of
    work of its own. A unit returns a spanning forest of its links, not all of them.
 
+With `least` given, near_duplicates and keep_one link texts by the exact Jaccard similarity
+of their sets of word shingles instead. Candidates share a band of MinHashes (BANDS of ROWS:
+of pairs at 0.8 all but 1 in 14,000 do); buckets of the same members are looked at once,
+large ones in chunks as above, and every link is verified on the texts themselves.
+
 Defined results: a text without words, or null, has fingerprint 0 and links like any
 other. A null doc_id has a fingerprint and takes its component's smallest known id.
 """
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, shared_dir, stage, table, tidy
+from .common import ascii_lower, in_small_batches, shared_dir, stage, table, tidy
 
 MAX_BITS = 3
 SEED = 42
@@ -44,6 +49,8 @@ SEED = 42
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Most members of a cell that are compared at once with as many others.
 CHUNK = 512
+#: MinHash bands of a text, and MinHashes in each.
+BANDS, ROWS = 24, 5
 
 
 def splitmix(n: int) -> list[int]:
@@ -78,13 +85,13 @@ def fingerprint_of(text: str | None, words: int = 3, block: int = 1 << 16) -> in
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, words: int = 3) -> Column:
     """bigint: the 64 bits as a signed number."""
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint_of(t if isinstance(t, str) else None) for t in texts], dtype="int64")
+            yield pd.Series([fingerprint_of(t if isinstance(t, str) else None, words) for t in texts], dtype="int64")
         tidy()
 
     return of(text)
@@ -240,29 +247,121 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components are not stable after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: its id, fp and component (bigint), and component_id."""
+def normal_key(text: Column) -> Column:
+    """md5 of a text's words: what texts of the same words in the same order are known by."""
+    return F.md5(F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x09-\\x0D ]+", " ")))
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, sorted; a shorter text is one shingle."""
+    tokens = (text or "").encode().lower().split()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))], np.uint64))
+
+
+def band_keys(text: Column, words: int) -> Column:
+    """array<bigint>: a hash of every band of MinHashes."""
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        flip, odd = (np.array(splitmix(2 * BANDS * ROWS), np.uint64).reshape(2, -1, 1))
+        odd = odd | np.uint64(1)
+        for texts in batches:
+            out = []
+            for t in texts:
+                hashes, low = shingle_set(t if isinstance(t, str) else None, words), None
+                for at in range(0, len(hashes), 2048):
+                    part = ((hashes[None, at : at + 2048] ^ flip) * odd).min(axis=1)
+                    low = part if low is None else np.minimum(low, part)
+                out.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(low.reshape(BANDS, ROWS))])
+            yield pd.Series(out)
+        tidy()
+
+    return of(text)
+
+
+def similar_links(words: int, least: float):
+    """Rows (k, i, j, c, node, text) sorted by (k, i, j) in, links between similar nodes out: a spanning forest of each unit's."""
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < least * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= least * (len(x) + len(y) - both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, members = None, []  # of each member: chunk, node, shingles, and the label of its component
+        for batch in batches:
+            a, b = [], []
+            for k, i, j, c, node, text in zip(*(batch[n].to_pylist() for n in ("k", "i", "j", "c", "node", "text"))):
+                if unit != (k, i, j):
+                    unit, members = (k, i, j), []
+                own, label = shingle_set(text, words), len(members)
+                for m in members:
+                    if m[3] != label and (i == j or m[0] != c) and alike(m[2], own):
+                        a.append(max(m[1], node))
+                        b.append(min(m[1], node))
+                        gone, label = label, m[3]
+                        for x in members:
+                            if x[3] == gone:
+                                x[3] = label
+                members.append([c, node, own, label])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+        tidy()
+
+    return run
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """(a, b): links between texts with a Jaccard similarity of at least `least`. nodes: (fp, first_id, bands), each fp once."""
+    cells = nodes.select(F.col("fp").alias("node"), F.explode("bands").alias("k"))
+    shared = cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    shared = shared.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    members = stage(cells.join(shared, "k"), "minhash-members")
+    wanted = members.select(F.col("node").alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp")
+    rows = docs.select(F.col(id_col).alias("first_id"), normal_key(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
+    texts = rows.where("first_id is not null").join(wanted, ["first_id", "fp"]).select("fp", "text")
+    texts = texts.unionByName(rows.where("first_id is null").join(wanted.where("first_id is null").select("fp"), "fp").select("fp", "text"))
+    texts = stage(texts.dropDuplicates(["fp"]).withColumnRenamed("fp", "node"), "minhash-texts")
+    units = members.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    units = units.select("k", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node").join(texts, "node").select("k", "i", "j", "c", "node", "text")
+    return units.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(similar_links(words, least), "a string, b string").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, least: float | None = None) -> DataFrame:
+    """One row for each row of docs: its id, fp and component, and component_id.
+
+    fp and component are fingerprints (bigint), linked at 3 or fewer bits; with `least` they are
+    normal_key()s, linked at a Jaccard similarity of at least that between sets of `words`-word shingles.
+    """
     in_small_batches(docs.sparkSession)
-    prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    if least is None:
+        prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "simhash")
+        nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+        found = links(nodes.select("fp"))
+    else:
+        prints = stage(docs.select(F.col(id_col).alias("doc_id"), normal_key(F.col(text_col)).alias("fp"), band_keys(F.col(text_col), words).alias("bands")), "minhash")
+        nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "minhash-nodes")
+        found = verified_links(docs, nodes, id_col, text_col, words, least)
+    roots = components(found).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("component", F.coalesce("root", "fp"))
     names = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "component").join(names, "component")
     return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, least: float | None = None) -> DataFrame:
     """docs without near copies: of each component the row of its smallest id stays.
 
     Of repeated rows with that id, and of a component that has no ids, one row stays.
     """
-    found = stage(near_duplicates(docs, id_col, text_col), "simhash-found")
+    found = stage(near_duplicates(docs, id_col, text_col, words, least), "simhash-found")
     first = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
     kept = docs.join(first, id_col)
     one = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates([id_col])).select(*docs.columns)
     bare = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("component").alias("__c")).distinct()
-    lone = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint(F.col(text_col))).join(bare, "__fp").dropDuplicates(["__c"])
+    name = fingerprint(F.col(text_col), words) if least is None else normal_key(F.col(text_col))
+    lone = docs.where(F.col(id_col).isNull()).withColumn("__fp", name).join(bare, "__fp").dropDuplicates(["__c"])
     return one.unionByName(lone.select(*docs.columns))
 
 
