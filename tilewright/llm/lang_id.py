@@ -37,6 +37,8 @@ SAMPLE = 1500
 #: Bytes scored at once.
 BLOCK = 1 << 19
 UNIT = 65536.0
+#: most_bits() over the training texts' 99.9th percentile, and bits allowed besides, for short texts.
+MARGIN, SHORT = 2.0, 64.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -214,14 +216,21 @@ def build(langs: list[str], counts: pd.DataFrame, max_order: int) -> Model:
     return Model(langs, max_order, symbols, escapes)
 
 
-def train(docs: DataFrame, max_order: int = MAX_ORDER, sample: int = SAMPLE) -> Model | None:
-    """A model of the languages of docs (lang, text, and any columns that tell rows apart), or None if there are none."""
+def sampled(docs: DataFrame, sample: int) -> DataFrame | None:
+    """About `sample` texts of each language, or None if there are no languages."""
     known = docs.where("lang is not null and text is not null and text != ''")
     rows = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not rows:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))
-    keep = known.where(row_share(*[F.col(c) for c in docs.columns if c != "text"], F.lit("ppm")) < share)
+    return known.where(row_share(*[F.col(c) for c in docs.columns if c != "text"], F.lit("ppm")) < share)
+
+
+def train(docs: DataFrame, max_order: int = MAX_ORDER, sample: int = SAMPLE) -> Model | None:
+    """A model of the languages of docs (lang, text, and any columns that tell rows apart), or None if there are none."""
+    keep = sampled(docs, sample)
+    if keep is None:
+        return None
     counts = count_grams(keep, max_order).toPandas()
     return build(sorted(set(counts["lang"])), counts, max_order) if len(counts) else None
 
@@ -251,9 +260,28 @@ def predict(model: Model | None, text: Column, spark: SparkSession) -> Column:
     return of(text)
 
 
+def contract_rows(docs: DataFrame) -> DataFrame:
+    """Rows whose crc32 of doc_id leaves 0 or 2 on division by 3."""
+    return docs.where(crc_remainder(F.col("doc_id"), 3) != 1).select("doc_id", "lang", "text")
+
+
 def contract_model(docs: DataFrame) -> Model | None:
-    """Learned from rows whose crc32 of doc_id leaves 0 or 2 on division by 3."""
-    return train(docs.where(crc_remainder(F.col("doc_id"), 3) != 1).select("doc_id", "lang", "text"))
+    """Learned from contract_rows()."""
+    return train(contract_rows(docs))
+
+
+def most_bits(model: Model | None, docs: DataFrame, sample: int = SAMPLE) -> float:
+    """Bits a byte up to which a text is of a learned language: MARGIN times the 99.9th percentile of the training texts in docs."""
+    keep = sampled(docs, sample) if model is not None else None
+    if keep is None:
+        return 0.0
+    bits = keep.select(predict(model, F.col("text"), docs.sparkSession).alias("p")).where("p.lang_pred != 'und'").agg(F.percentile_approx("p.bits", 0.999, 10_000)).first()[0]
+    return MARGIN * (bits or 0.0)
+
+
+def is_coded(p: Column, text: Column, limit: float) -> Column:
+    """Whether a prediction's code length is within the limit, to which SHORT bits a text are added."""
+    return p["bits"] * F.octet_length(text) <= limit * F.octet_length(text) + SHORT
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
