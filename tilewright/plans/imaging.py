@@ -175,7 +175,7 @@ def repeated_op_names(spark, sf):
     """An op that a user's events repeat is numbered: view, view#2, ..."""
     from pyspark.sql import Window
 
-    e = table(spark, sf, "events").where("user_id < 200").select("user_id", "event_type", "event_id")
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
     n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
     return e.select("user_id", "event_id", F.when(n == 1, F.col("event_type")).otherwise(F.concat_ws("#", "event_type", n)).alias("key"))
 
