@@ -16,7 +16,8 @@ last incomplete slot goes into a tail after all full slots, so at most one seque
 short; it is padded unless its length is a power of two.
 
 Sources are hashed into at most `queues` queues if there are more (so the table of
-queue lengths that goes to every task is bounded). Token ids are computed once and
+queue lengths that goes to every task is bounded); those with a target weight keep
+queues of their own, and more of them than queues are an error. Token ids are computed once and
 written to the shared folder, a row a document, and the pieces are cut from there.
 
 Defined results: a null text is empty and has the closing id alone; a null source is a
@@ -105,8 +106,8 @@ def encoder(vocabulary: str, fast: bool, specials: list[str]):
     return encode
 
 
-def tokenized(docs: DataFrame, queues: int, vocabulary: str, probed: tuple, sources: list[str]) -> DataFrame:
-    """A written table: doc_id, queue, part, ids (little-endian, 16 bits where they fit), n, and before: tokens of the queue in earlier rows of the part."""
+def tokenized(docs: DataFrame, queues: int, vocabulary: str, probed: tuple, sources: list[str], rest: int) -> DataFrame:
+    """A written table, queue i + 1 for sources[i], others hashed into `rest` queues behind (or in queue 0): doc_id, queue, part, ids (little-endian, 16 bits where they fit), n, and before: tokens of the queue in earlier rows of the part."""
 
     fast, specials, stored = probed
 
@@ -126,7 +127,9 @@ def tokenized(docs: DataFrame, queues: int, vocabulary: str, probed: tuple, sour
                 )
         tidy()
 
-    queue = F.pmod(F.xxhash64("source"), F.lit(queues)).cast("int") if len(sources) > queues else (F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(sources) for x in (s, i + 1)]), F.col("source")), F.lit(0)) if sources else F.lit(0))
+    own = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(sources) for x in (s, i + 1)]), F.col("source")) if sources else F.lit(None).cast("int")
+    other = F.pmod(F.xxhash64("source"), F.lit(rest)).cast("int") + (len(sources) + 1 if sources else 0) if rest else F.lit(0)
+    queue = F.coalesce(own, other)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows_in = docs.select("doc_id", "text", queue.alias("queue"))
     return stage(rows_in.mapInArrow(rows, f"doc_id {kind}, queue int, part int, n long, before long, ids binary"), "tokens", "zstd")
@@ -194,8 +197,9 @@ class Plan:
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, queues: int = QUEUES, vocabulary: str | None = None) -> DataFrame:
     """Pieces of docs (doc_id, text, source): doc_id, queue, start, length, ids (binary), doc_tokens, sequence_id, offset, padded_length.
 
-    weights: target shares by source; without them, or with more sources than queues,
-    each queue's share of all tokens, so all run dry together.
+    weights: target shares by source; without them each queue's share of all tokens, so
+    all run dry together. With more sources than queues those named here have queues of
+    their own and the others are hashed.
     """
     if window % quantum:
         raise ValueError("window must be a multiple of quantum")
@@ -203,20 +207,27 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
     in_small_batches(docs.sparkSession)
     named = docs.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     sources = [r.source for r in named.orderBy("source").select("source").limit(queues + 1).collect()]  # more than `queues` are hashed
+    rest = 0
+    if len(sources) > queues:
+        known = docs.where(F.col("source").isin(list(weights))).select("source").distinct().orderBy("source").limit(queues + 1).collect() if weights else []
+        sources = [r.source for r in known]
+        rest = queues - len(sources)
+        if rest < 1:
+            raise ValueError(f"{len(sources)} or more sources have weights, and others none; with {queues} queues at most {queues - 1} can")
     probed = probe(vocabulary)
     stored = probed[2]
-    tokens = tokenized(docs, queues, vocabulary, probed, sources)
+    tokens = tokenized(docs, queues, vocabulary, probed, sources, rest)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = stage(parts.select("queue", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base")), "queue-starts")
     if starts.count() <= BROADCAST:  # else the ids are shuffled once
         starts = F.broadcast(starts)
-    width = max(queues, len(sources)) + 1
+    width = queues + 1
     lengths = np.zeros(width, np.int64)
     for r in parts.groupBy("queue").agg(F.sum("tokens").alias("n")).collect():  # at most queues + 1 rows
         lengths[r.queue] = r.n
     share = lengths.astype(float)
-    if weights and len(sources) <= queues:
+    if weights:
         total = share.sum()
         for i, s in enumerate(sources):
             if s in weights:
