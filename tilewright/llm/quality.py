@@ -45,6 +45,8 @@ KIND[97:123], KIND[65:91], KIND[48:58], KIND[128:] = 1, 2, 3, 7
 KIND[[*b".,;:'\"()-?!"]] = 4
 KIND[[*b"#$%&*+/<=>@[\\]^_`{|}~"]] = 5
 KIND[[*b" \t\n\r\x0b\x0c"]] = 6
+#: Most bytes of a word that make one feature.
+PIECE = 64
 RADIX = 0x100000001B3
 
 
@@ -86,12 +88,19 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.searchsorted(ends, begin, side="right")
     hashes = np.zeros(len(begin), np.uint64)
     wide = end - begin
+    whole, whole_doc = wide, doc
+    if len(begin) and wide.max() > PIECE:  # longer words are cut into pieces, each a feature like a word
+        pieces = -(-wide // PIECE)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin, end, doc = np.repeat(begin, pieces) + PIECE * nth, np.repeat(end, pieces), np.repeat(doc, pieces)
+        wide = np.minimum(end - begin, PIECE)
+        hashes = np.zeros(len(begin), np.uint64)
     if len(begin):
         low = data | np.where(kind == 2, np.uint8(32), np.uint8(0))
         with np.errstate(over="ignore"):
             order = np.argsort(-wide, kind="stable")  # the words that still have a byte k come first
             left = np.cumsum(np.bincount(wide)[::-1])[::-1]
-            for k in range(min(int(wide.max()), 64)):
+            for k in range(int(wide.max())):
                 live = order[: left[k + 1]]
                 hashes[live] = (hashes[live] ^ low[begin[live] + k]) * np.uint64(RADIX)
             hashes ^= hashes >> np.uint64(29)
@@ -107,8 +116,8 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = (np.add.reduceat((kind == 6).astype(np.int32), starts) - 1) / length
     lines = np.add.reduceat((data == 10).astype(np.int32), starts) + 1.0
     longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, doc, wide)
-    mean = np.bincount(doc, weights=wide, minlength=n) / np.maximum(words, 1)
+    np.maximum.at(longest, whole_doc, whole)
+    mean = np.bincount(whole_doc, weights=whole, minlength=n) / np.maximum(np.bincount(whole_doc, minlength=n), 1)
     again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])) + 1
     repeats = np.bincount(doc[again], minlength=n) / np.maximum(words, 1)
     variety = np.bincount(row, minlength=n) / np.maximum(words, 1)
