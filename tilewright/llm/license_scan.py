@@ -7,7 +7,8 @@
    df counted over all units of all files, copies included.
 3. Scores. The sparse vectors meet in an inverted index of the templates' terms; a unit's
    licence is the template of the highest cosine, if that is at least `least`. A file's
-   own licence is that of its best unit (ties: the name that sorts first).
+   own licence is that of its best unit (ties: the name that sorts first); a licence
+   file's whole text, if it has a licence, outweighs its lines.
 4. Inheritance. A file without a licence of its own takes that of the nearest directory
    at or above its own that has one. A directory's is that of its licence files (the
    best, ties as above). Directories are resolved once each by joins with their
@@ -20,6 +21,9 @@ licences are broadcast while they are fewer than BROADCAST rows, else they are s
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,10 @@ BROADCAST = 100_000
 LEAST = 0.6
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 LICENCE_FILE = r"^(licen[cs]e|copying|notice)(\..*)?$"
-CUES = ["licen", "copyright", "rights reserved", "public domain", "redistribut", "hereby granted", "spdx"]
+CUES = [
+    "licen", "copyright", "rights reserved", "public domain", "redistribut", "hereby granted", "spdx",
+    "released under", "distributed under", "available under", "terms of the", "creative commons", "cc by", "cc-by", "cc0", "any later version", "permission to use, copy",
+]
 
 #: licence, a text that announces it
 TEMPLATES = [
@@ -53,6 +60,50 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Licences of a few paragraphs, whole.
+BODIES = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_END),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+]
+
+
+def gnu_headers(name: str, title: str, version: str, kind: str) -> list[tuple[str, str]]:
+    """The usual header of a GNU licence, with later versions or without."""
+    start = f"This {kind} is free software; you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software Foundation; "
+    return [(name, f"{start}either version {version} of the License, or (at your option) any later version."), (name, f"{start}version {version} of the License.")]
+
+
+HEADERS = [
+    *gnu_headers("GPL-2.0", "General Public License", "2", "program"), *gnu_headers("GPL-3.0", "General Public License", "3", "program"),
+    *gnu_headers("LGPL-2.1", "Lesser General Public License", "2.1", "library"), *gnu_headers("LGPL-3.0", "Lesser General Public License", "3", "library"),
+    *gnu_headers("AGPL-3.0", "Affero General Public License", "3", "program"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    *[(f"CC-{x.upper().replace(' ', '-')}-4.0", f"{by} CC {x.upper()} 4.0.") for x in ("by", "by-sa", "by-nc") for by in ("Released under", "This work is licensed under")],
+    *[(f"CC-{x}-4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License.") for x, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"))],
+]
+SPDX = [(name, f"SPDX-License-Identifier: {name}{end}") for name in dict.fromkeys(n for n, _ in TEMPLATES + HEADERS if n != "Proprietary") for end in (("", "-only", "-or-later") if "GPL" in name else ("",))]
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """The texts in the folder licences, as their terms. The AGPL's is the GPL's but for its name and section 13, and is made from it."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        text = path.read_text(encoding="utf-8").lower()
+        out.append((path.stem, text))
+        if path.stem == "GPL-3.0":
+            out.append(("AGPL-3.0", re.sub(r"gnu\s+general\s+public", "gnu affero general public", text)))
+    return [(name, " ".join(re.findall(TERM, text))) for name, text in out]
+
+
+TEMPLATES += [*BODIES, *HEADERS, *SPDX, *long_texts()]
+
 
 def has_cue(line: Column) -> Column:
     found = F.lit(False)
@@ -66,7 +117,7 @@ def terms(text: Column) -> Column:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """(file, unit, key): the texts of each file that are held against templates, and the md5 they are known by; files: file, path, text."""
+    """(file, unit, key, body): the texts of each file that are held against templates, the md5 they are known by, and whether they are a whole licence file; files: file, path, text."""
     name = F.element_at(F.split(ascii_lower(F.coalesce("path", F.lit(""))), "/"), -1)
     low = files.select("file", name.rlike(LICENCE_FILE).alias("whole"), ascii_lower(F.col("text")).alias("low")).where(F.col("whole") | has_cue(F.col("low")))
     marked = F.transform(F.split("low", "\r?\n"), lambda x: F.when(has_cue(x), F.trim(x)).otherwise(F.lit("")))
@@ -74,7 +125,9 @@ def units(files: DataFrame) -> DataFrame:
     # runs of lines with cues stand between empty ones
     runs = F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda x: F.trim(F.regexp_replace(x, "\n", " "))), lambda x: x != "")
     whole = F.when(F.col("whole"), F.array(F.trim("low"))).otherwise(F.array().cast("array<string>"))
-    return low.select("file", F.explode(F.array_distinct(F.concat(lines, runs, whole))).alias("unit")).where("unit != ''").withColumn("key", F.md5("unit"))
+    body = F.when(F.col("whole"), F.md5(F.trim("low"))).alias("body")
+    parts = low.select("file", body, F.explode(F.array_distinct(F.concat(lines, runs, whole))).alias("unit")).where("unit != ''").withColumn("key", F.md5("unit"))
+    return parts.withColumn("body", F.coalesce(F.col("key") == F.col("body"), F.lit(False)))
 
 
 def scored(texts: DataFrame, templates: DataFrame) -> DataFrame:
@@ -114,7 +167,8 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFr
     texts = stage(parts.select("key", "unit").distinct().join(counts, "key"), "licence-texts")
     known = stage(scored(texts, templates).where(F.col("score") >= least), "licence-scores")
     few = F.broadcast(known) if known.count() <= BROADCAST else known
-    found = parts.select("file", "key").join(few, "key").groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    found = parts.select("file", "key", "body").join(few, "key").groupBy("file", "licence").agg(F.max("score").alias("score"), F.max("body").alias("body"))
+    found = found.groupBy("file").agg(F.min(F.struct(~F.col("body"), (-F.col("score")).alias("s"), "licence")).alias("b"))
     found = stage(found.select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score")), "file-licences")
 
     base = F.element_at(F.split(ascii_lower(F.col("file.path")), "/"), -1)
