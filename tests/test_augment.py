@@ -1,4 +1,6 @@
+import hashlib
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -13,6 +15,10 @@ from tilewright.schema import BOX
 
 FRAME = rasters.synthetic_frame()
 SHIP = (139.0, 124.0, 183.0, 140.0)
+#: By seed: what is drawn, and the md5 of the pixels.
+DRAWN = """{"0": {"params": {"context": [0.16369616873214543, 0.12697867137638705], "offset": [-1.6157731957445949, -0.6188446265234828], "feather_px": 0.0, "geometric": {"shift": {"dx": 1.7351234112990417, "dy": 2.2861471523982635}, "rotate": {"deg": 1.2796293092061584}, "rescale": {"sx": 1.03671944975744, "sy": 1.03671944975744}}, "photometric": {"gain": {"factor": 1.0293962471835896}, "level": {"delta": 0.04350724237877683}, "blur": {"sigma": 1.0288851319050831}, "noise": {"sigma": 0.0011754951356912524}, "stripe": {"sigma": 0.00658804040476994, "axis": "row"}}}, "pixels": "57b322c2ba55b16a0beb34b0469fed2f"},
+"1": {"params": {"context": [0.1511821624700257, 0.19504636963259353], "offset": [-1.2525581632268892, 0.5742712923356722], "feather_px": 0.0, "geometric": {"shift": {"dx": -1.0503230708586175, "dy": -0.42797800391831053}, "rotate": {"deg": 3.9324311258453015}, "rescale": {"sx": 0.9854718618190659, "sy": 0.9854718618190659}}, "photometric": {"gain": {"factor": 1.0313659169321097}, "level": {"delta": -0.047244088675693165}, "blur": {"sigma": 0.3956780597989106}, "noise": {"sigma": 0.027595004619994153}, "stripe": {"sigma": 0.013190476783230043, "axis": "row"}}}, "pixels": "68caa5542ec6cfb3a08caf2d1919ce8f"},
+"5": {"params": {"context": [0.18050029237453802, 0.18079407897364938], "offset": [0.05394597486833974, -0.2741742334871788], "feather_px": 0.0, "geometric": {"shift": {"dx": -2.527775436990097, "dy": -0.6609225963614205}, "rotate": {"deg": -1.0983215349600162}, "rescale": {"sx": 0.9272440310243912, "sy": 0.9272440310243912}}, "photometric": {"gain": {"factor": 0.8660900445399654}, "level": {"delta": 0.04991761150650714}, "gamma": {"gamma": 0.9320785705844383}, "blur": {"sigma": 1.1690234319111064}, "noise": {"sigma": 0.03141871628379921}, "stripe": {"sigma": 0.0030384204590105423, "axis": "row"}}}, "pixels": "eef2efa19e1ffe642ca36b0f9f92c35d"}}"""
 
 
 def changed(p):
@@ -66,11 +72,8 @@ def test_rectangle_bounds():
 def test_shift_moves_forward():
     ramp = np.tile(np.linspace(0, 1, 320, dtype=np.float32), (240, 1))
 
-    class Five(corruptions.Shift):
-        def sample(self, rng, ctx):
-            return {"dx": 5.0, "dy": 0.0}
-
-    p = Augmenter(ops=[Five()]).augment(ramp, SHIP, seed=0)
+    five = replace(corruptions.KINDS.find("shift"), draws={"dx": lambda *_: 5.0, "dy": lambda *_: 0.0})
+    p = Augmenter(ops=[five]).augment(ramp, SHIP, seed=0)
     inside = p.mask > 0
     assert np.allclose((p.doctored - p.clean)[inside], -5 / 319, atol=1e-5)
 
@@ -112,22 +115,50 @@ def test_feather_and_levels():
     assert abs(float(q.doctored[inside].mean()) - float(FRAME[q.mask > 0.5].mean())) < 12
 
 
-def test_op_lists():
-    names = lambda spec: [o.name for o in corruptions.build_ops(spec)]
-    assert names(None) == list(corruptions.DEFAULT)
-    assert names({"blur": None, "shift": {"max_px": 4}, "noise": False, "FPN": {}}) == ["shift", "stripe"]
-    assert names(["offset", {"name": "zoom", "p": 0.5}, corruptions.Gain()]) == ["shift", "rescale", "gain"]
-    assert names("tilewright.operators.corruptions:Level") == ["level"]
-    for bad, error in (("nothing", KeyError), (5, TypeError), ({"name": ""}, KeyError), ([dict], TypeError)):
-        with pytest.raises(error):
-            corruptions.build_ops(bad)
-    with pytest.raises(TypeError):
-        corruptions.build_op(corruptions.Gain(), p=0.1)
+@pytest.mark.parametrize(("what", "names"), [
+    (None, corruptions.DEFAULT),
+    ({"blur": None, "shift": {"max_px": 4}, "noise": False, "FPN": {}}, ("shift", "stripe")),
+    (["offset", {"name": "zoom", "p": 0.5}, corruptions.KINDS.find("gain")], ("shift", "rescale", "gain")),
+    (corruptions.step("blur"), ("blur",)),
+    ("Bias", ("level",)),
+])
+def test_recipes(what, names):
+    assert tuple(s.name for s in corruptions.recipe(what)) == names
+
+
+@pytest.mark.parametrize(("what", "error"), [("nothing", KeyError), (5, TypeError), ({"gain": {"size": 3}}, TypeError), ([dict], KeyError), ("json:loads", TypeError), ([{"p": 1}], KeyError)])
+def test_bad_recipes(what, error):
+    with pytest.raises(error):
+        corruptions.recipe(what)
+
+
+def test_a_recipe_of_the_callers_own(monkeypatch):
+    """A kind by its module's name; options over a step's own; a name keeps its meaning; rotations are capped."""
+    inverted = corruptions.Kind("inverted", corruptions.TONES, {"p": 1.0}, {}, lambda px, d, rng: 1 - px)
+    monkeypatch.setattr(corruptions, "inverted", inverted, raising=False)
+    p = Augmenter(ops="tilewright.operators.corruptions:inverted").augment(FRAME, SHIP, seed=0)
+    assert np.abs(p.doctored[p.mask > 0].astype(int) + FRAME[p.mask > 0] - 255).max() <= 1
+    assert corruptions.step(corruptions.step("gain", p=0.5), factor=2.0).options == {"factor": 2.0, "p": 0.5}
     with pytest.raises(ValueError):
-        corruptions.register("shift")(type("Other", (corruptions.Op,), {}))
-    ops = corruptions.build_ops(None)
-    assert corruptions.capped(ops, None) is ops and corruptions.capped(ops, 9) is ops
-    assert corruptions.capped(ops, 2)[1].max_deg == 2 and ops[1].max_deg == 6
+        corruptions.KINDS.add("shift", inverted)
+    with pytest.raises(TypeError):
+        replace(inverted, family="other")
+    steps = corruptions.recipe()
+    assert corruptions.capped(steps, None) == corruptions.capped(steps, 9) == steps
+    assert [s.options["max_deg"] for s in (corruptions.capped(steps, 2)[1], steps[1])] == [2, 6]
+
+
+def test_draws_of_a_seed_are_fixed():
+    """The numbers that seeds gave from the first version on."""
+    want = json.loads(DRAWN)
+    for seed, params in want.items():
+        p = Augmenter(ops=[*corruptions.DEFAULT, {"name": "stripe", "axis": "both", "p": 1.0}]).augment(FRAME, SHIP, seed=int(seed))
+        assert json.loads(json.dumps(p.params)) == params["params"] and hashlib.md5(p.doctored.tobytes()).hexdigest() == params["pixels"]
+
+
+def test_seeds_are_those_of_numpy():
+    rows = [(0, 0, 0), (5, 1, 7), (1, draws.COMPOSITE_STREAM, 3), (2**40 + 3, 2, 2**33), (7, 2**32 - 1, 2**32), (2**63 - 1, 2**62, 2**61)]
+    assert draws._entropy(list(zip(*rows))).tolist() == [draws.seed_words(*r) for r in rows]
 
 
 def test_repeated_ops_are_numbered():

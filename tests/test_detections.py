@@ -100,17 +100,17 @@ def test_keys_prefer_path_then_name_then_stem(spark):
         lookup.find_keys(frames, rec, allow_missing=False).collect()
 
 
-def test_registry():
-    assert detectors.class_of(" GT ") is detectors.MetadataDetector and set(detectors.available()) >= {"function", "precomputed", "metadata", "grid"}
-    detectors.register("late", "collections:OrderedDict", "later")
-    with pytest.raises(TypeError):
-        detectors.build("late")
+def test_detectors_by_name():
+    names = detectors.DETECTORS
+    assert names.find(" GT ") is detectors.MetadataDetector and set(names.notes()) >= {"function", "precomputed", "metadata", "grid"}
+    names.add("late later", "collections:OrderedDict")
+    for bad, error in (("late", TypeError), ("LATER", TypeError), ("nothing", KeyError), (dict, TypeError), (3, TypeError), ({"min_side": 2}, KeyError)):
+        with pytest.raises(error):
+            detectors.build(bad)
     with pytest.raises(ValueError):
-        detectors.register("grid", dict)
-    with pytest.raises(KeyError):
-        detectors.build("nothing")
-    d = detectors.build({"name": "function", "fn": len})
-    assert detectors.build(d) is d
+        names.add("grid", dict)
+    d = detectors.build({"name": "function", "fn": len, "min_side": 3})
+    assert detectors.build(d) is d and d.min_side == 3
     with pytest.raises(TypeError):
         detectors.build(d, min_side=2)
     assert detectors.as_box([1, 2, 3, 4, 0.5, "l"])["label"] == "l"

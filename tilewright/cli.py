@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
     from .sources import boxes_json, pools
 
     if args.command == "list":
-        print(json.dumps({"detectors": detectors.available(), "ops": dict(sorted(corruptions.NOTES.items())), "pools": pools.available()}, indent=1))
+        print(json.dumps({"detectors": detectors.DETECTORS.notes(), "ops": corruptions.KINDS.notes(), "pools": pools.available()}, indent=1))
         return 0
     if args.command == "augment":
         said = checks.augmenter_problems(Augmenter(dict(args.set) or None), rasters.synthetic_frame(), (139.0, 124.0, 183.0, 140.0), range(args.seeds))

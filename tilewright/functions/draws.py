@@ -40,9 +40,48 @@ def seed_words(*entropy: int) -> int:
     return int(np.random.SeedSequence([int(x) for x in entropy]).generate_state(1)[0])
 
 
+def _entropy(numbers: list[np.ndarray]) -> np.ndarray:
+    """The first 32 bits that numpy's SeedSequence gives for each row of whole numbers from 0 on, all rows at once.
+
+    The constants are fixed values of that published generator. Each number adds as many 32-bit words as it needs.
+    """
+    u4 = np.uint32
+    numbers = [np.asarray(x, np.uint64) for x in numbers]
+    out = np.empty(len(numbers[0]), np.int64)
+    wide = np.stack([x >> np.uint64(32) > 0 for x in numbers])
+    for shape in np.unique(wide, axis=1).T:
+        rows = np.flatnonzero((wide.T == shape).all(axis=1))
+        words = [w.astype(u4) for x, two in zip(numbers, shape) for w in ((x[rows] & np.uint64(0xFFFFFFFF), x[rows] >> np.uint64(32)) if two else (x[rows],))]
+        words += [np.zeros(len(rows), u4)] * (4 - len(words))
+        factor = 0x43B0D7E5
+
+        def stirred(x: np.ndarray) -> np.ndarray:
+            nonlocal factor
+            x = x ^ u4(factor)
+            factor = factor * 0x931E8875 & 0xFFFFFFFF
+            x = x * u4(factor)
+            return x ^ (x >> u4(16))
+
+        def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = x * u4(0xCA01F9DD) - y * u4(0x4973F715)
+            return z ^ (z >> u4(16))
+
+        with np.errstate(over="ignore"):
+            pool = [stirred(w) for w in words[:4]]
+            for i in range(4):
+                for j in range(4):
+                    if i != j:
+                        pool[j] = mixed(pool[j], stirred(pool[i]))
+            for w in words[4:]:
+                pool = [mixed(p, stirred(w)) for p in pool]
+            first = (pool[0] ^ u4(0x8B51F9DD)) * u4(0x8B51F9DD * 0x58F38DED & 0xFFFFFFFF)
+            out[rows] = first ^ (first >> u4(16))
+    return out
+
+
 @F.pandas_udf(LongType())
 def _seed(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series([int(np.random.SeedSequence([int(x), int(y), int(z)]).generate_state(1)[0]) for x, y, z in zip(a, b, c)], dtype="int64")
+    return pd.Series(_entropy([a, b, c]))
 
 
 def example_seed(seed, epoch, index: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +15,15 @@ from .corruptions import capped
 PLACEMENTS = ("detection", "lower")
 
 
-def placed(how: str, seed, i: Column, host_box: Column, host_w, host_h, donor_w: Column, donor_h: Column, jitter=(0.9, 1.1), band=(0.55, 0.85)) -> Column:
+def placed(how: str | Callable, seed, i: Column, host_box: Column, host_w, host_h, donor_w: Column, donor_h: Column, jitter=(0.9, 1.1), band=(0.55, 0.85)) -> Column:
     """The box in the host where the donor goes.
 
     detection: at the host's box, with its height jittered and the donor's aspect;
-    lower: the donor's size jittered, in the lower part of the frame.
+    lower: the donor's size jittered, in the lower part of the frame;
+    a function: its box, from columns (seed, i, host box, host width and height, donor width and height).
     """
+    if callable(how):
+        return how(F.lit(seed), i, host_box, host_w, host_h, donor_w, donor_h)
     s = draws.between(*jitter, seed, i, "scale")
     if how == "detection":
         h = boxes.height(host_box) * s
@@ -42,7 +48,7 @@ def pairing(spark: SparkSession, n_hosts: int, n_donors: int, seed: int, length:
 
 
 def composites(
-    hosts: DataFrame, donors: DataFrame, augmenter: Augmenter | None = None, seed: int = 0, into: str = "real", placement: str = "detection", donor_box: str = "paste",
+    hosts: DataFrame, donors: DataFrame, augmenter: Augmenter | None = None, seed: int = 0, into: str = "real", placement: str | Callable = "detection", donor_box: str = "paste",
     max_rotation_deg: float | None = 2.0, out_size: int = 256, length: int | None = None, min_donor: int = 4,
 ) -> DataFrame:
     """One row a composite: i, host_idx, donor_idx, box, window, seed, has_target, and the patches.
@@ -54,7 +60,7 @@ def composites(
         raise ValueError("donor_box must be 'paste' or 'detection'")
     spark = hosts.sparkSession
     augmenter = augmenter or Augmenter()
-    augmenter = Augmenter(capped(augmenter.built, max_rotation_deg), augmenter.context, augmenter.offset_frac, augmenter.feather_px, augmenter.p_clean, augmenter.match_levels, augmenter.dtype)
+    augmenter = replace(augmenter, ops=capped(augmenter.steps, max_rotation_deg))
     pairs = pairing(spark, hosts.count(), donors.count(), seed, length, into).withColumn("seed", draws.composite_seed(seed, F.col("i")))
     if into == "self":
         rows = pairs.join(donors.withColumnRenamed("idx", "donor_idx"), "donor_idx")

@@ -6,7 +6,6 @@ joins; a Python model is wrapped as an Arrow-batched UDF that sees one frame at
 
 from __future__ import annotations
 
-import importlib
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Mapping
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schema import BOX, DEFAULT_LABEL, DEFAULT_SCORE
 from . import augment, detections, lookup
+from .catalogue import Catalogue
 
 BOX_FIELDS = BOX[7:-1].replace(":", " ")
 
@@ -108,72 +108,26 @@ class GridDetector(Detector):
         return detections.decode(self.predictions.join(frames.select("path"), "path", "left_semi"), *self.args)
 
 
-_classes: dict[str, type | str] = {}
-_aliases: dict[str, str] = {}
-_notes: dict[str, str] = {}
+DETECTORS = Catalogue("detector", lambda x: isinstance(x, type) and issubclass(x, Detector))
+DETECTORS.add("function callable", FunctionDetector, "a Python function over pixels")
+DETECTORS.add("precomputed file json", PrecomputedDetector, "boxes read from a file")
+DETECTORS.add("metadata gt truth", MetadataDetector, "ground truth of rendered frames")
+DETECTORS.add("grid yolov3 yolo", GridDetector, "raw predictions of a one-stage model")
 
 
-def _plain(name: str) -> str:
-    return str(name).strip().lower()
-
-
-def _full(target: type | str) -> str:
-    return target if isinstance(target, str) else f"{target.__module__}:{target.__qualname__}"
-
-
-def register(name: str, target: type | str, *aliases: str, note: str = "") -> None:
-    """target: a class, or module:Class to be imported when first wanted. A name keeps its meaning."""
-    key = _plain(name)
-    if key in _classes and _full(_classes[key]) != _full(target):
-        raise ValueError(f"{key!r} already means {_full(_classes[key])}")
-    if not isinstance(_classes.get(key), type):
-        _classes[key] = target
-    _notes[key] = note or _notes.get(key, "")
-    for a in aliases:
-        _aliases.setdefault(_plain(a), key)
-
-
-def available() -> dict[str, str]:
-    return {k: _notes[k] for k in sorted(_classes)}
-
-
-def class_of(name: str) -> type:
-    key = _aliases.get(_plain(name), _plain(name))
-    target = _classes.get(key, name if ":" in str(name) else None)
-    if target is None:
-        raise KeyError(f"no detector {name!r}; there are {', '.join(sorted(_classes))}")
-    if isinstance(target, str):
-        module, _, attr = target.partition(":")
-        target = getattr(importlib.import_module(module), attr)
-    if not (isinstance(target, type) and issubclass(target, Detector)):
-        raise TypeError(f"{target} is no detector")
-    if key in _classes:
-        _classes[key] = target
-    return target
-
-
-def build(spec, **options) -> Detector:
-    """From a name, module:Class, a class, a mapping with a name, a function, or a detector itself."""
-    if isinstance(spec, Detector):
+def build(what, **options) -> Detector:
+    """A detector from a name (or module:attribute) or class, a function over pixels, or a mapping with a name and options; a detector stays what it is."""
+    if isinstance(what, Mapping):
+        options = {k: v for k, v in what.items() if k not in ("name", "type")} | options
+        what = what.get("name") or what.get("type") or ""
+    if isinstance(what, Detector):
         if options:
-            raise TypeError("options for a detector that is built already")
-        return spec
-    if isinstance(spec, Mapping):
-        rest = dict(spec)
-        name = rest.pop("name", None) or rest.pop("type", None)
-        if not name:
-            raise ValueError("a detector needs a name")
-        return build(name, **{**rest, **options})
-    if isinstance(spec, type):
-        if not issubclass(spec, Detector):
-            raise TypeError(f"{spec} is no detector")
-        return spec(**options)
-    if callable(spec):
-        return FunctionDetector(spec, **options)
-    return class_of(spec)(**options)
-
-
-register("function", FunctionDetector, "callable", note="a Python function over pixels")
-register("precomputed", PrecomputedDetector, "file", "json", note="boxes read from a file")
-register("metadata", MetadataDetector, "gt", "truth", note="ground truth of rendered frames")
-register("grid", GridDetector, "yolov3", "yolo", note="raw predictions of a one-stage model")
+            raise TypeError(f"{', '.join(options)}: the detector is made already")
+        return what
+    if isinstance(what, str):
+        what = DETECTORS.find(what)
+    if DETECTORS.fits(what):
+        return what(**options)
+    if isinstance(what, type) or not callable(what):
+        raise TypeError(f"{what!r} can't be used as a detector")
+    return FunctionDetector(what, **options)

@@ -100,16 +100,16 @@ def warp(px: np.ndarray, forward: np.ndarray, shape: tuple[int, int], border: st
     return (top * (1 - fy) + low * fy).astype(np.float32)
 
 
-def like_channels(px: np.ndarray, ndim: int, channels: int) -> np.ndarray:
-    """px with the channels of another image: averaged to gray or repeated; anything else is an error."""
-    have = px.shape[2] if px.ndim == 3 else 1
-    if ndim == 2:
-        return px if px.ndim == 2 else px.mean(axis=2).astype(np.float32)
-    if have == channels:
-        return px if px.ndim == 3 else px[..., None]
-    if have == 1:
-        return np.repeat(px if px.ndim == 3 else px[..., None], channels, axis=2)
-    raise ValueError(f"{have} channels where {channels} are wanted")
+def like_channels(px: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """px with as many channels as another image: gray by their mean, or one repeated."""
+    planes = np.atleast_3d(px)
+    wanted = np.atleast_3d(other).shape[2]
+    if other.ndim == 2 and planes.shape[2] > 1:
+        planes = planes.mean(axis=2, keepdims=True, dtype=px.dtype)
+    if planes.shape[2] not in (1, wanted):
+        raise ValueError(f"{planes.shape[2]} channels can't stand for {wanted}")
+    planes = np.repeat(planes, wanted // planes.shape[2], axis=2)
+    return planes[..., 0] if other.ndim == 2 else planes
 
 
 def synthetic_frame(height: int = 240, width: int = 320, seed: int = 0) -> np.ndarray:
