@@ -3,25 +3,29 @@
 A benchmark item is cut into windows of `size` consecutive words (an item of fewer, but
 not none, is one window). The corpus is searched for them in these steps:
 
-1. How often each benchmark word occurs is counted over all documents.
-2. For the `depth` rarest words of every window, postings (word, document, position)
+1. Every text is cut into words once; a written table holds the words' hashes and their
+   number, and the later steps read that.
+2. How often each benchmark word occurs is counted over all documents.
+3. For the `depth` rarest words of every window, postings (word, document, position)
    are stored: the index.
-3. The lists of a window's rarest words, each moved back by the word's offset in the
+4. The lists of a window's rarest words, each moved back by the word's offset in the
    window, are intersected, rarest first. What is left are places where a window can
    start.
-4. These few are compared word by word with their documents: exact phrase matches.
+5. At these few places the words themselves are read from their documents and joined
+   with the windows: exact phrase matches, whatever the hashes.
 
 Proximity matches instead ask that all words of a window lie within a given distance
 of an occurrence of its rarest one.
 
 Documents are known to the index by a hash of 96 bits of their text, so copies are
-searched once and a text that many rows share makes one document in every join. Words
-and windows of the benchmark are broadcast while they are fewer than BROADCAST rows
-and are joined by shuffle otherwise, and so are the documents with candidates.
+searched once and a text that many rows share makes one document in every join. No row
+holds more than a text's places (start, size), one number each. Hashes of benchmark words are
+broadcast while they are fewer than TERMS, other tables while they are fewer than
+BROADCAST rows; beyond that they are joined by shuffle.
 
 Defined results: a null text has no words; items without words match nothing; a null
 item_id counts as an empty one; items of equal words all count; rows that repeat, or
-share an id, get a result each.
+share an id, get a result each; very long texts are searched whole, at every place.
 """
 
 from __future__ import annotations
@@ -33,17 +37,20 @@ from .common import ascii_lower, let, stage, table
 
 SIZE = 10
 DEPTH = 2
-#: Rows that are broadcast at most.
-BROADCAST = 200_000
-#: What is no part of a word, once A-Z are lower-cased; and before.
+#: Rows, and hashes of words, that are broadcast at most.
+BROADCAST, TERMS = 200_000, 1_000_000
+#: What is no part of a word, once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
+def hashed(words_: Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
+
+
 def key_of(text: Column) -> list[Column]:
     text = F.coalesce(text, F.lit(""))
     return [F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")]
@@ -55,73 +62,77 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def windows(items: DataFrame, size: int = SIZE) -> DataFrame:
-    """A written table: window (a number), words, items (ids as strings, sorted)."""
+    """A written table: window (a number), phrase (its words, joined by blanks), size, words (hashes), items (ids as strings, sorted)."""
     cut = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
-    each = cut.select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, size))).alias("words"))
-    return stage(each.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("window", F.monotonically_increasing_id()), "windows")
+    each = cut.select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, size))).alias("w"))
+    named = each.groupBy(F.array_join("w", " ").alias("phrase")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    split = F.split("phrase", " ")
+    return stage(named.select(F.monotonically_increasing_id().alias("window"), "phrase", F.size(split).alias("size"), hashed(split).alias("words"), "items"), "windows")
 
 
-def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(k1, k2, pos, term) of the given terms in docs (text)."""
-    spread = docs.select(*key_of(F.col("text")), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return spread.join(terms, "term")
+def read_words(docs: DataFrame, text: str = "text", own: list[str] = ()) -> DataFrame:
+    """A written table: own (a struct of the columns so named), k1, k2, n_words, words (hashes in order) of every row of docs."""
+    parts = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in own]).alias("own")] if own else []), *key_of(F.col(text)), hashed(words(F.col(text))).alias("words"))
+    return stage(parts.withColumn("n_words", F.size("words").cast("long")), "words")
 
 
-def rarest(docs: DataFrame, wins: DataFrame, depth: int) -> DataFrame:
+def rarest(read: DataFrame, wins: DataFrame, depth: int) -> DataFrame:
     """A written table: window, size, rare: its `depth` rarest (n, term, offset); windows with a word that the corpus lacks are left out."""
-    places = wins.select("window", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
+    places = wins.select("window", "size", F.posexplode("words").alias("offset", "term"))
     vocabulary = stage(places.select("term").distinct(), "vocabulary")
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = read.select(F.explode("words").alias("term")).join(small(vocabulary, TERMS), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     known = places.join(counts, "term").groupBy("window", "size").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("all"))
     return stage(known.where("size(all) = size").select("window", "size", F.slice("all", 1, depth).alias("rare")), "rarest")
 
 
-def index(docs: DataFrame, rare: DataFrame) -> DataFrame:
+def index(read: DataFrame, rare: DataFrame) -> DataFrame:
     """A written table of postings (term, k1, k2, pos) of the words that are looked up, each once."""
     terms = stage(rare.select(F.explode("rare.term").alias("term")).distinct(), "terms")
-    return stage(occurrences(docs, small(terms)).distinct(), "postings")
+    spread = read.select("k1", "k2", F.posexplode("words").alias("pos", "term"))
+    return stage(spread.join(small(terms, TERMS), "term").select("term", "k1", "k2", "pos").distinct(), "postings")
 
 
 def candidates(postings: DataFrame, rare: DataFrame, depth: int) -> DataFrame:
-    """(window, k1, k2, start): places where the rarest words of a window stand as it has them."""
+    """(k1, k2, start, size): places where the rarest words of a window stand as it has them."""
     lists = small(rare.withColumn("term", F.col("rare")[0]["term"]))
-    found = postings.join(lists, "term").select("window", "rare", "k1", "k2", (F.col("pos") - F.col("rare")[0]["offset"]).alias("start")).where("start >= 0")
+    found = postings.join(lists, "term").select("size", "rare", "k1", "k2", (F.col("pos") - F.col("rare")[0]["offset"]).alias("start")).where("start >= 0")
     for i in range(1, depth):
         more = F.col("rare")[i]
         deep = found.where(F.size("rare") > i).withColumn("term", more["term"]).withColumn("pos", F.col("start") + more["offset"])
         # a window of fewer words has no further list
         found = deep.join(postings, ["term", "k1", "k2", "pos"]).select(*found.columns).unionByName(found.where(F.size("rare") <= i))
-    return found.select("window", "k1", "k2", "start")
+    return found.select("k1", "k2", "start", "size").distinct()
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = SIZE, depth: int = DEPTH) -> DataFrame:
-    """(k1, k2, found): for each text with matches, its exact ones as (start, end, items), end exclusive."""
+def matches(docs: DataFrame, items: DataFrame, size: int = SIZE, depth: int = DEPTH, read: DataFrame | None = None) -> DataFrame:
+    """(k1, k2, start, end, items): the exact matches in each text of docs (text), end exclusive; a written table.
+
+    read: read_words() of docs, if there already.
+    """
     wins = windows(items, size)
-    rare = rarest(docs, wins, depth)
-    places = candidates(index(docs, rare), rare, depth)
-    named = places.join(small(wins), "window").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "words", "items")).alias("places"))
-    named = stage(named, "candidates")
-    texts = docs.select("text", *key_of(F.col("text"))).join(small(named.select("k1", "k2")), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    texts = texts.join(named, ["k1", "k2"])
-    real = let(words(F.col("text")), lambda w: F.filter("places", lambda p: F.slice(w, p["start"] + 1, F.size(p["words"])) == p["words"]))
-    spans = F.array_sort(F.transform(real, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.size(p["words"])).alias("end"), p["items"].alias("items"))))
-    return texts.select("k1", "k2", spans.alias("found")).where("size(found) > 0")
-
-
-def covered(found: Column) -> Column:
-    """How many words lie in any of the spans, which are sorted by their start."""
+    read = read_words(docs) if read is None else read
+    rare = rarest(read, wins, depth)
+    places = candidates(index(read, rare), rare, depth).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "size")).alias("places"))
+    places = stage(places, "candidates")
+    texts = docs.select("text", *key_of(F.col("text"))).join(small(places.select("k1", "k2")), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).join(places, ["k1", "k2"])
+    there = let(words(F.col("text")), lambda w: F.transform("places", lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["size"]).alias("end"), F.array_join(F.slice(w, p["start"] + 1, p["size"]), " ").alias("phrase"))))
+    read_there = texts.select("k1", "k2", F.explode(there).alias("p")).select("k1", "k2", "p.*")
+    return stage(read_there.join(small(wins).select("phrase", "items"), "phrase").select("k1", "k2", "start", "end", "items"), "matches")
+
+
+def covered(spans: Column) -> Column:
+    """How many words lie in any of the spans (start, end), which are sorted by their start."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"))
-    return F.aggregate(found, zero, step, lambda acc: acc["n"])
+    return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
 def proximity(docs: DataFrame, items: DataFrame, slack: int, size: int = SIZE) -> DataFrame:
     """(k1, k2, pos, window): the rarest word of a window at pos, with every other word of it fewer than its size + slack words away."""
-    wins = windows(items, size)
-    rare = rarest(docs, wins, size)
-    terms = stage(rare.select(F.explode("rare.term").alias("term")).distinct(), "terms")
-    postings = stage(occurrences(docs, small(terms)).distinct(), "postings")
+    wins, read = windows(items, size), read_words(docs)
+    rare = rarest(read, wins, size)
+    postings = index(read, rare)
     seeds = postings.join(small(rare.withColumn("term", F.col("rare")[0]["term"])), "term")
     wanted = seeds.select("window", "k1", "k2", F.col("pos").alias("at"), (F.col("size") + slack).alias("reach"), F.array_distinct("rare.term").alias("terms"))
     near = wanted.withColumn("term", F.explode("terms")).join(postings, ["term", "k1", "k2"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("reach"))
@@ -129,27 +140,31 @@ def proximity(docs: DataFrame, items: DataFrame, slack: int, size: int = SIZE) -
     return met.where("seen = n").select("k1", "k2", F.col("at").alias("pos"), "window")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, depth: int = DEPTH) -> DataFrame:
-    """docs with n_words, n_hit, and items (sorted ids of the items with a match); clashing columns are replaced."""
-    own = [c for c in docs.columns if c not in ("k1", "k2", "n_words", "n_hit", "items", "found")]
-    found = matches(docs.select("text"), items, size, depth).select(
-        "k1", "k2", covered(F.col("found")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda s: s["items"])))).alias("items")
-    )
-    rows = docs.select(*own, *key_of(F.col("text")), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
-    out = rows.join(stage(found, "matches"), ["k1", "k2"], "left").drop("k1", "k2")
-    return out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, depth: int = DEPTH, keep: list[str] | None = None) -> DataFrame:
+    """docs (text and any other columns; those in `keep` are returned, else all) with n_words, n_hit, and items (sorted ids of the items with a match).
+
+    Columns of docs with these three names are replaced; all others come back as they were.
+    """
+    own = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "items")]
+    read = read_words(docs, "text", own)
+    found = matches(docs.select("text"), items, size, depth, read)
+    spans = found.select("k1", "k2", "start", "end").distinct().groupBy("k1", "k2").agg(covered(F.array_sort(F.collect_list(F.struct("start", "end")))).cast("long").alias("n_hit"))
+    names = found.select("k1", "k2", "items").distinct().select("k1", "k2", F.explode("items").alias("item")).distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    hits = stage(spans.join(names, ["k1", "k2"]), "hits")
+    out = read.drop("words").join(hits, ["k1", "k2"], "left")
+    return out.select("own.*", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """docs that hold no window of any item."""
-    found = stage(matches(docs.select("text"), items, size).select("k1", "k2"), "matches")
+    found = stage(matches(docs.select("text"), items, size).select("k1", "k2").distinct(), "matches")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *key_of(F.col("text")))
     return keyed.join(small(found), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    out = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    out = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
