@@ -66,3 +66,15 @@ def test_without_labels(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [r.score for r in quality.op10_quality(spark, str(tmp_path)).collect()] == [0.5]
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """A third of the labels and of the documents share an id: no more than `sample` labels are learned from, ids of any type."""
+    docs = spark.createDataFrame([("hot", f"text {i} of the hot id") for i in range(200)] + [(f"d{i}", "plain words of a text") for i in range(400)], "doc_id string, text string")
+    labels = spark.createDataFrame([("hot", 1)] * 150 + [("hot", 0)] * 150 + [(f"d{i}", i % 2) for i in range(300)], "doc_id string, quality long")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y: seen.append(len(rows)) or quality.Machine(0.0, np.zeros(quality.N, np.float32), np.zeros((quality.N, 1), np.float32)))
+    size = len(quality.features([b"plain words of a text"])[1])  # those of the hot id have one word more
+    for sample, most, want in ((50, 10**9, 50), (10_000, 10**9, 302), (10_000, 300 * size + 1, 300)):
+        quality.train(docs, labels, sample, most)
+        assert seen[-1] == want

@@ -7,13 +7,14 @@ into bins, and as metadata its length. The machine scores
     sigmoid(b + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2])
 
 so the interactions of all pairs of features cost time linear in their number. Weights
-are fitted on the driver by AdaGrad on a bounded sample of labelled rows (`sample`,
-all if there are fewer), whose features, not texts, are gathered; a text gives at most
-WORDS of them. Scoring reads every whole text.
+are fitted on the driver by AdaGrad on a bounded sample of labels (`sample`, all if
+there are fewer), whose texts' features, not texts, are gathered (`most` at most). Scoring
+reads every whole text, very long ones in one go.
 
 Defined results: a null text counts as empty; an empty text has its structure bins and
-a score like any other. Without any labelled row every score is 0.5. Several labels
-of one document: each counts as an example. Repeated rows score alike.
+a score like any other. Without any labelled row every score is 0.5. Different labels
+of one document each count as an example, equal ones once; of several texts with the id of
+a label, the one that sorts first is learned from. Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, in_small_batches, row_share, table, tidy
+from .common import crc_remainder, in_small_batches, row_share, stage, table, tidy
 
 WORD_BITS = 15
 WORDS = 1 << WORD_BITS
 BINS = 16
 FACTORS = 8
-#: Labelled rows to fit on, about.
-SAMPLE = 6000
+#: Labelled rows to fit on at most, and features of theirs: beyond these, the rows with the most features are left out.
+SAMPLE, MOST = 6000, 20_000_000
 ACCEPT = 0.3
 BLOCK = 1 << 20
 STATS = ("upper", "digit", "punctuation", "symbol", "high", "space", "word_length", "longest_word", "line_length", "lines", "variety", "repeats", "length")
@@ -190,29 +191,38 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
-    """A machine fitted on about `sample` of the labelled rows. docs: doc_id, text; labels: doc_id, quality.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Machine | None:
+    """A machine fitted on `sample` of the labels, those of the lowest hash. docs: doc_id, text; labels: doc_id, quality.
 
-    The labels are sampled before they meet the texts, so they are few enough to broadcast and no text is shuffled.
+    Equal labels count once, and a label goes with one text (of several rows with its id, the one
+    that sorts first), so `sample` labels are broadcast and no more rows gathered, whatever repeats.
     """
     in_small_batches(docs.sparkSession)
-    labels = labels.select("doc_id", "quality").where("quality is not null")
-    n = labels.count()
-    few = labels.where(row_share(F.col("doc_id"), F.col("quality"), F.lit("fm")) < min(1.0, sample / max(n, 1)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality")
+    known = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).where("doc_id is not null and quality is not null").distinct()
+    few = stage(known.withColumn("h", row_share(F.col("doc_id"), F.col("quality"), F.lit("fm"))).orderBy("h", "doc_id", "quality").limit(sample).drop("h"), "quality-labels")
+    wanted = F.broadcast(few.select("doc_id").distinct())  # `sample` rows at most
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            start, idx, val = features([t.encode() if isinstance(t, str) else b"" for t in b["text"]])
+            start, idx, val = features([t.encode() for t in b["text"]])
             cut = start[1:-1]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "idx": [x.astype(np.int32).tobytes() for x in np.split(idx, cut)], "val": [x.tobytes() for x in np.split(val, cut)]})
-
-    got = sorted(rows.mapInPandas(extract, "doc_id long, quality int, idx binary, val binary").collect(), key=lambda r: (r.doc_id, r.quality))  # bounded by `sample`
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": np.diff(start), "idx": [x.astype(np.int32).tobytes() for x in np.split(idx, cut)], "val": [x.tobytes() for x in np.split(val, cut)]})
+
+    rows = stage(texts.mapInPandas(extract, f"doc_id {kind}, n long, idx binary, val binary").join(F.broadcast(few), "doc_id"), "quality-features")
+    total = 0
+    for least in sorted((r.n for r in rows.select("n").collect()), reverse=False):  # `sample` numbers
+        total += least
+        if total > most:
+            rows = rows.where(F.col("n") < least)
+            break
+    got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.quality))  # `sample` rows and `most` features at most
     if not got:
         return None
-    return fit([(np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32)) for r in got], np.array([float(r.quality) for r in got]))
+    return fit([(np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32)) for r in got], np.array([r.quality for r in got]))
 
 
 def predict(machine: Machine | None, text: Column, spark: SparkSession) -> Column:
