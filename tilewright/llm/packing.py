@@ -1,28 +1,32 @@
 """Mixture-controlled packing by deficit round-robin.
 
 Every source is a queue of tokens, its documents one after another. Windows of `window`
-tokens are filled in slots of `quantum` tokens. Each slot goes to the queue that is
-furthest behind its share: with weight w_s, a queue's slot i falls due at
-(i + 1/2) / w_s, and slots are served in the order in which they fall due (ties by the
-queue's number). A queue that runs dry leaves the round and the others share what it
-would have got. So after any number of slots a queue is less than a slot away from its
-share of what was served: this difference is the deficit that passes from window to
-window.
-
-Nothing here is sequential. How many slots of every queue fall due before a given one
-is a sum over queues, so each task works out the slots, windows and deficits of its own
-documents from the queues' lengths alone, whatever partition they are in. A queue's
-last incomplete slot goes into a tail after all full slots, so at most one sequence is
-short; it is padded unless its length is a power of two.
+tokens are filled with slots of `quantum` tokens. With each slot every queue's deficit,
+what it is due less what it has got, grows by its share of the slot; of the queues that
+are due enough, the one whose deficit would first reach a whole slot is served and pays
+one. (With S queues, enough is 1 / (2S - 2) of a slot; this choice keeps every deficit
+between -1 and 1 slot for ever, whatever the shares: Tijdeman's bound for the chairman
+assignment problem.) Deficits pass from window to window. Within a window the slots of a
+queue lie together, so a queue has one run of tokens in it.
+
+Nothing here is sequential over the data. Shares are rounded to whole slots of a cycle of
+CYCLE windows (a queue has one slot in it at least); deficits are zero again at its end,
+so one cycle, worked out slot by slot, tells the place of every slot: each task works out
+the windows of its own documents from the queues' lengths alone, whatever partition they
+are in. When a queue can't fill its part of the next window it leaves the round, and the
+others share what it would have got: a new phase begins, at most one for each queue. What
+a queue has left then (less than a window and a slot) goes into a tail behind all
+windows, so at most one sequence is short; it is padded unless its length is a power of two.
 
 Sources are hashed into at most `queues` queues if there are more (so the table of
 queue lengths that goes to every task is bounded); those with a target weight keep
-queues of their own, and more of them than queues are an error. Token ids are computed once and
+queues of their own, and more of them than queues are an error. Without weights each
+phase gives every queue its share of the tokens that are left. Token ids are computed once and
 written to the shared folder, a row a document, and the pieces are cut from there.
 
 Defined results: a null text is empty and has the closing id alone; a null source is a
 queue of its own; repeated rows are packed as often as they occur; target weights of a
-source that isn't named are its natural share.
+source that isn't named are its natural share; very long texts are cut like others.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ from .common import in_small_batches, stage, table, tidy
 WINDOW = 1024
 QUANTUM = 64
 QUEUES = 256
+#: Windows after which the round-robin repeats itself.
+CYCLE = 512
 #: How a byte-level vocabulary cuts a text before it merges. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows of the table of queue starts (queues x partitions) that are broadcast at most.
@@ -135,56 +141,111 @@ def tokenized(docs: DataFrame, queues: int, vocabulary: str, probed: tuple, sour
     return stage(rows_in.mapInArrow(rows, f"doc_id {kind}, queue int, part int, n long, before long, ids binary"), "tokens", "zstd")
 
 
+def rounded_shares(shares: np.ndarray, total: int) -> np.ndarray:
+    """Whole numbers of sum `total` near shares x total, each 1 at least."""
+    exact = shares / shares.sum() * total
+    out = np.maximum(np.floor(exact).astype(np.int64), 1)
+    by = np.argsort(exact - out, kind="stable")
+    while (more := total - int(out.sum())) > 0:
+        out[by[::-1][:more]] += 1
+    while out.sum() > total:  # a queue below one slot was given one: the largest pays
+        out[out.argmax()] -= 1
+    return out
+
+
+def cycle_of(slots: np.ndarray) -> np.ndarray:
+    """Which queue each slot of a cycle goes to; slots: how many each queue has in it."""
+    n, total = len(slots), int(slots.sum())
+    if n == 1:
+        return np.zeros(total, np.int64)
+    deficit, out, parts = np.zeros(n, np.int64), np.empty(total, np.int64), 2 * n - 2
+    for i in range(total):
+        deficit += slots
+        ahead = (total * (parts - 1) - deficit * parts) / slots
+        out[i] = served = np.where(deficit * parts >= total, ahead, np.inf).argmin()
+        deficit[served] -= total
+    return out
+
+
 class Plan:
-    """Where every token of every queue goes, from the queues' lengths and weights."""
-
-    def __init__(self, lengths: np.ndarray, weights: np.ndarray, window: int = WINDOW, quantum: int = QUANTUM):
-        self.window, self.quantum = window, quantum
-        self.slots = lengths // quantum
-        self.rests = lengths % quantum
-        self.weights = np.maximum(weights, 1e-12) / weights.max()
-        self.full = int(self.slots.sum()) * quantum
-        self.tail = self.full + np.concatenate(([0], np.cumsum(self.rests)))
-        self.total = int(lengths.sum())
-
-    def due(self, queue: int, slot: np.ndarray) -> np.ndarray:
-        return (slot + 0.5) / self.weights[queue]
-
-    def served(self, other: int, queue: int, slot: np.ndarray) -> np.ndarray:
-        """Slots of `other` served before the given slots of `queue`; exact, as due() itself is compared."""
-        due = self.due(queue, slot)
-        n = np.clip(np.floor(due * self.weights[other] - 0.5).astype(np.int64) + 1, 0, self.slots[other])
-        before = (lambda k: (self.due(other, k) < due) | ((self.due(other, k) == due) & (other < queue)))
-        for _ in range(3):
-            n = np.where((n > 0) & ~before(n - 1), n - 1, n)
-            n = np.where((n < self.slots[other]) & before(n), n + 1, n)
-        return n
+    """Where every token of every queue goes, from the queues' lengths and, if given, target weights."""
+
+    def __init__(self, lengths: np.ndarray, weights: np.ndarray | None = None, window: int = WINDOW, quantum: int = QUANTUM):
+        self.window, self.quantum, self.each = window, quantum, window // quantum
+        self.total, self.n = int(lengths.sum()), len(lengths)
+        self.cycle = max(CYCLE, -(-8 * self.n // self.each))
+        self._tables: dict[int, tuple] = {}
+        left, open_, at = lengths // quantum, lengths >= quantum, 0
+        self.phases: list[tuple[int, np.ndarray, np.ndarray]] = []  # first window, queues, their slots in a cycle
+        base = [np.zeros(self.n, np.int64)]  # slots of each queue that were served before each phase
+        while open_.any():
+            who = np.flatnonzero(open_)
+            share = np.maximum((left if weights is None else weights)[who].astype(float), 1e-12)
+            self.phases.append((at, who, rounded_shares(share, self.cycle * self.each)))
+            before, _ = self.table(len(self.phases) - 1)
+            m = self.phases[-1][2]
+            runs = np.array([left[q] // m[i] * self.cycle + np.searchsorted(before[:, i], left[q] % m[i], side="right") - 1 for i, q in enumerate(who)])
+            n = int(runs.min())  # windows for which every queue has enough
+            served = n // self.cycle * m + before[n % self.cycle]
+            left = left.copy()
+            left[who] -= served
+            base.append(base[-1].copy())
+            base[-1][who] += served
+            open_[who[runs == n]] = False
+            at += n
+        self.base = np.array(base)
+        self.edge = self.base[-1] * quantum  # tokens of each queue in windows; the others are its tail
+        self.tail = at * window + np.concatenate(([0], np.cumsum(lengths - self.edge)))
+        self._tables = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": {}}  # each task works out the cycles that it needs
+
+    def table(self, phase: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window of the cycle, queue): the queue's slots in earlier windows, and those of earlier queues in this one."""
+        if phase not in self._tables:
+            m = self.phases[phase][2]
+            slot = np.arange(self.cycle * self.each) // self.each * len(m) + cycle_of(m)
+            count = np.bincount(slot, minlength=self.cycle * len(m)).reshape(self.cycle, len(m))
+            before = np.vstack((np.zeros(len(m), np.int64), np.cumsum(count, axis=0)))
+            self._tables[phase] = before, np.cumsum(count, axis=1) - count
+        return self._tables[phase]
 
     def places(self, queue: int, slot: np.ndarray) -> np.ndarray:
-        """The place of the queue's slots among all full slots."""
-        return slot + sum((self.served(o, queue, slot) for o in range(len(self.slots)) if o != queue and self.slots[o]), np.zeros(len(slot), np.int64))
+        """The place among all slots of the queue's slots that lie in windows."""
+        phase = np.searchsorted(self.base[:, queue], slot, side="right") - 1
+        out = np.empty(len(slot), np.int64)
+        for p in np.unique(phase):
+            mine = np.flatnonzero(phase == p)
+            first, who, m = self.phases[p]
+            before, beside = self.table(int(p))
+            i = int(np.searchsorted(who, queue))
+            cycle, rest = np.divmod(slot[mine] - self.base[p, queue], m[i])
+            w = np.searchsorted(before[:, i], rest, side="right") - 1
+            out[mine] = (first + cycle * self.cycle + w) * self.each + beside[w, i] + rest - before[w, i]
+        return out
 
     def pieces(self, queue: int, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of n tokens from place `begin` of a queue as pieces: (run, start within it, length, place in the whole stream)."""
-        q, edge = self.quantum, int(self.slots[queue]) * self.quantum
-        end = begin + n
+        q, edge, end = self.quantum, int(self.edge[queue]), begin + n
+
+        def each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            run = np.repeat(np.arange(len(count)), count)
+            return run, np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+
         stop = np.minimum(end, edge)
-        first, count = begin // q, np.maximum(-(-stop // q) - begin // q, 0)
-        run = np.repeat(np.arange(len(begin)), count)
-        slot = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        run, nth = each(np.maximum(-(-stop // q) - begin // q, 0))
+        slot = begin[run] // q + nth
         a, b = np.maximum(slot * q, begin[run]), np.minimum((slot + 1) * q, stop[run])
         place = self.places(queue, slot) * q + a - slot * q
-        late = np.flatnonzero(end > edge)
-        x = np.maximum(begin[late], edge)
-        run = np.concatenate((run, late))
-        start = np.concatenate((a - begin[run[: len(a)]], x - begin[late]))
-        length = np.concatenate((b - a, end[late] - x))
-        place = np.concatenate((place, self.tail[queue] + x - edge))
-        # full slots lie within windows; a rest, shorter than a slot, may cross one end
-        room = self.window - place % self.window
-        over = length > room
-        run, start, place = np.concatenate((run, run[over])), np.concatenate((start, (start + room)[over])), np.concatenate((place, (place + room)[over]))
-        length = np.concatenate((np.where(over, room, length), (length - room)[over]))
+        # the tail is one run, cut where windows end
+        x = np.maximum(begin, edge)
+        there, size = self.tail[queue] + x - edge, np.maximum(end - x, 0)
+        late, nth = each(np.where(size > 0, (there + size - 1) // self.window - there // self.window + 1, 0))
+        low = np.maximum(there[late], (there[late] // self.window + nth) * self.window)
+        high = np.minimum(there[late] + size[late], (there[late] // self.window + nth + 1) * self.window)
+        run, start = np.concatenate((run, late)), np.concatenate((a - begin[run], low - there[late] + x[late] - begin[late]))
+        length, place = np.concatenate((b - a, high - low)), np.concatenate((place, low))
         by = np.lexsort((start, run))
         run, start, length, place = run[by], start[by], length[by], place[by]
         if len(run) > 1:  # join neighbours
@@ -198,7 +259,7 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
     """Pieces of docs (doc_id, text, source): doc_id, queue, start, length, ids (binary), doc_tokens, sequence_id, offset, padded_length.
 
     weights: target shares by source; without them each queue's share of all tokens, so
-    all run dry together. With more sources than queues those named here have queues of
+    all run dry together but for rounding. With more sources than queues those named here have queues of
     their own and the others are hashed.
     """
     if window % quantum:
@@ -226,13 +287,13 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
     lengths = np.zeros(width, np.int64)
     for r in parts.groupBy("queue").agg(F.sum("tokens").alias("n")).collect():  # at most queues + 1 rows
         lengths[r.queue] = r.n
-    share = lengths.astype(float)
+    share = None
     if weights:
-        total = share.sum()
+        share = lengths.astype(float)
         for i, s in enumerate(sources):
             if s in weights:
-                share[i + 1] = weights[s] * total
-    plan = Plan(lengths, share if share.max() > 0 else np.ones(width), window, quantum)
+                share[i + 1] = weights[s] * lengths.sum()
+    plan = Plan(lengths, share, window, quantum)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
