@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from test_decontam import brute as benchmark_hits
+from test_near_copies import smallest
 from test_packing import check_pieces
-from test_simhash import brute_components, brute_print
 
 import corpus_pipeline
 from tilewright.llm import lang_id, packing, quality
@@ -48,9 +48,9 @@ def test_quality_keeps_good_ones(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    rows = stages[2].select("doc_id", "text").orderBy("doc_id").collect()
-    roots = brute_components([brute_print(r.text) for r in rows])
-    assert ids(stages[3]) == sorted({rows[r].doc_id for r in roots})
+    """Groups by the exact Jaccard similarity of five-word shingles, over all pairs."""
+    rows = sorted((r.doc_id, r.text) for r in stages[2].select("doc_id", "text").collect())
+    assert ids(stages[3]) == sorted(set(smallest(rows).values()))
 
 
 def test_benchmark_text_is_gone(spark, stages):

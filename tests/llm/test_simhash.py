@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tilewright.llm import simhash
 
@@ -37,7 +38,7 @@ def test_query_is_brute_force(spark, sf):
 
 
 def test_links_over_large_cells(spark, monkeypatch):
-    """Chains within a cell of many members, cut into many chunks, keep every component."""
+    """Chains within a cell of many members, cut into further cells, keep every component."""
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 1 << 63, 5)]
     prints = set()
@@ -48,7 +49,7 @@ def test_links_over_large_cells(spark, monkeypatch):
                 x ^= 1 << int(bit)
             prints.add(x)
     prints = sorted(prints)
-    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "CELL", 16)
     df = spark.createDataFrame([(simhash.as_signed(x),) for x in prints], "fp long")
     roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
     got = [roots.get(simhash.as_signed(x), simhash.as_signed(x)) for x in prints]
@@ -75,3 +76,31 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.keep_one(df).count() == 0
+
+
+def test_pivots_discard_only_what_is_apart(spark):
+    """The largest coordinate difference never exceeds the distance, and pivots lie apart."""
+    rng = np.random.default_rng(2)
+    prints = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 300)]
+    pivots = simhash.choose_pivots(spark.createDataFrame([(x,) for x in prints], "fp long"))
+    assert len(set(pivots)) == simhash.PIVOTS and set(map(simhash.as_signed, pivots)) <= set(prints)
+    fp = np.array(prints, np.int64).view(np.uint64)
+    own = np.bitwise_count(fp[:, None] ^ np.array(pivots, np.uint64)[None]).astype(int)
+    df = spark.createDataFrame([(x,) for x in prints], "fp long").select("fp", simhash.pivot_table(F.col("fp"), pivots).alias("piv"))
+    got = {r.fp: np.array(r.piv, np.int64).view(np.uint8).tolist() for r in df.collect()}
+    assert all(got[p] == own[i].tolist() for i, p in enumerate(prints))
+    for i in range(0, 300, 7):
+        assert (np.abs(own - own[i]).max(axis=1) <= np.bitwise_count(fp ^ fp[i])).all()
+    assert simhash.choose_pivots(spark.createDataFrame([], "fp long")) == simhash.splitmix(simhash.PIVOTS)
+
+
+def test_a_long_chain_is_one_component(spark):
+    """As many rounds as it takes: no bound on the length of a chain."""
+    edges = spark.createDataFrame([(i + 1, i) for i in range(3000)], "a long, b long")
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
+
+
+def test_a_hot_fingerprint_joins_by_broadcast(spark):
+    rows = [(i, "the same text of many rows") for i in range(400)] + [(1000 + i, f"text {i * 7919} of its {i * 104729} own words {i * 1299709}") for i in range(200)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 600 and {r.component_id for r in got if r.doc_id < 400} == {0}

@@ -53,6 +53,21 @@ def tidy() -> None:
             trim(0)
 
 
+def hot_join(rows: DataFrame, lookup: DataFrame, key: str, hot: int = 4) -> DataFrame:
+    """rows with the columns of lookup, which has each key once and n, how many rows have it.
+
+    Keys with more than a partition's share of the rows, over `hot`, are broadcast (`hot` x
+    partitions of them at most), so none of them is gathered in a task. Both should be written tables.
+    """
+    parts = hot * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = lookup.agg(F.sum("n")).first()[0] or 0
+    common = lookup.where(F.col("n") * parts > total)
+    if not common.take(1):
+        return rows.join(lookup, key)
+    rest = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(lookup.where(F.col("n") * parts <= total), key)
+    return rows.join(F.broadcast(common), key).unionByName(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -6,10 +6,11 @@ documents that links connect form a component.
 
 Pairs are found among distinct fingerprints:
 
-1. The distances of every fingerprint to a fixed set of reference fingerprints (the
-   pivots) are computed once. The difference of two fingerprints' distances to one
-   pivot is at most their own distance, so a pair with a coordinate difference over
-   3 is discarded unseen; the survivors are verified bit by bit.
+1. The distances of every fingerprint to the pivots, PIVOTS reference fingerprints, are
+   computed once. The pivots are fingerprints of the input that lie far apart. The
+   difference of two fingerprints' distances to one pivot is at most their own distance,
+   so a pair whose largest coordinate difference is over 3 is discarded unseen; the
+   survivors are verified bit by bit.
 2. A random pivot halves the pairs at best, whatever the number of fingerprints, so
    the table alone would still look at all pairs. The pivots of one bit each (and the
    zero fingerprint) give coordinates from which the bits themselves are read off: a
@@ -17,16 +18,22 @@ Pairs are found among distinct fingerprints:
    fingerprints with at most 3 differing bits agree on two at least, so pairs are only
    formed in cells of equal coordinates on two of the five blocks (ten cells for each
    fingerprint, no link is lost).
-3. A cell with many members is cut into chunks, and each pair of chunks is a unit of
-   work of its own. A unit returns a spanning forest of its links, not all of them.
+3. A cell of more than CELL members is cut into cells of its own in the same way: the
+   bits that it doesn't fix yet are five new blocks. Each such cut fixes two fifths of
+   what is left (26, 41, 50 and at least 55 of 64 bits), so after the third a cell has
+   no more than 2^9 = CELL possible members: no more than CELL are ever compared with each
+   other, and nothing is capped. A cell returns a spanning forest of its links, not all.
 
 With `least` given, near_duplicates and keep_one link texts by the exact Jaccard similarity
 of their sets of word shingles instead. Candidates share a band of MinHashes (BANDS of ROWS:
-of pairs at 0.8 all but 1 in 14,000 do); buckets of the same members are looked at once,
-large ones in chunks as above, and every link is verified on the texts themselves.
+of pairs at 0.8 all but 1 in 14,000 do), and every link is verified on the texts themselves.
+Buckets of the same members are looked at once. The first bands are verified first; of the
+others, buckets whose members are already connected have nothing to add and are left out,
+so the copies of a large group are read for few buckets.
 
 Defined results: a text without words, or null, has fingerprint 0 and links like any
-other. A null doc_id has a fingerprint and takes its component's smallest known id.
+other. A null doc_id has a fingerprint and takes its component's smallest known id. Very long
+texts are hashed whole, in blocks; repeated rows share a fingerprint and a component.
 """
 
 from __future__ import annotations
@@ -41,16 +48,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, in_small_batches, shared_dir, stage, table, tidy
+from .common import ascii_lower, hot_join, in_small_batches, shared_dir, stage, table, tidy
 
 MAX_BITS = 3
 SEED = 42
-#: First bit and width of each block.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Most members of a cell that are compared at once with as many others.
-CHUNK = 512
-#: MinHash bands of a text, and MinHashes in each.
-BANDS, ROWS = 24, 5
+#: Blocks of bits that cells are formed of; two of them agree at MAX_BITS or fewer differing bits.
+BLOCKS = 5
+#: Members of a cell that are compared with each other; larger ones are cut further.
+CELL = 512
+#: Pivots, eight to a bigint, and fingerprints that they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 32, 2048
+#: Most members of a MinHash bucket that are compared at once with as many others, and shingles of theirs.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: MinHash bands of a text, MinHashes in each, and bands that are verified first.
+BANDS, ROWS, FIRST_BANDS = 24, 5, 4
 
 
 def splitmix(n: int) -> list[int]:
@@ -65,24 +76,28 @@ def splitmix(n: int) -> list[int]:
     return out
 
 
-#: Eight distances of at most 64 fit into one bigint, a byte each.
-PIVOTS = splitmix(8)
-
-
-def fingerprint_of(text: str | None, words: int = 3, block: int = 1 << 16) -> int:
+def shingle_hashes(text: str | None, words: int, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, a block at a time; a shorter text is one shingle, none has none."""
     tokens = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
-    starts, ends = starts[:n].tolist(), ends[len(tokens) - n :].tolist()
-    h, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    del tokens
+    starts, ends, h = starts[:n], ends[len(ends) - n :], xxhash.xxh64_intdigest
     for at in range(0, n, block):
-        hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts[at : at + block], ends[at : at + block])], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+        a, b = starts[at : at + block].tolist(), ends[at : at + block].tolist()
+        yield np.fromiter((h(joined[x:y], SEED) for x, y in zip(a, b)), np.uint64, len(a))
+
+
+def fingerprint_of(text: str | None, words: int = 3) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True) if n else 0
 
 
 def fingerprint(text: Column, words: int = 3) -> Column:
@@ -101,18 +116,37 @@ def as_signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivot_table(fp: Column) -> Column:
-    """The distances to the pivots, packed into one bigint."""
-    packed = F.lit(0).cast("long")
-    for i, p in enumerate(PIVOTS):
-        packed = packed.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(as_signed(p)))).cast("long"), 8 * i))
-    return packed
+def choose_pivots(prints: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> list[int]:
+    """n reference fingerprints: of a bounded sample of the input's (by hash) always the one farthest from those chosen; fixed numbers where there are too few."""
+    some = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)  # `sample` rows at most
+    out: list[int] = []
+    if len(some):
+        far = np.full(len(some), 65, np.int64)
+        while len(out) < n and far.max() > MAX_BITS:
+            out.append(int(some[far.argmax()]))
+            far = np.minimum(far, np.bitwise_count(some ^ np.uint64(out[-1])))
+    return out + splitmix(n - len(out))
+
 
+def pivot_table(fp: Column, pivots: list[int]) -> Column:
+    """array<bigint>: the distances to the pivots, eight of them packed into each number."""
+    packed = []
+    for at in range(0, len(pivots), 8):
+        one = F.lit(0).cast("long")
+        for i, p in enumerate(pivots[at : at + 8]):
+            one = one.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(as_signed(p)))).cast("long"), 8 * i))
+        packed.append(one)
+    return F.array(*packed)
 
-def cell_keys(fp: Column) -> Column:
-    """array<bigint>: for every two blocks, which two they are and the bits there."""
-    parts = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    return F.array(*[F.shiftleft(a, 13).bitwiseOR(b).bitwiseOR(F.lit(i << 26)) for i, (a, b) in enumerate(combinations(parts, 2))])
+
+def cut(bits: list[int]) -> list[list[int]]:
+    """The bits as BLOCKS blocks of neighbours, as equal as can be."""
+    return [list(map(int, x)) for x in np.array_split(np.array(bits, int), BLOCKS)]
+
+
+def splits(bits: list[int]) -> list[tuple[list[int], list[int]]]:
+    """For every two blocks of the bits: theirs, and the rest."""
+    return [([*a, *b], [x for x in bits if x not in a and x not in b]) for a, b in combinations(cut(bits), 2)]
 
 
 def linked(fa, fb, pa_, pb) -> np.ndarray:
@@ -142,17 +176,14 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k, i, j) in, links between nodes out.
+    """Rows (way, k, fp, piv) sorted by (way, k) in, links between members of a cell out; a run of equal (way, k) is one cell."""
 
-    A run of equal (k, i, j) is one unit of work; c tells which chunk a row is of.
-    """
-    held: list[pa.RecordBatch] = []
-
-    def work(t: dict[str, np.ndarray]):
-        node, c = t["fp"], t["c"]
+    def work(parts: list[pa.RecordBatch], cut: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).slice(0, cut).combine_chunks()
+        way, k, node = (t[c].to_numpy() for c in ("way", "k", "fp"))
         fp = node.view(np.uint64)
-        piv = np.ascontiguousarray(t["piv"]).view(np.uint8).reshape(-1, 8).astype(np.int16)
-        new = np.flatnonzero(np.concatenate(([True], (t["k"][1:] != t["k"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1]))))
+        piv = t["piv"].combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(fp), -1).astype(np.int16)
+        new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (way[1:] != way[:-1]))))
         size = np.diff(np.append(new, len(fp)))
         out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for length in np.unique(size):
@@ -160,22 +191,20 @@ def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if length <= 16:  # all cells of this size together
                 for x in range(length):
                     for y in range(x + 1, length):
-                        p, q = at + x, at + y
-                        keep = (c[p] != c[q]) | (t["i"][p] == t["j"][p])
-                        p, q = p[keep], q[keep]
-                        ok = linked(fp[p], fp[q], piv[p], piv[q])
-                        out.append((node[p[ok]], node[q[ok]]))
+                        ok = linked(fp[at + x], fp[at + y], piv[at + x], piv[at + y])
+                        out.append((node[at[ok] + x], node[at[ok] + y]))
                 continue
             for s in at:
                 e = s + length
-                same = t["i"][s] == t["j"][s]
-                left = np.arange(s, e) if same else s + np.flatnonzero(c[s:e] == t["i"][s])
-                right = left if same else s + np.flatnonzero(c[s:e] == t["j"][s])
+                by = s + np.argsort(piv[s:e, 0], kind="stable")  # along a pivot, what lies over MAX_BITS ahead is out of reach
+                reach = np.searchsorted(piv[by, 0], piv[by, 0] + MAX_BITS, side="right")
                 found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-                for row in range(0, len(left), 64):
-                    p, q = (x.ravel() for x in np.meshgrid(left[row : row + 64], right, indexing="ij"))
-                    if same:
-                        p, q = p[p < q], q[p < q]
+                for row in range(0, length, 64):
+                    ends = reach[row : row + 64]
+                    count = ends - np.arange(row, row + len(ends)) - 1
+                    p = np.repeat(np.arange(row, row + len(ends)), count)
+                    q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+                    p, q = by[p], by[q]
                     ok = linked(fp[p], fp[q], piv[p], piv[q])
                     found.append((p[ok] - s, q[ok] - s))
                 a, b = (np.concatenate(x) for x in zip(*found))
@@ -185,22 +214,20 @@ def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.concatenate(x) for x in zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    def columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        whole = pa.Table.from_batches(parts)
-        return {n: whole[n].to_numpy() for n in ("k", "i", "j", "c", "fp", "piv")}
-
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = columns([*held, batch])
-        last = (t["k"] == t["k"][-1]) & (t["i"] == t["i"][-1]) & (t["j"] == t["j"][-1])
-        cut = len(last) - int(last.sum())  # the last run may go on in the next batch
-        if cut:
-            yield work({n: v[:cut] for n, v in t.items()})
-        rest = pa.Table.from_batches([*held, batch]).slice(cut).combine_chunks()
-        held = rest.to_batches()
+        held.append(batch)
+        way, k = batch["way"].to_numpy(), batch["k"].to_numpy()
+        last = int(((way == way[-1]) & (k == k[-1])).sum())  # the last cell may go on in the next batch
+        if last == batch.num_rows:
+            continue
+        total = sum(b.num_rows for b in held)
+        yield work(held, total - last)
+        held = [batch.slice(batch.num_rows - last)]
     if held:
-        yield work(columns(held))
+        yield work(held, sum(b.num_rows for b in held))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -208,20 +235,39 @@ def links(prints: DataFrame) -> DataFrame:
 
     prints: (fp), each once.
     """
-    cells = prints.select("fp", pivot_table(F.col("fp")).alias("piv"), F.explode(cell_keys(F.col("fp"))).alias("k"))
-    shared = cells.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    members = cells.join(shared, "k").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = units.select("k", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "fp", "piv")
-    return units.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(cell_links, "a long, b long").distinct()
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    spark, where = prints.sparkSession, ["way", "k"]
+    ways = splits(list(range(64)))  # of each way into a cell: the bits that it fixes, and those left
+    masks = [as_signed(sum(1 << b for b in fixed)) for fixed, _ in ways]
+    tables = prints.withColumn("piv", pivot_table(F.col("fp"), choose_pivots(prints)))
+    todo = tables.select("fp", "piv", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("c")).select("fp", "piv", "c.*")
+    found = []
+    while True:
+        sizes = stage(todo.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-cells")
+        found.append(todo.join(sizes.where(F.col("n") <= CELL).select(*where), where))
+        large = sizes.where(F.col("n") > CELL)
+        cut_on = sorted(r.way for r in large.select("way").distinct().collect())  # 10, 100 or 1000 ways at most
+        if not cut_on:
+            break
+        deeper = [(old, fixed + more, rest) for old in cut_on for fixed, left in [ways[old]] for more, rest in splits(left)]
+        steps = spark.createDataFrame([(old, new, as_signed(sum(1 << b for b in fixed))) for new, (old, fixed, _) in enumerate(deeper)], "way int, new int, mask long")
+        members = stage(todo.join(large.select(*where), where).select("fp", "piv", "way"), "simhash-large-cells")
+        # ten rows for each way that is cut
+        todo = members.join(F.broadcast(steps), "way").select("fp", "piv", F.col("new").alias("way"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
+        ways = [(fixed, rest) for _, fixed, rest in deeper]
+    # cells of different depths never meet: their numbers of ways are kept apart
+    cells = None
+    for depth, part in enumerate(found):
+        part = part.select((F.col("way") + depth * 1_000_000).alias("way"), "k", "fp", "piv")
+        cells = part if cells is None else cells.unionByName(part)
+    return cells.repartition(*where).sortWithinPartitions(*where).mapInArrow(cell_links, "a long, b long").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of the edges with the smallest node it is connected to.
 
     Large-star and small-star steps in turn: each node's larger neighbours, then its
     smaller ones, are hung on the smallest node around, until only stars are left.
-    Every round is checkpointed in the shared folder.
+    Every round is checkpointed in the shared folder; there are as many as it takes.
     """
     shared_dir(edges.sparkSession)
 
@@ -237,14 +283,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = edges.checkpoint()
-    seen = mark(edges)
-    for _ in range(rounds):
+    now = mark(edges)
+    while True:  # ends, as roots only fall
         edges = step(edges).checkpoint()
-        now = mark(edges)
+        seen, now = now, mark(edges)
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
-    raise RuntimeError(f"components are not stable after {rounds} rounds")
 
 
 def normal_key(text: Column) -> Column:
@@ -253,35 +297,35 @@ def normal_key(text: Column) -> Column:
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The hashes of a text's distinct shingles, sorted; a shorter text is one shingle."""
-    tokens = (text or "").encode().lower().split()
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))], np.uint64))
+    """The hashes of a text's distinct shingles, sorted; a shorter text is one shingle, and so is none."""
+    blocks = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(blocks)) if blocks else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 
 
 def band_keys(text: Column, words: int) -> Column:
-    """array<bigint>: a hash of every band of MinHashes."""
+    """struct<shingles int, bands array<bigint>>: how many distinct shingles, and a hash of every band of MinHashes."""
 
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("shingles int, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         flip, odd = (np.array(splitmix(2 * BANDS * ROWS), np.uint64).reshape(2, -1, 1))
         odd = odd | np.uint64(1)
         for texts in batches:
-            out = []
+            sizes, out = [], []
             for t in texts:
                 hashes, low = shingle_set(t if isinstance(t, str) else None, words), None
                 for at in range(0, len(hashes), 2048):
                     part = ((hashes[None, at : at + 2048] ^ flip) * odd).min(axis=1)
                     low = part if low is None else np.minimum(low, part)
+                sizes.append(len(hashes))
                 out.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(low.reshape(BANDS, ROWS))])
-            yield pd.Series(out)
+            yield pd.DataFrame({"shingles": np.array(sizes, np.int32), "bands": out})
         tidy()
 
     return of(text)
 
 
 def similar_links(words: int, least: float):
-    """Rows (k, i, j, c, node, text) sorted by (k, i, j) in, links between similar nodes out: a spanning forest of each unit's."""
+    """Rows (k, i, j, c, node, root, text) sorted by (k, i, j) in, links between similar nodes out: with the roots, a spanning forest of each unit's."""
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
         if min(len(x), len(y)) < least * max(len(x), len(y)):
@@ -293,10 +337,10 @@ def similar_links(words: int, least: float):
         unit, members = None, []  # of each member: chunk, node, shingles, and the label of its component
         for batch in batches:
             a, b = [], []
-            for k, i, j, c, node, text in zip(*(batch[n].to_pylist() for n in ("k", "i", "j", "c", "node", "text"))):
+            for k, i, j, c, node, root, text in zip(*(batch[n].to_pylist() for n in ("k", "i", "j", "c", "node", "root", "text"))):
                 if unit != (k, i, j):
                     unit, members = (k, i, j), []
-                own, label = shingle_set(text, words), len(members)
+                own, label = shingle_set(text, words), root
                 for m in members:
                     if m[3] != label and (i == j or m[0] != c) and alike(m[2], own):
                         a.append(max(m[1], node))
@@ -313,19 +357,29 @@ def similar_links(words: int, least: float):
 
 
 def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """(a, b): links between texts with a Jaccard similarity of at least `least`. nodes: (fp, first_id, bands), each fp once."""
-    cells = nodes.select(F.col("fp").alias("node"), F.explode("bands").alias("k"))
-    shared = cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    shared = shared.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    members = stage(cells.join(shared, "k"), "minhash-members")
-    wanted = members.select(F.col("node").alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp")
+    """(a, b): links between texts with a Jaccard similarity of at least `least`. nodes: (fp, first_id, shingles, bands), each fp once."""
     rows = docs.select(F.col(id_col).alias("first_id"), normal_key(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
-    texts = rows.where("first_id is not null").join(wanted, ["first_id", "fp"]).select("fp", "text")
-    texts = texts.unionByName(rows.where("first_id is null").join(wanted.where("first_id is null").select("fp"), "fp").select("fp", "text"))
-    texts = stage(texts.dropDuplicates(["fp"]).withColumnRenamed("fp", "node"), "minhash-texts")
-    units = members.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = units.select("k", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node").join(texts, "node").select("k", "i", "j", "c", "node", "text")
-    return units.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(similar_links(words, least), "a string, b string").distinct()
+    cells = nodes.select(F.col("fp").alias("node"), "shingles", F.posexplode("bands").alias("band", "k"))
+
+    def verify(cells: DataFrame) -> DataFrame:
+        """cells: node, root, shingles, k. Buckets whose members have one root are left out, as are those of the same members as another."""
+        same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+        shared = cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"), F.min("root").alias("low"), F.max("root").alias("high"), *same).where("low != high")
+        chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
+        shared = shared.groupBy("n", "s", "x", "y").agg(F.min("k").alias("k")).select("k", chunks.alias("chunks"))
+        members = stage(cells.join(shared, "k").select("k", "chunks", "node", "root"), "minhash-members")
+        wanted = members.select(F.col("node").alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp")
+        texts = rows.where("first_id is not null").join(wanted, ["first_id", "fp"]).select("fp", "text")
+        texts = texts.unionByName(rows.where("first_id is null").join(wanted.where("first_id is null").select("fp"), "fp").select("fp", "text"))
+        texts = stage(texts.dropDuplicates(["fp"]).withColumnRenamed("fp", "node"), "minhash-texts")
+        units = members.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        units = units.select("k", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "root").join(texts, "node").select("k", "i", "j", "c", "node", "root", "text")
+        return stage(units.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(similar_links(words, least), "a string, b string").distinct(), "minhash-links")
+
+    first = verify(cells.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")))
+    roots = components(first)
+    others = cells.where(F.col("band") >= FIRST_BANDS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return first.unionByName(verify(others))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, least: float | None = None) -> DataFrame:
@@ -335,19 +389,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     normal_key()s, linked at a Jaccard similarity of at least that between sets of `words`-word shingles.
     """
     in_small_batches(docs.sparkSession)
+    first = [F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")]
     if least is None:
         prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "simhash")
-        nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+        nodes = stage(prints.groupBy("fp").agg(*first), "simhash-nodes")
         found = links(nodes.select("fp"))
     else:
-        prints = stage(docs.select(F.col(id_col).alias("doc_id"), normal_key(F.col(text_col)).alias("fp"), band_keys(F.col(text_col), words).alias("bands")), "minhash")
-        nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "minhash-nodes")
+        prints = stage(docs.select(F.col(id_col).alias("doc_id"), normal_key(F.col(text_col)).alias("fp"), band_keys(F.col(text_col), words).alias("m")), "minhash")
+        nodes = stage(prints.groupBy("fp").agg(*first, F.first("m").alias("m")).select("fp", "first_id", "n", "m.*"), "minhash-nodes")
         found = verified_links(docs, nodes, id_col, text_col, words, least)
     roots = components(found).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("component", F.coalesce("root", "fp"))
-    names = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = rooted.select("fp", "component").join(names, "component")
-    return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component", "component_id")
+    rooted = stage(nodes.join(roots, "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("component")), "simhash-roots")
+    names = stage(rooted.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-names")
+    named = stage(hot_join(rooted.select("fp", "component", F.col("n").alias("rows")), names, "component").select("fp", "component", "component_id", F.col("rows").alias("n")), "simhash-named")
+    return hot_join(prints.select("doc_id", "fp"), named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, least: float | None = None) -> DataFrame:
