@@ -99,6 +99,12 @@ def epoch_order(n: int, seed: int, epoch: int) -> np.ndarray:
     return np.random.default_rng([seed, epoch, ORDER_STREAM]).permutation(n)
 
 
+def spread_column(n: Column, k: int) -> Column:
+    """array<bigint>: spread() for a column of sizes."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (n - 1) / max(k - 1, 1)).cast("bigint"))
+    return F.when((n > 0) & F.lit(k > 0), F.array_distinct(places)).otherwise(F.array().cast("array<bigint>"))
+
+
 def spread(n: int, k: int) -> list[int]:
     """Up to k different indices spread over 0..n-1, rounded half to even."""
     return list(dict.fromkeys(round(i * (n - 1) / max(k - 1, 1)) for i in range(k))) if n else []

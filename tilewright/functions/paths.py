@@ -38,9 +38,19 @@ def example_key(path: Column, n: Column) -> Column:
     return F.concat(stem(path), F.lit("#"), n.cast("string"))
 
 
+def resolved(path: Column) -> Column:
+    """The path without a file: scheme, empty and . parts, each .. taken with the part before it."""
+    plain = F.regexp_replace(path, "^file:/*(?=/)", "")
+    rooted = F.startswith(plain, F.lit("/"))
+    parts = F.filter(F.split(plain, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda done: F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when((x == "..") & (rooted | ((F.size(done) > 0) & (F.get(done, F.size(done) - 1) != ".."))), up(done)).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
+
+
 def key_forms(path: Column) -> Column:
-    """array<struct(priority, form)>: the path itself, its name, its stem."""
-    forms = (path, basename(path), stem(path))
+    """array<struct(priority, form)>: the path itself, its name, its stem, and the path resolved."""
+    forms = (path, basename(path), stem(path), resolved(path))
     return F.array(*[F.struct(F.lit(i).alias("priority"), f.alias("form")) for i, f in enumerate(forms)])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from .augment import Augmenter
+from .detectors import as_box
 
 
 def detection_violations(det: DataFrame, frame_w, frame_h, tolerance: float = 1.0) -> DataFrame:
@@ -51,8 +52,12 @@ def augmenter_problems(augmenter: Augmenter, image: np.ndarray, box, seeds=range
     said: list[str] = []
     shapes = set()
     fired = 0
+    before = image.copy()
     for s in seeds:
         p = augmenter.augment(image, box, seed=s)
+        if not np.array_equal(image, before):
+            said.append(f"seed {s}: the input itself was changed")
+            image[...] = before
         if p.doctored.shape != p.clean.shape or p.mask.shape != p.clean.shape[:2]:
             said.append(f"seed {s}: shapes differ")
             continue
@@ -78,6 +83,39 @@ def augmenter_problems(augmenter: Augmenter, image: np.ndarray, box, seeds=range
     return said
 
 
+def detector_problems(fn: Callable, image: np.ndarray, path: str | None = None) -> list[str]:
+    """What a detecting function does wrong on one frame: fn(pixels) or, with a path, fn(pixels, path); empty if nothing."""
+    said: list[str] = []
+    given = image.copy()
+    ask = lambda: fn(given) if path is None else fn(given, path)
+    try:
+        answers = [ask(), ask()]
+    except Exception as e:
+        return [f"it fails: {type(e).__name__}: {e}"]
+    if not np.array_equal(given, image):
+        said.append("the frame itself was changed")
+    if not all(a is None or isinstance(a, (list, tuple)) for a in answers):
+        return [*said, f"it returns a {type(answers[0]).__name__}, no list of boxes"]
+    try:
+        first, second = ([as_box(b) for b in a or []] for a in answers)
+    except (TypeError, ValueError, KeyError) as e:
+        return [*said, f"no box: {e}"]
+    if repr(first) != repr(second):  # NaN is no difference
+        said.append("not the same again")
+    high, wide = image.shape[:2]
+    for i, b in enumerate(first):
+        corners = [b[c] for c in ("x_min", "y_min", "x_max", "y_max")]
+        if not np.isfinite([*corners, b["score"]]).all():
+            said.append(f"box {i}: not finite")
+        elif b["x_max"] <= b["x_min"] or b["y_max"] <= b["y_min"]:
+            said.append(f"box {i}: degenerate")
+        elif max(corners) <= 1.5 < min(high, wide) / 4:
+            said.append(f"box {i}: normalised")
+        elif min(corners[:2]) < -1 or corners[2] > wide + 1 or corners[3] > high + 1:
+            said.append(f"box {i}: outside")
+    return said
+
+
 def generator_problems(visit: Callable[[int], DataFrame], n: int, epochs: int = 2) -> DataFrame:
     """(rule, epoch): visit(epoch) must give (pos, idx, clean_key, pair_key) as a permutation, clean alike and pairs different between epochs, orders too."""
     first = visit(0)

@@ -47,6 +47,11 @@ def pairing(spark: SparkSession, n_hosts: int, n_donors: int, seed: int, length:
     return rows.select("i", F.pmod(i, F.lit(n_hosts)).alias("host_idx"), draws.pick(F.lit(n_donors), seed, i, "donor").alias("donor_idx"))
 
 
+def donor_cut(det: Column, width, height, donor_box: str = "paste") -> Column:
+    """The whole pixels of a donor that are pasted: its box, with context or without, inside its frame."""
+    return boxes.rounded(boxes.clipped(boxes.expanded(det, 0.15) if donor_box == "paste" else det, width, height))
+
+
 def composites(
     hosts: DataFrame, donors: DataFrame, augmenter: Augmenter | None = None, seed: int = 0, into: str = "real", placement: str | Callable = "detection", donor_box: str = "paste",
     max_rotation_deg: float | None = 2.0, out_size: int = 256, length: int | None = None, min_donor: int = 4,
@@ -71,9 +76,7 @@ def composites(
         return rows.select("i", "host_idx", "donor_idx", "box", "window", "seed", F.lit(True).alias("has_target"), F.col("pair.doctored").alias("patch"), F.col("pair.clean").alias("host_patch"), F.col("pair.mask").alias("mask"), "pair.params")
 
     d = donors.select(F.col("idx").alias("donor_idx"), F.col("image").alias("donor_image"), F.col("box").alias("donor_det"))
-    cut = boxes.expanded(F.col("donor_det"), 0.15) if donor_box == "paste" else F.col("donor_det")
-    cut = boxes.rounded(boxes.clipped(cut, F.col("donor_image.width"), F.col("donor_image.height")))
-    d = d.withColumn("donor_cut", cut).where(boxes.short_side(F.col("donor_cut")) >= min_donor)
+    d = d.withColumn("donor_cut", donor_cut(F.col("donor_det"), F.col("donor_image.width"), F.col("donor_image.height"), donor_box)).where(boxes.short_side(F.col("donor_cut")) >= min_donor)
     d = d.withColumn("donor_patch", patch_column(F.col("donor_image"), F.col("donor_cut"), 1 << 30)).drop("donor_image", "donor_det", "donor_cut")
     rows = pairs.join(d, "donor_idx").join(hosts.select(F.col("idx").alias("host_idx"), F.col("box").alias("host_box"), F.col("image").alias("host_image")), "host_idx")
     target = placed(placement, seed, F.col("i"), F.col("host_box"), F.col("host_image.width"), F.col("host_image.height"), F.col("donor_patch.width"), F.col("donor_patch.height"))

@@ -30,7 +30,9 @@ class Detector(ABC):
     def raw(self, frames: DataFrame) -> DataFrame: ...
 
     def detect(self, frames: DataFrame) -> DataFrame:
-        det = self.raw(frames)
+        return self.cleaned(self.raw(frames), frames)
+
+    def cleaned(self, det: DataFrame, frames: DataFrame) -> DataFrame:
         size = None
         if "image" in frames.columns:  # boxes can only be clipped where a frame's size is known
             det = det.join(frames.select("path", F.col("image.width").alias("__w"), F.col("image.height").alias("__h")), "path")
@@ -52,25 +54,39 @@ def as_box(value) -> dict:
 
 
 class FunctionDetector(Detector):
-    """fn(pixels, path) or fn(pixels) -> boxes, or None for none."""
+    """fn(pixels, path) or fn(pixels) -> boxes, or None for none; on_error='warn' passes over frames at which it fails."""
 
-    def __init__(self, fn: Callable, takes_path: bool = True, dtype: str = "uint8", **options):
+    def __init__(self, fn: Callable, takes_path: bool = True, dtype: str = "uint8", on_error: str = "raise", **options):
         super().__init__(**options)
-        self.fn, self.takes_path, self.dtype = fn, takes_path, dtype
+        self.fn, self.takes_path, self.dtype, self.on_error = fn, takes_path, dtype, on_error
 
-    def raw(self, frames: DataFrame) -> DataFrame:
+    def tried(self, frames: DataFrame, on_error: str) -> DataFrame:
+        """(path, boxes, error): what the function says of each frame, or how it failed."""
         fn, takes_path, dtype = self.fn, self.takes_path, self.dtype
 
-        @F.pandas_udf(f"array<{BOX}>")
-        def run(images: pd.DataFrame, paths: pd.Series) -> pd.Series:
-            out = []
-            for i, p in zip(images.to_dict("records"), paths):
-                px = augment.pixels_of(i["data"], i["height"], i["width"], i["nChannels"], dtype)
-                out.append([as_box(b) for b in (fn(px, p) if takes_path else fn(px)) or []])
-            return pd.Series(out)
+        @F.pandas_udf(f"boxes array<{BOX}>, error string")
+        def run(images: pd.DataFrame, paths: pd.Series) -> pd.DataFrame:
+            said, failed = [], []
+            for i, p in zip(images[["data", "height", "width", "nChannels"]].itertuples(index=False, name=None), paths):
+                try:
+                    px = augment.pixels_of(*i, dtype)
+                    said.append([as_box(b) for b in (fn(px, p) if takes_path else fn(px)) or []])
+                    failed.append(None)
+                except Exception as e:
+                    if on_error == "raise":
+                        raise
+                    said.append(None)
+                    failed.append(f"{type(e).__name__}: {e}")
+            return pd.DataFrame({"boxes": said, "error": failed})
+
+        return frames.select("path", run("image", "path").alias("r")).select("path", "r.boxes", "r.error")
+
+    def raw(self, frames: DataFrame) -> DataFrame:
+        return self.boxes_of(self.tried(frames, self.on_error))
 
-        found = frames.select("path", run("image", "path").alias("boxes"))
-        return found.select("path", F.posexplode("boxes").alias("ord", "box"))
+    @staticmethod
+    def boxes_of(tried: DataFrame) -> DataFrame:
+        return tried.select("path", F.posexplode("boxes").alias("ord", "box"))
 
 
 class PrecomputedDetector(Detector):

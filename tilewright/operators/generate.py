@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import boxes, draws, pixels
-from . import ordering
-from .augment import Augmenter, pair_column, patch_column
+from ..functions import boxes, draws
+from . import lifecycle, ordering, rasters
+from .augment import Augmenter, pair_column, patch_column, pixels_of
 from .index import ExampleIndex
 
 
@@ -53,24 +56,61 @@ class PairSource:
 
     def stream(self, epochs: int) -> DataFrame:
         """A finite run of whole epochs, j its place in the run."""
-        n = len(self)
-        visits = self.frames.sparkSession.range(n * epochs).withColumnRenamed("id", "j")
-        at, epoch = ordering.virtual(F.col("j"), n)
-        order = [ordering.epoch_order(self.index.examples.select("idx"), self.seed, e).withColumn("epoch", F.lit(e).cast("bigint")) for e in range(epochs)]
-        place = order[0]
-        for o in order[1:]:
-            place = place.unionByName(o)
-        return self.pairs(visits.select("j", at.alias("pos"), epoch.alias("epoch")).join(place, ["pos", "epoch"]))
+        return self.pairs(ordering.epochs_order(self.index.examples, self.seed, epochs))
 
+    def stats(self) -> dict:
+        """The index's numbers, and how pairs are made of it."""
+        return lifecycle.describe(self.index, seed=self.seed, out_size=self.out_size, steps=[s.name for s in self.augmenter.steps])
 
-def training_rows(pairs: DataFrame, normalize: bool = False, with_params: bool = False) -> DataFrame:
-    """(idx, epoch, seed, clean, doctored, mask): arrays in channel planes, in 0..1 or about zero."""
-    p = F.col("pair")
 
-    def planes(name: str) -> Column:
-        numbers = F.transform(F.sequence(F.lit(1), F.length(p[name])), lambda i: F.conv(F.hex(F.substring(p[name], i, 1)), 16, 10).cast("double"))
-        px = pixels.normalised(numbers, "uint8") if normalize else pixels.to_float01(numbers, "uint8")
-        return F.when(p["nChannels"] == 3, pixels.to_chw(px, 3)).otherwise(px)
+def planes(px: np.ndarray, normalize: bool) -> np.ndarray:
+    """Channels first, in 0..1, or from -1 to 1."""
+    x = rasters.float01(np.moveaxis(np.atleast_3d(px), 2, 0))
+    return x * np.float32(2) - np.float32(1) if normalize else x
+
 
+def training_rows(pairs: DataFrame, normalize: bool = False, with_params: bool = False) -> DataFrame:
+    """(idx, epoch, seed, height, width, channels, clean, doctored, mask): arrays of floats in channel planes, in 0..1 or about zero, and pos, j if pairs has them."""
+
+    @F.pandas_udf("clean array<float>, doctored array<float>, mask array<float>")
+    def tensors(made: pd.DataFrame) -> pd.DataFrame:
+        out = {"clean": [], "doctored": [], "mask": []}
+        for clean, doctored, mask, *shape, kind in made[["clean", "doctored", "mask", "height", "width", "nChannels", "dtype"]].itertuples(index=False, name=None):
+            for name, data in (("clean", clean), ("doctored", doctored)):
+                out[name].append(planes(pixels_of(data, *shape, kind), normalize).ravel())
+            out["mask"].append(np.frombuffer(mask, np.float32))
+        return pd.DataFrame(out)
+
+    p, place = F.col("pair"), [c for c in ("j", "pos") if c in pairs.columns]
     extra = [p["params"].alias("params")] if with_params else []
-    return pairs.select("idx", "epoch", "seed", planes("clean").alias("clean"), planes("doctored").alias("doctored"), p["mask"].alias("mask"), *extra)
+    rows = pairs.select(*place, "idx", "epoch", "seed", p["height"].alias("height"), p["width"].alias("width"), p["nChannels"].alias("channels"), tensors(p).alias("t"), *extra)
+    return rows.select("*", "t.*").drop("t")
+
+
+def loader(source: PairSource, batch_size: int = 32, repeats: int = 1, shuffle: bool = True, normalize: bool = False, drop_last: bool = True) -> Iterator[dict[str, np.ndarray]]:
+    """Batches of `repeats` epochs as stacked arrays (clean, doctored, mask) and their idx, epoch and seed.
+
+    Partitions are fetched one after another, in order, so the driver holds one at a time;
+    trainers that read in parallel take training_rows() instead.
+    """
+    if shuffle:
+        visits = ordering.epochs_order(source.index.examples, source.seed, repeats)
+    else:
+        n = len(source)
+        at, epoch = ordering.virtual(F.col("id"), n)
+        visits = source.frames.sparkSession.range(n * repeats).select(F.col("id").alias("j"), at.alias("idx"), epoch.alias("epoch"))
+    held: list = []
+
+    def stacked() -> dict[str, np.ndarray]:
+        shape = [(r.channels, r.height, r.width) for r in held]
+        out = {c: np.stack([np.asarray(r[c], np.float32).reshape(s) for r, s in zip(held, shape)]) for c in ("clean", "doctored")}
+        out["mask"] = np.stack([np.asarray(r.mask, np.float32).reshape(1, *s[1:]) for r, s in zip(held, shape)])
+        return out | {c: np.array([r[c] for r in held], np.int64) for c in ("idx", "epoch", "seed")}
+
+    for row in training_rows(source.pairs(visits), normalize).orderBy("j").toLocalIterator():
+        held.append(row)
+        if len(held) == batch_size:
+            yield stacked()
+            held.clear()
+    if held and not drop_last:
+        yield stacked()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +38,19 @@ def epoch_order(examples: DataFrame, seed: int, epoch: int) -> DataFrame:
     return in_order(examples, [draws.shuffled(seed, epoch, F.col("idx")), F.col("idx")], "pos")
 
 
-def exact_epoch_order(spark: SparkSession, n: int, seed: int, epoch: int) -> DataFrame:
-    """(pos, idx): numpy's permutation."""
-    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(draws.epoch_order(n, seed, epoch))], "pos bigint, idx bigint")
+def exact_epoch_order(spark: SparkSession, n: int, seed: int, epoch: int, most: int = 10_000_000) -> DataFrame:
+    """(pos, idx): numpy's permutation, drawn on the driver, and so for up to `most` examples; epoch_order() has no such bound."""
+    if n > most:
+        raise ValueError(f"{n} examples are too many for the driver (at most {most}); use epoch_order()")
+    return spark.createDataFrame(pd.DataFrame({"pos": np.arange(n), "idx": draws.epoch_order(n, seed, epoch)}), "pos bigint, idx bigint")
+
+
+def epochs_order(examples: DataFrame, seed: int, epochs: int) -> DataFrame:
+    """(j, pos, epoch, idx): the orders of epoch_order() one after another, by a single sort; j counts on."""
+    n = examples.count()
+    each = examples.select("idx", F.explode(F.expr(f"sequence(0L, {epochs - 1}L)")).alias("epoch"))
+    rows = in_order(each, ["epoch", draws.shuffled(seed, F.col("epoch"), F.col("idx")), F.col("idx")], "j")
+    return rows.select("j", F.pmod("j", F.lit(n)).alias("pos"), "epoch", "idx")
 
 
 def batches(df: DataFrame, size: int, drop_last: bool = False, pos: str = "pos") -> DataFrame:
@@ -63,7 +74,7 @@ def wrapped(i: Column, n: int) -> Column:
 
 def width_band(rows: DataFrame, low: float, high: float, width: str = "width") -> DataFrame:
     """Rows whose width lies in the band; if there are none, the row nearest to its lower end."""
-    inside = F.col(width).between(low, high)
-    marked = rows.withColumn("__any", F.max(inside.cast("int")).over(Window.partitionBy(F.lit(0))))
-    near = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.abs(F.col(width) - low), *rows.columns))
-    return marked.withColumn("__near", near).where(F.when(F.col("__any") == 1, inside).otherwise(F.col("__near") == 1)).drop("__any", "__near")
+    inside = rows.where(F.col(width).between(low, high))
+    nearest = rows.orderBy(F.abs(F.col(width) - low), *rows.columns).limit(1)
+    some = inside.select(F.lit(True).alias("__some")).limit(1)  # a row or none
+    return inside.unionByName(nearest.join(F.broadcast(some), F.col("__some"), "left_anti"))

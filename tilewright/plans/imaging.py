@@ -181,10 +181,7 @@ def repeated_op_names(spark, sf):
 
 
 REPEATED = """SELECT user_id, event_id, CASE WHEN n = 1 THEN event_type ELSE event_type || '#' || n END AS key
-FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events WHERE user_id < 200)"""
-
-
-# -- not expressible in SQL: numpy's generators ------------------------------------------
+FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)"""
 
 
 def seed_sequence(spark, sf):
@@ -193,6 +190,48 @@ def seed_sequence(spark, sf):
     return ex.select("idx", draws.example_seed(1, 0, F.col("idx")).alias("seed_0"), draws.example_seed(1, 1, F.col("idx")).alias("seed_1"), draws.composite_seed(1, F.col("idx")).alias("composite"))
 
 
+def _seeds_sql() -> str:
+    """The first word of numpy's SeedSequence for (1, 0, k), (1, 1, k) and (1, COMPOSITE_STREAM, k), k below 2^32, step by step in 32-bit arithmetic."""
+    cut = lambda x: f"(({x}) & 4294967295)"
+    fold = lambda x: f"xor({x}, {x} >> 16)"
+    steps, columns, name = ["SELECT o_orderkey AS idx, o_orderkey::UBIGINT AS k FROM orders"], ["idx", "k"], 0
+
+    def let(expression: str) -> str:
+        nonlocal name
+        name += 1
+        steps.append(f"SELECT *, {expression} AS v{name} FROM ({steps.pop()})")
+        return f"v{name}"
+
+    out = []
+    for stream in ("0", "1", str(draws.COMPOSITE_STREAM)):
+        factor = 0x43B0D7E5
+
+        def stirred(x: str) -> str:
+            nonlocal factor
+            low = f"xor({x}::UBIGINT, {factor}::UBIGINT)"
+            factor = factor * 0x931E8875 & 0xFFFFFFFF
+            return let(fold(let(cut(f"{let(low)} * {factor}::UBIGINT"))))
+
+        def mixed(x: str, y: str) -> str:
+            return let(fold(let(cut(f"{let(cut(f'{x} * 3389127133::UBIGINT'))} + 4294967296::UBIGINT - {let(cut(f'{y} * 1232336661::UBIGINT'))}"))))
+
+        pool = [stirred(w) for w in ("1", stream, "k", "0")]
+        for i in range(4):
+            for j in range(4):
+                if i != j:
+                    pool[j] = mixed(pool[j], stirred(pool[i]))
+        first = let(f"xor({pool[0]}, {0x8B51F9DD}::UBIGINT)")
+        out.append(let(fold(let(cut(f"{first} * {0x8B51F9DD * 0x58F38DED & 0xFFFFFFFF}::UBIGINT")))))
+    names = ("seed_0", "seed_1", "composite")
+    return f"SELECT idx, {', '.join(f'{v}::BIGINT AS {n}' for v, n in zip(out, names))} FROM ({steps.pop()})"
+
+
+SEEDS = _seeds_sql()
+
+
+# -- not expressible in SQL: numpy's generators ------------------------------------------
+
+
 def synthetic_frames(spark, sf):
     """Frames made up from the embeddings' ids: path, image, box."""
 
@@ -236,7 +275,7 @@ QUERIES = {
     "placement_lower": (placement_lower, PLACE_LOWER),
     "params_flatten": (params_flatten, PARAMS),
     "repeated_op_names": (repeated_op_names, REPEATED),
-    "seed_sequence": (seed_sequence, None),
+    "seed_sequence": (seed_sequence, SEEDS),
     "augment_pairs": (augment_pairs, None),
     "blur_noise_stripe": (blur_noise_stripe, None),
 }

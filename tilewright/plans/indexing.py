@@ -164,21 +164,17 @@ SELECT path, x + s AS x0, y + 2 * s AS y0, x + 41 + s AS x1, y + 21 + 2 * s AS y
 
 
 def key_form_lookup(spark, sf):
-    """Records named by path, by name or by stem, some twice; frames find the first that fits best."""
-    d = table(spark, sf, "documents").select("doc_id")
-    stem = F.concat(F.lit("f"), (F.col("doc_id") % 120).cast("string"))
-    frames = d.where("doc_id < 600").select(F.concat(F.lit("/pool/"), (F.col("doc_id") % 2).cast("string"), F.lit("/"), stem, F.lit(".png")).alias("path")).distinct()
-    key = (
-        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("/pool/"), (F.col("doc_id") % 2).cast("string"), F.lit("/"), stem, F.lit(".png")))
-        .when(F.col("doc_id") % 4 == 1, F.concat(stem, F.lit(".png"))).when(F.col("doc_id") % 4 == 2, stem)
-    )
-    records = d.where("doc_id < 90").select(key.alias("key"), F.col("doc_id").alias("key_ord")).where("key is not null")
-    return lookup.find_keys(frames, records).select("path", "key")
+    """Records named by path, by name or by stem, some twice, for all but every fifth stem; frames find the first that fits best."""
+    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).alias("s"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 3).cast("string")).alias("stem"))
+    path = F.concat(F.lit("/pool/"), (F.col("doc_id") % 2).cast("string"), F.lit("/"), F.col("stem"), F.lit(".png"))
+    key = F.when(F.col("doc_id") % 4 == 0, path).when(F.col("doc_id") % 4 == 1, F.concat("stem", F.lit(".png"))).when(F.col("doc_id") % 4 == 2, F.col("stem"))
+    records = d.where("s % 5 <> 4").select(key.alias("key"), F.col("doc_id").alias("key_ord")).where("key is not null")
+    return lookup.find_keys(d.select(path.alias("path")).distinct(), records).select("path", "key")
 
 
-KEY_FORMS = """WITH d AS (SELECT doc_id, doc_id % 2 AS p, 'f' || (doc_id % 120) AS stem FROM documents),
-fr AS (SELECT DISTINCT '/pool/' || p || '/' || stem || '.png' AS path, stem || '.png' AS name, stem FROM d WHERE doc_id < 600),
-rec AS (SELECT doc_id AS o, CASE doc_id % 4 WHEN 0 THEN '/pool/' || p || '/' || stem || '.png' WHEN 1 THEN stem || '.png' ELSE stem END AS key, stem, doc_id % 4 AS k FROM d WHERE doc_id < 90 AND doc_id % 4 < 3),
+KEY_FORMS = """WITH d AS (SELECT doc_id, doc_id // 3 AS s, doc_id % 2 AS p, 'f' || (doc_id // 3) AS stem FROM documents),
+fr AS (SELECT DISTINCT '/pool/' || p || '/' || stem || '.png' AS path, stem || '.png' AS name, stem FROM d),
+rec AS (SELECT doc_id AS o, CASE doc_id % 4 WHEN 0 THEN '/pool/' || p || '/' || stem || '.png' WHEN 1 THEN stem || '.png' ELSE stem END AS key, stem, doc_id % 4 AS k FROM d WHERE s % 5 != 4 AND doc_id % 4 < 3),
 forms AS (SELECT key, o, 0 AS pr, key AS form FROM rec UNION ALL SELECT key, o, 1, CASE WHEN k < 2 THEN stem || '.png' ELSE stem END FROM rec UNION ALL SELECT key, o, 2, stem FROM rec),
 fst AS (SELECT form, key FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY o, pr) AS rn FROM forms) WHERE rn = 1)
 SELECT fr.path, coalesce(a.key, b.key, c.key) AS key FROM fr LEFT JOIN fst a ON fr.path = a.form LEFT JOIN fst b ON fr.name = b.form LEFT JOIN fst c ON fr.stem = c.form"""
@@ -219,14 +215,14 @@ SELECT idx, pos // 48 AS batch, pos % 48 AS slot FROM o WHERE (pos // 48 + 1) *
 
 
 def virtual_index(spark, sf):
-    """Visits of an endless stream over 333 examples, joined with them."""
-    e = table(spark, sf, "events").select(F.col("event_id").alias("j"))
-    at, epoch = ordering.virtual(F.col("j"), 333)
-    ex = example_index(spark, sf).slice(0, 333).examples.select("idx", F.col("path").alias("frame"))
+    """Visits of an endless stream over all examples, joined with them; visits far ahead reach later epochs."""
+    ex = example_index(spark, sf).examples.select("idx", F.col("path").alias("frame"))
+    e = table(spark, sf, "events").select((F.col("event_id") * 977).alias("j"))
+    at, epoch = ordering.virtual(F.col("j"), ex.count())
     return e.select("j", at.alias("idx"), epoch.alias("epoch")).join(ex, "idx").select("j", "idx", "epoch", "frame")
 
 
-VIRTUAL = f"WITH {IDX} SELECT event_id AS j, idx, (event_id // 333)::BIGINT AS epoch, frame FROM events JOIN ex ON idx = event_id % 333 WHERE idx < 333"
+VIRTUAL = f"WITH {IDX}, c AS (SELECT count(*) AS total FROM ex) SELECT event_id * 977 AS j, idx, (event_id * 977 // total)::BIGINT AS epoch, frame FROM events CROSS JOIN c JOIN ex ON idx = event_id * 977 % total"
 
 
 def argminmax_width(spark, sf):
@@ -288,15 +284,16 @@ UNION ALL SELECT frame, ln, pk, sk, 'label' FROM b WHERE pk % 41 = 0"""
 
 
 def permutation_check(spark, sf):
-    """An epoch's order has no problem; one with an example twice has."""
-    ex = example_index(spark, sf).slice(0, 500).examples.select("idx")
+    """An epoch's order of all examples has no problem; one with an example twice has."""
+    ex = example_index(spark, sf).examples.select("idx")
+    n = ex.count()
     order = ordering.epoch_order(ex, 5, 0)
     twice = order.withColumn("idx", F.when(F.col("idx") == 7, F.lit(8)).otherwise(F.col("idx")))
-    label = lambda d, n: checks.permutation_problem(d, 500).withColumn("case", F.lit(n))
+    label = lambda d, name: checks.permutation_problem(d, n).withColumn("case", F.lit(name))
     return label(order, "order").unionByName(label(twice, "twice"))
 
 
-PERMUTATION = "SELECT 500::BIGINT AS rows, 499::BIGINT AS \"distinct\", 0::BIGINT AS low, 499::BIGINT AS high, 'twice' AS \"case\""
+PERMUTATION = f"WITH {IDX} SELECT count(*) AS rows, count(*) - 1 AS \"distinct\", 0::BIGINT AS low, count(*) - 1 AS high, 'twice' AS \"case\" FROM ex"
 
 
 def donor_join_md5(spark, sf):

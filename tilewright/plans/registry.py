@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import geometry, imaging, indexing
+from . import geometry, imaging, indexing, pairs
 
-ALL = {**geometry.QUERIES, **indexing.QUERIES, **imaging.QUERIES}
+ALL = {**geometry.QUERIES, **indexing.QUERIES, **imaging.QUERIES, **pairs.QUERIES}
 QUERIES = {name: f for name, (f, _) in ALL.items()}
 SQL = {name: s for name, (_, s) in ALL.items() if s}

@@ -26,6 +26,26 @@ def pgm(data: bytes) -> np.ndarray:
     return px.astype(np.uint8) if top == 255 else (px.astype(np.float64) * 255 / top).astype(np.uint8)
 
 
+def unfiltered(rule: np.ndarray, left_over: np.ndarray) -> np.ndarray:
+    """The bytes of an image (height, width, bytes a pixel) from each line's filter and what the filters left over.
+
+    A byte is guessed from those to the left, above, and above that; so all pixels of a diagonal are
+    worked out at once, whatever their lines' filters.
+    """
+    h, w, step = left_over.shape
+    if not rule.any():
+        return left_over
+    out = np.zeros((h + 1, w + 1, step), np.int16)  # a line and a column of zeros around
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        da, db, dc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        paeth = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        out[y + 1, x + 1] = (left_over[y, x] + np.choose(rule[y, None], (np.zeros_like(a), a, b, (a + b) >> 1, paeth))) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def png(data: bytes) -> np.ndarray:
     """A non-interlaced PNG of gray, gray+alpha, RGB or RGBA; 16 bits are cut to the upper 8, alpha is dropped."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -49,27 +69,7 @@ def png(data: bytes) -> np.ndarray:
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
     step = channels * depth // 8
     rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * step)
-    out = np.zeros((h, w * step), np.uint8)
-    above = np.zeros(w * step, np.uint8)
-    for y in range(h):
-        rule, line = rows[y, 0], rows[y, 1:].copy()
-        if rule == 2:
-            line += above
-        elif rule == 1:
-            line = np.add.accumulate(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-        elif rule:
-            raw, up, done = line.tolist(), above.tolist(), [0] * step
-            for i, v in enumerate(raw):
-                a, b, c = done[i], up[i], up[i - step] if i >= step else 0
-                if rule == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                done.append((v + guess) & 255)
-            line = np.array(done[step:], np.uint8)
-        out[y] = above = line
-    px = out.reshape(h, w, channels, depth // 8)[..., 0]
+    px = unfiltered(rows[:, 0], rows[:, 1:].reshape(h, w, step)).reshape(h, w, channels, depth // 8)[..., 0]
     if colour == 3:
         return palette[px[..., 0]]
     px = px[..., : {2: 1, 4: 3}.get(channels, channels)]
@@ -102,8 +102,13 @@ def decode(data: bytes, gray: bool = True) -> np.ndarray:
     return px if px.ndim == 3 else np.repeat(px[..., None], 3, axis=2)
 
 
-def frames(spark: SparkSession, spec, gray: bool = True) -> DataFrame:
-    """(path, image, error) of a pool, pattern, directory or file. Whoever reads only paths decodes nothing."""
+def frames(spark: SparkSession, spec, gray: bool = True, on_error: str = "warn") -> DataFrame:
+    """(path, image, error) of a pool, pattern, directory or file. Whoever reads only paths decodes nothing.
+
+    With on_error='raise' a file that can't be read is an error.
+    """
+    if on_error not in ("warn", "raise"):
+        raise ValueError("on_error must be 'warn' or 'raise'")
 
     @F.pandas_udf("height int, width int, nChannels int, data binary, error string")
     def read(content: pd.Series) -> pd.DataFrame:
@@ -112,7 +117,9 @@ def frames(spark: SparkSession, spec, gray: bool = True) -> DataFrame:
             try:
                 px = decode(data, gray)
                 out.append((*px.shape[:2], 1 if px.ndim == 2 else px.shape[2], np.ascontiguousarray(px).tobytes(), None))
-            except Exception as e:  # a broken file must not end the scan
+            except Exception as e:  # a broken file must not end the scan, unless that is asked for
+                if on_error == "raise":
+                    raise
                 out.append((None, None, None, None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["height", "width", "nChannels", "data", "error"]).astype({"height": "Int32", "width": "Int32", "nChannels": "Int32"})
 

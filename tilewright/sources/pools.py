@@ -30,6 +30,21 @@ def register(pool: Pool) -> Pool:
     return pool
 
 
+def configure(settings: dict[str, dict], roots: dict[str, str] | None = None) -> list[Pool]:
+    """Pools from settings, as a JSON file may hold them: by name {"patterns": [..], "kind": .., "detector": .., "note": ..} or {"union": [names]}.
+
+    {root} in a pattern stands for the root of that name.
+    """
+    made = []
+    for name, said in settings.items():
+        if "union" in said:
+            made.append(union(name, *said["union"], note=said.get("note", "")))
+        else:
+            patterns = tuple(p.format_map(roots or {}) for p in said["patterns"])
+            made.append(register(Pool(name, patterns, said.get("kind", "real"), said.get("detector"), said.get("note", ""))))
+    return made
+
+
 def get(name: str) -> Pool:
     key = str(name).strip().lower()
     if key not in _pools:
