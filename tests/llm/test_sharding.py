@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tilewright.llm import sharding
@@ -40,3 +43,34 @@ def test_edge_rows(spark, tmp_path):
     assert len({r.shard for r in got if r.doc_id == 1}) == 1
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert sharding.op8_sharding(spark, f"{tmp_path}/empty").count() == 0
+
+
+def spark_hash(*parts):
+    """xxhash64() of numbers: bytes (long) or 4 bytes (int) chained by their seeds."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p, h)
+    return h
+
+
+def test_the_winner_is_brute_force(spark, sf):
+    """Every key goes to the shard of the highest score, recomputed for each of them."""
+    for n, column in ((40, "shard"), (41, "grown_shard")):
+        for r in sharding.op8_sharding(spark, sf).collect():
+            key = struct.pack("<q", r.doc_id)
+            u = [((spark_hash(key, struct.pack("<i", s)) >> 11) + 0.5) / 2**53 for s in range(n)]
+            assert r[column] == max(range(n), key=lambda s: (-1 / math.log(u[s]), -s))
+
+
+def test_rows_of_one_key_are_spread(spark):
+    """A third of all rows are equal: slots are gapless, and no part of a bucket holds them all."""
+    df = spark.createDataFrame([(5, "x")] * 3000 + [(i, "y") for i in range(10, 6010)], "doc_id long, shard string")
+    got = sharding.assign(df, F.col("doc_id"), [1.0, 1.0, 1.0], rows_a_bucket=100)
+    assert got.columns == ["doc_id", "shard", "slot"]
+    slots = defaultdict(list)
+    for r in got.collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 9000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = {r.doc_id: r.slot for r in sharding.assign(df.where("doc_id > 5").repartition(7), F.col("doc_id"), [1.0, 1.0, 1.0], rows_a_bucket=100).collect()}
+    once = {r.doc_id: r.slot for r in sharding.assign(df.where("doc_id > 5"), F.col("doc_id"), [1.0, 1.0, 1.0], rows_a_bucket=100).collect()}
+    assert again == once

@@ -6,11 +6,14 @@ change when a shard is added, so a new shard only takes rows for itself, and the
 share of each shard follows its weight.
 
 Slots number the rows of a shard without gaps. They are given in two steps, by
-hashed bucket within the shard and by rank within the bucket, so no task holds a
-whole shard; only the table of bucket sizes (shards x buckets rows) is broadcast.
+hashed bucket within the shard and by rank within the bucket. Buckets hold about BUCKET
+rows, whatever the size of the table, and one with far more (rows of one key) is cut into
+parts, so no task holds a whole shard or key; the table of bucket sizes is broadcast
+while it has fewer than BROADCAST rows.
 
 Defined results: a null key is a key like any other; rows with equal keys share a
-shard and have slots of their own; a null text has no bytes.
+shard and have slots of their own, by `tie` and then in any order; a null text has no bytes;
+of very long texts only length and checksum are kept; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 SHARDS = 40
-#: Buckets of a shard in which rows are ranked.
-BUCKETS = 64
+#: Rows of a shard's bucket in which rows are ranked, about; and buckets that are broadcast at most.
+BUCKET, BROADCAST = 20_000, 200_000
 
 
 def score(key: Column, shard: Column, weight: Column) -> Column:
@@ -36,21 +39,29 @@ def best_shard(key: Column, weights: list[float]) -> Column:
     return (-F.array_max(F.transform(shards, lambda x: F.struct(score(key, x["s"], x["w"]), -x["s"])))["col2"]).cast("int")
 
 
-def assign(df: DataFrame, key: Column, weights: list[float], grown: list[float] | None = None, tie: list[str] = (), buckets: int = BUCKETS) -> DataFrame:
-    """df with shard, slot and, if grown weights are given, grown_shard.
+def assign(df: DataFrame, key: Column, weights: list[float], grown: list[float] | None = None, tie: list[str] = (), rows_a_bucket: int = BUCKET) -> DataFrame:
+    """df with shard, slot and, if grown weights are given, grown_shard; clashing columns are replaced.
 
-    tie: columns that order rows of equal keys.
+    tie: columns that order rows of equal keys. df is written once, so it should have no more columns than are wanted.
     """
-    df = df.withColumn("shard", best_shard(key, weights))
-    if grown:
-        df = df.withColumn("grown_shard", best_shard(key, grown))
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(key, F.lit("slot"), *[F.col(c) for c in tie]), F.lit(buckets)).cast("int"))
-    sizes = df.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy(key, *tie))
-    # shards x buckets rows at most, whatever the input
-    return df.withColumn("__rank", rank).join(F.broadcast(starts), ["shard", "__bucket"]).withColumn("slot", F.col("__start") + F.col("__rank") - 1).drop("__bucket", "__rank", "__start")
+    own = [c for c in df.columns if c not in ("shard", "slot", "grown_shard")]
+    new = [best_shard(key, weights).alias("shard"), *([best_shard(key, grown).alias("grown_shard")] if grown else [])]
+    order = F.struct(key.alias("key"), *[F.col(c) for c in tie])
+    rows = stage(df.select(F.struct(*own).alias("row"), *new, order.alias("order"), F.xxhash64(key, F.lit("slot"), *tie).alias("h"), F.monotonically_increasing_id().alias("m")), "sharded")
+    buckets = max(1, -(-rows.count() // (rows_a_bucket * max(1, sum(w > 0 for w in weights)))))
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    sizes = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # a bucket with far more rows than others has many equal ones, whose order is nothing to keep
+    parts = sizes.select("shard", "bucket", F.when(F.col("n") > 4 * rows_a_bucket, F.ceil(F.col("n") / rows_a_bucket)).otherwise(F.lit(1)).alias("parts"))
+    parts = stage(parts, "shard-buckets")
+    few = (lambda x: F.broadcast(x)) if parts.count() <= BROADCAST else (lambda x: x)
+    rows = rows.join(few(parts), ["shard", "bucket"]).withColumn("part", F.pmod(F.xxhash64("m"), F.col("parts"))).drop("parts")
+    sizes = rows.groupBy("shard", "bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = few(sizes.select("shard", "bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket", "part").orderBy("order", "m"))
+    out = rows.withColumn("rank", rank).join(starts, ["shard", "bucket", "part"])
+    return out.select("row.*", "shard", *(["grown_shard"] if grown else []), (F.col("start") + F.col("rank") - 1).alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
