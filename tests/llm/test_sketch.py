@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tilewright.llm import sketch
@@ -17,6 +18,27 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def exact_sketch(text):
+    """The sketch, recomputed: XXH64 of each word, chained over five of them, the smallest 128 as signed numbers."""
+    w = [xxhash.xxh64_intdigest(x.encode(), 42).to_bytes(8, "little") for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
+    out = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x, h)
+        out.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(out)[: sketch.K]
+
+
+def exact_likeness(a, b):
+    both = sorted(set(a) | set(b))[: sketch.K]
+    return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
+
+
+def as_hex(a):
+    return "".join(f"{x % (1 << 64):016x}" for x in a)
+
+
 def edited(text, follower):
     n = len(text) // 4
     return text[: len(text) - n] + follower[:n]
@@ -32,6 +54,9 @@ def check(got, docs, tolerance):
         e = edited(texts[i], nxt)
         assert r.n_chars == len(texts[i])
         assert r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest(), doc_id
+        own, of_edited, of_next = exact_sketch(texts[i]), exact_sketch(e), exact_sketch(nxt)
+        assert (r.fingerprint, r.edited_fingerprint) == (as_hex(own), as_hex(of_edited))
+        assert (r.near_edited, r.near_next) == pytest.approx((exact_likeness(own, of_edited), exact_likeness(own, of_next)), abs=1e-12)
         for likeness, other in ((r.near_edited, e), (r.near_next, nxt)):
             exact = jaccard(texts[i], other)
             small = len(shingles(texts[i])) < sketch.K and len(shingles(other)) < sketch.K
@@ -87,3 +112,17 @@ def test_sketches_merge(spark):
     assert r.n == pytest.approx(896, rel=0.35)
     assert r.c == pytest.approx(446 / 896, abs=0.2)
     assert r.j == pytest.approx(jaccard(a, b), abs=0.15)
+
+
+@pytest.mark.parametrize("blocks", [2, 40])
+def test_hot_ids_and_equal_rows(spark, monkeypatch, blocks):
+    """A third of the rows are equal, a third share an id: each has the row that follows next, whatever the blocks."""
+    rows = [(50, "equal row")] * 300 + [(70, f"text {i}") for i in range(300)] + [(i, f"own {i}") for i in range(300) if i not in (50, 70)] + [(None, f"none {i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__key", F.lit("k")).withColumn("next_text", F.lit("clash"))
+    got = sketch.with_next(df, "doc_id", ["text"], F.xxhash64("text"), {"size": F.length("text")}, blocks)
+    assert got.columns == ["doc_id", "text", "__key", "size", "next_text", "next_size"]
+    got = got.collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    want = sorted(((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)), key=str)
+    assert sorted(((r.doc_id, r.text, r.next_text) for r in got), key=str) == want
+    assert all(r.next_size == len(r.next_text) and r["__key"] == "k" for r in got)

@@ -7,11 +7,16 @@ From two sketches resemblance is estimated on the k smallest of their union, exa
 so when both have fewer than k hashes; containment follows from it and the counts.
 
 Defined results: a null text is the empty text; two empty sketches have likeness 1,
-an empty and another one 0; equal texts have equal sketches.
+an empty and another one 0; equal texts have equal sketches; very long texts are hashed
+whole. Null ids come first; rows of one id follow each other by a hash of their texts.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +24,8 @@ from .common import let, table
 
 K = 128
 SHINGLE = 5
-#: Blocks of neighbouring ids for each shuffle partition, when documents are put in order.
-BLOCKS = 4
+#: Blocks of neighbouring ids for each shuffle partition, when documents are put in order; and keys that are sampled for each.
+BLOCKS, SAMPLED = 4, 32
 
 
 def sketch(text: Column, k: int = K, words: int = SHINGLE) -> Column:
@@ -72,37 +77,62 @@ def as_hex(a: Column) -> Column:
 
 
 def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, derived: dict[str, Column] | None = None, blocks: int | None = None) -> DataFrame:
-    """df with next_<c> of the row that follows in the order, for each carried column; after the last comes the first.
+    """df with next_<c> of the row that follows in the order (by `tie` where it is equal), for each carried column; after the last comes the first.
 
-    derived: further carried columns, worked out from a row once it is read, and only for rows that are sent.
+    derived: further carried columns, worked out once the rows are where they belong; they are returned
+    too. Columns of df with a new one's name are replaced, all others stay.
 
-    Rows are cut into blocks at quantiles of the order column and ranked within them,
-    so one shuffle does and no task holds all rows; of each block only its first row
-    is sent to the block before.
+    Rows are cut into blocks at keys (order, tie) of a sample of rows and ranked within them, so one
+    shuffle of the carried columns does and no task holds all rows; of each block only its first row is
+    sent to the block before. Rows of a key that fills more than two blocks are equal in all that is
+    carried: they are dealt out at random, and each but the last has such a row next.
     """
-    spark = df.sparkSession
+    spark, derived = df.sparkSession, derived or {}
     blocks = blocks or BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(F.col(order), [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []  # at most blocks - 1 numbers
-    cuts = sorted(set(cuts))
-    block = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col(order) > c, 1).otherwise(0)) if cuts else F.lit(0)
-    df = df.withColumn("__block", block).withColumn("__tie", tie)
-    ranked = Window.partitionBy("__block").orderBy(F.col(order).asc_nulls_first(), "__tie")
-    derived = derived or {}
-    firsts = df.select("__block", F.struct(F.col(order).alias("o"), F.col("__tie").alias("t")).alias("first")).groupBy("__block").agg(F.min("first").alias("f"))
-    firsts = F.broadcast(firsts.select(F.col("__block").alias("__b"), F.col("f.o").alias("__o"), F.col("f.t").alias("__t")))  # blocks rows at most
-    met = (F.col("__block") == F.col("__b")) & F.col(order).eqNullSafe(F.col("__o")) & (F.col("__tie") == F.col("__t"))
-    heads = df.join(firsts, met).dropDuplicates(["__block"]).select("__block", F.struct(*carried).alias("h"))
-    heads = heads.select("__block", "h.*").withColumns(derived).select("__block", F.struct(*carried, *derived).alias("__head"))
-    df = df.withColumns(derived)
-    carried = [*carried, *derived]
-    rows = df.withColumn("__next", F.lead(F.struct(*carried)).over(ranked)).withColumn("__last", F.lead(F.lit(1)).over(ranked).isNull())
-    around = Window.orderBy("__block")
-    # one row a block: blocks are bounded by the number of partitions
-    ids = heads.select("__block", F.coalesce(F.lead("__block").over(around), F.first("__block").over(around)).alias("__after"))
-    after = ids.join(heads.withColumnRenamed("__block", "__after"), "__after").select("__block", "__head")
-    out = rows.join(after, (rows["__block"] == after["__block"]) & rows["__last"], "left").drop(after["__block"])
-    following = F.coalesce("__next", "__head")
-    return out.select(*[c for c in df.columns if not c.startswith("__")], *[following[c].alias(f"next_{c}") for c in carried])
+    all_carried = [*carried, *derived]
+    own = [c for c in df.columns if c not in derived and c not in {f"next_{c}" for c in all_carried}]
+    taken = set(own) | set(all_carried)
+    key, block, salt, ahead = (next(n for n in (f"__{x}" + "_" * i for i in range(99)) if n not in taken) for x in ("key", "block", "salt", "ahead"))
+
+    keyed = df.select(*[F.col(f"`{c}`") for c in own], F.struct(F.col(f"`{order}`").alias("o"), tie.alias("t")).alias(key))
+    kind = keyed.schema[key].dataType.simpleString()
+    size = max(min(SAMPLED * blocks, 200_000), 2 * blocks)
+    some = sorted(keyed.select(f"{key}.*").orderBy(F.rand(7)).limit(size).collect(), key=lambda r: (r.o is not None, r.o, r.t))  # `size` keys
+    each = max(1, len(some) // blocks)
+    cuts = {tuple(r) for r in some[each::each]}
+    often = Counter(tuple(r) for r in some)
+    hot = [k for k, n in often.items() if n >= 2 * each and n > 8]
+    cuts = sorted(cuts | set(hot), key=lambda k: (k[0] is not None, *k))
+
+    def literal(keys) -> Column:
+        return F.from_json(F.lit(json.dumps([{"o": o, "t": t} for o, t in keys], default=str)), f"array<{kind}>")
+
+    # two steps of about the square root of the number of cuts
+    width = max(1, math.isqrt(len(cuts)))
+    groups = F.from_json(F.lit(json.dumps([[{"o": o, "t": t} for o, t in cuts[i : i + width]] for i in range(0, len(cuts), width)], default=str)), f"array<array<{kind}>>")
+    before = lambda keys: F.size(F.filter(keys, lambda c: c <= F.col(key)))
+    group = before(literal(cuts[::width]))
+    number = let(group, lambda g: F.when(g == 0, F.lit(0)).otherwise((g - 1) * width + before(F.get(groups, g - 1)))) if cuts else F.lit(0)
+    is_hot = F.exists(literal(hot), lambda c: c.eqNullSafe(F.col(key))) if hot else F.lit(False)
+    keyed = keyed.withColumn(block, (2 * number + F.when(is_hot, 0).otherwise(1)).cast("int"))  # the rows of a hot key before the others of its block
+
+    firsts = keyed.groupBy(block).agg(F.min(key).alias("first"))
+    firsts = F.broadcast(firsts.select(F.col(block).alias("b"), "first"))  # 2 x blocks rows at most
+    heads = keyed.join(firsts, (F.col(block) == F.col("b")) & F.col(key).eqNullSafe(F.col("first"))).dropDuplicates([block])
+    heads = heads.withColumns(derived).select(F.col(block).alias("b"), F.struct(*all_carried).alias("head"))
+    around = Window.orderBy("b")
+    ids = heads.select("b", F.coalesce(F.lead("b").over(around), F.first("b").over(around)).alias("after"))
+    after = ids.join(heads.withColumnRenamed("b", "after"), "after").select("b", "head")
+
+    parts = max((often[k] for k in hot), default=0) // each + 1
+    spread = F.when(F.col(block) % 2 == 0, F.floor(F.rand(11) * parts)).otherwise(F.lit(0)).cast("int")
+    rows = keyed.withColumn(salt, spread).repartition(block, salt).withColumns(derived)
+    rank = Window.partitionBy(block, salt).orderBy(key)
+    same = F.struct(*[F.col(f"`{c}`") for c in all_carried])
+    rows = rows.withColumn(ahead, F.lead(same).over(rank))
+    rows = rows.join(F.broadcast(after), F.col(ahead).isNull() & (F.col(salt) == 0) & (F.col(block) == F.col("b")), "left")
+    following = F.coalesce(F.col(ahead), F.col("head"), same)
+    return rows.select(*[F.col(f"`{c}`") for c in own], *derived, *[following[c].alias(f"next_{c}") for c in all_carried])
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
