@@ -204,3 +204,15 @@ def test_commands(spark, folder, tmp_path, capsys, monkeypatch):
     capsys.readouterr()
     assert cli.main(["check", str(tmp_path / "ix.json"), "10", "10"]) == 1 and capsys.readouterr().out.endswith("6 problems\n")
     assert cli.main([*first, "generate", str(tmp_path / "ix.json"), "mine"]) in (0, 1)
+
+
+def test_nothing_found_and_many_at_once(spark):
+    from tilewright.operators.augment import Augmenter
+
+    frames = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert detectors.build("null").detect(frames).count() == 0
+    px = [rasters.synthetic_frame(seed=i) for i in range(3)]
+    ship = (139.0, 124.0, 183.0, 140.0)
+    many = Augmenter().augment_all(px, [ship] * 3, seed=7)
+    assert [p.seed for p in many] == [7, 8, 9] and all(np.array_equal(p.doctored, Augmenter().augment(x, ship, seed=7 + i).doctored) for i, (p, x) in enumerate(zip(many, px)))
+    assert [p.seed for p in Augmenter().augment_all(px, [ship] * 3)] == [None] * 3

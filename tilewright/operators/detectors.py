@@ -124,10 +124,18 @@ class GridDetector(Detector):
         return detections.decode(self.predictions.join(frames.select("path"), "path", "left_semi"), *self.args)
 
 
+class NullDetector(Detector):
+    """Finds nothing, for crops whose boxes are known already."""
+
+    def raw(self, frames: DataFrame) -> DataFrame:
+        return frames.select("path", F.lit(0).alias("ord"), F.lit(None).cast(BOX).alias("box")).where(F.lit(False))
+
+
 DETECTORS = Catalogue("detector", lambda x: isinstance(x, type) and issubclass(x, Detector))
 DETECTORS.add("function callable", FunctionDetector, "a Python function over pixels")
 DETECTORS.add("precomputed file json", PrecomputedDetector, "boxes read from a file")
 DETECTORS.add("metadata gt truth", MetadataDetector, "ground truth of rendered frames")
+DETECTORS.add("null none", NullDetector, "nothing")
 DETECTORS.add("grid yolov3 yolo", GridDetector, "raw predictions of a one-stage model")
 
 

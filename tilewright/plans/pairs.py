@@ -280,6 +280,23 @@ _MOVED = _by_index(_MIRROR("(i // 8 - (vec_id % 7 - 3))"), _MIRROR("(i % 8 - (ve
 MOVED = f"WITH {PX}, o AS (SELECT vec_id, list_transform({_MOVED}, lambda x: x::FLOAT::DOUBLE) AS o FROM px) SELECT vec_id, {account_sql('o', digits=4)}, round(o[10], 4) AS at_9 FROM o"
 
 
+def blurred(spark, sf):
+    """A Gaussian blur, mirrored at the edge."""
+    return _square(spark, sf, lambda p, i: corruptions.gaussian(p, 0.8)).select("vec_id", *account(F.col("out"), digits=4), F.round(F.get("out", F.lit(9)), 4).alias("at_9"))
+
+
+_TAPS = np.exp(-(np.arange(-2, 3) ** 2) / (2 * 0.8 * 0.8))
+_TAPS = (_TAPS / _TAPS.sum()).astype(np.float32)
+
+
+def _blur_sql() -> str:
+    terms = [f"{float(a) * float(b)!r}::DOUBLE * px[{_MIRROR(f'(i // 8 + {y})')} * 8 + {_MIRROR(f'(i % 8 + {x})')} + 1]" for y, a in enumerate(_TAPS, -2) for x, b in enumerate(_TAPS, -2)]
+    return f"list_transform(range(0, 64), lambda i: {' + '.join(terms)})"
+
+
+BLURRED = f"WITH {PX}, o AS (SELECT vec_id, {_blur_sql()} AS o FROM px) SELECT vec_id, {account_sql('o', digits=4)}, round(o[10], 4) AS at_9 FROM o"
+
+
 def png_round_trip(spark, sf):
     """Pictures written as PNG and decoded."""
     return _square(spark, sf, lambda p, i: images.decode(images.encode_png(rasters.from_float01(p.astype(np.float64), np.uint8)))).select("vec_id", *account(F.col("out")), F.get("out", F.lit(9)).alias("at_9"))
@@ -345,6 +362,7 @@ QUERIES = {
     "area_shrink": (area_shrink, SHRINK),
     "padded_window": (padded_window, PADDED),
     "warp_by_whole_pixels": (warp_by_whole_pixels, MOVED),
+    "blurred": (blurred, BLURRED),
     "png_round_trip": (png_round_trip, PNG),
     "luma_of_rgb": (luma_of_rgb, LUMA),
     "channels_to_gray": (channels_to_gray, GRAY),
