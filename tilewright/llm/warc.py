@@ -5,20 +5,22 @@ where a later capture (larger id) has the same payload of at least MIN_REVISIT b
 `revisit` that refers to the last such capture and has no payload. Records end with
 CRLF CRLF, so Spark's own text writer, told to end its lines so, writes well-formed
 archives to any file system that Spark reaches; its commit protocol keeps the files of
-lost or repeated tasks out. Archives hold about ARCHIVE_MB each.
+lost or repeated tasks out. Archives hold about ARCHIVE_MB each: pages far larger than
+the mean go to archives of their own, so none has over WIDE x ARCHIVE_MB and two records.
 
 Reading. Each archive is parsed by its Content-Length fields and yields the records
 and a run of index entries (key, timestamp, id, archive, offset) sorted locally: a
 capture run.
 
-Index. The runs are cut at common key ranges, and in each range the cut runs are merged
-by a loser tree by URL key, timestamp and id. Ranges follow one another, so the whole is
-a globally ordered capture history; a URL with a third of all captures is spread over
-ranges by its timestamps.
+Index. The runs are cut at common key ranges of about RANGE entries, and in each range the
+cut runs are merged by a loser tree by URL key, timestamp and id. Ranges follow one another,
+so the whole is a globally ordered capture history; a URL with a third of all captures is
+spread over ranges by its timestamps, equal captures by their places in the archives.
 
 Defined results: a null html is an empty payload; a null url is kept as an empty target;
-a null id cannot be referred to, and its capture is a response. Repeated rows are records
-of their own; of equal rows with the largest id one is the response.
+a null id has the first timestamp, can neither be referred to nor refer, and its capture is
+a response. Repeated rows are records of their own; of rows with the largest id
+of a payload the first by url is the response, of equal ones any. Very long pages are read whole.
 """
 
 from __future__ import annotations
@@ -34,7 +36,12 @@ from pyspark.sql import functions as F
 from .common import UPPER, shared_dir, stage, stage_path, table
 
 MIN_REVISIT = 1000
-ARCHIVE_MB = 16
+#: Size of an archive, about; and how many times that at most, unless it is one record.
+ARCHIVE_MB, WIDE = 16, 8
+#: Bytes of a record besides its payload and url, about.
+HEAD = 700
+#: Index entries that a task merges, about.
+RANGE = 100_000
 #: Rows of the table of repeated payloads that are broadcast at most.
 BROADCAST = 100_000
 END = "\r\n\r\n"
@@ -63,15 +70,19 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def settle_ties(rows: DataFrame) -> DataFrame:
-    """Of several rows with the id that others refer to, all but one revisit it as well."""
-    tied = rows.where(F.col("bytes") >= MIN_REVISIT).groupBy("page_id", "digest", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and page_id is not null")
-    tied = stage(tied.select("page_id", "digest", "bytes"), "tied-captures")
-    if not tied.take(1):
+    """Of several rows with the id that others refer to, all but one revisit it as well: the first by url stays."""
+    name = ["page_id", "digest", "bytes"]
+    tied = rows.where(F.col("bytes") >= MIN_REVISIT).groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and page_id is not null")
+    tied = stage(tied.select(*name), "tied-captures")
+    n = tied.count()
+    if not n:
         return rows
-    marked = rows.join(tied.withColumn("tied", F.lit(True)), ["page_id", "digest", "bytes"], "left")
-    rank = F.row_number().over(Window.partitionBy("page_id", "digest", "bytes").orderBy(F.col("url").asc_nulls_first()))
-    late = marked.where("tied").withColumn("rank", rank).withColumn("refers_to", F.when(F.col("rank") > 1, F.coalesce("refers_to", "page_id")).otherwise(F.col("refers_to")))
-    return marked.where("tied is null").drop("tied").unionByName(late.drop("tied", "rank"))
+    met = F.broadcast(tied) if n <= BROADCAST else tied
+    # written with a number for each row, as equal rows can't be told apart otherwise
+    late = stage(rows.join(met, name, "left_semi").withColumn("m", F.monotonically_increasing_id()), "tied-rows")
+    first = late.groupBy(*name).agg(F.min(F.struct("url", "m")).alias("f")).select(F.col("f.m").alias("m"), F.lit(True).alias("first"))
+    late = late.join(first, "m", "left").withColumn("refers_to", F.when(F.col("first").isNull(), F.coalesce("refers_to", "page_id")).otherwise(F.col("refers_to")))
+    return rows.join(met, name, "left_anti").unionByName(late.select(*rows.columns))
 
 
 def record(rows: DataFrame) -> Column:
@@ -100,12 +111,32 @@ def record(rows: DataFrame) -> Column:
     )
 
 
+def size_groups(sizes: dict[int, tuple[int, int]], archive: int) -> list[tuple[float, float, int]]:
+    """(over, up to, records an archive) by the size of a record; sizes: for each power of two the number of records up to it and their bytes.
+
+    Records up to WIDE times the mean go together, larger ones by powers of WIDE, so an archive
+    has at most WIDE x `archive` bytes, or one record.
+    """
+    n, total = (sum(x[i] for x in sizes.values()) for i in (0, 1))
+    over, up_to, out = -1.0, max(1.0, WIDE * total / max(n, 1)), []
+    while True:
+        if not out or any(2.0**p > over and 2.0 ** (p - 1) <= up_to for p in sizes):
+            out.append((over, up_to, max(1, int(archive * WIDE / up_to))))
+        if up_to >= 2.0 ** max(sizes, default=0):
+            return out
+        over, up_to = up_to, up_to * WIDE
+
+
 def write_archives(pages: DataFrame, path: str, archive_mb: int = ARCHIVE_MB) -> None:
     """pages (page_id, url, html) as WARC files under path."""
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    each = max(1, int(archive_mb * 2**20 / (mean + 700)))
+    size = F.octet_length(F.coalesce("html", F.lit(""))) + F.octet_length(F.coalesce("url", F.lit(""))) * 2 + HEAD
+    power = F.ceil(F.log2(size)).cast("int").alias("power")
+    sizes = {r.power: (r.n, r.total) for r in pages.select(power, size.alias("size")).groupBy("power").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).collect()}  # 32 rows at most
     rows = settle_ties(captures(pages))
-    rows.select(record(rows).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    size = F.col("bytes") + F.octet_length(F.coalesce("url", F.lit(""))) * 2 + HEAD
+    for over, up_to, records in size_groups(sizes, archive_mb << 20):
+        some = rows.where((size > over) & (size <= up_to)) if len(sizes) else rows
+        some.select(record(some).alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).text(path)
 
 
 @dataclass
@@ -212,9 +243,12 @@ class LoserTree:
 
 
 def merge_runs(entries: DataFrame, ranges: int | None = None) -> DataFrame:
-    """entries with range and place: in this order they are the globally sorted capture history."""
+    """A written table: entries with position, their place in the globally sorted capture history (by URL key, timestamp, id, run, offset).
+
+    A range has about RANGE entries, whatever their number.
+    """
     spark = entries.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE))
     names = entries.columns
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,28 +275,40 @@ def merge_runs(entries: DataFrame, ranges: int | None = None) -> DataFrame:
             out[c] = out[c].astype("Int64")
         return out
 
-    cut = entries.repartitionByRange(ranges, "url_key", "stamp", F.col("page_id").asc_nulls_first())
-    cut = cut.sortWithinPartitions("run", "url_key", "stamp", F.col("page_id").asc_nulls_first()).withColumn("range", F.spark_partition_id())
-    return cut.mapInPandas(merged, f"{ENTRY}, range int, place long")
+    order = ["url_key", "stamp", F.col("page_id").asc_nulls_first()]
+    cut = entries.repartitionByRange(ranges, *order, "run", "offset").sortWithinPartitions("run", *order, "offset").withColumn("range", F.spark_partition_id())
+    history = stage(cut.mapInPandas(merged, f"{ENTRY}, range int, place long"), "capture-history")
+    counts = history.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return history.join(F.broadcast(starts), "range").withColumn("position", F.col("start") + F.col("place")).select(*names, "position")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as WARC, read back and merged: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """All pages written as WARC, read back and merged: page_id, payload_bytes, payload_digest, record_type, refers_to, and each capture's url_key, stamp and position in the history."""
     shared_dir(spark)
     path = stage_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     history = merge_runs(stage(read_archives(spark, path), "capture-runs"))
-    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "position")
 
 
-SQL = """
+SQL = r"""
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
+  SELECT page_id, url, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
 ), last AS (
   SELECT html, max(page_id) AS last FROM p GROUP BY html
+), cut AS (
+  SELECT page_id, regexp_replace(coalesce(url, ''), '^[^/?#]*?://', '') AS rest FROM p
+), named AS (
+  SELECT page_id, regexp_replace(array_to_string(list_reverse(string_split(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',')
+         || ')' || regexp_extract(rest, '^[^/?#]*([^#]*)', 1), '[\r\n]', '', 'g') AS url_key,
+         strftime(make_timestamp((1704067200 + page_id % 4294967296) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp
+  FROM cut
 )
 SELECT p.page_id, p.payload_bytes, sha1(p.html) AS payload_digest,
        CASE WHEN p.payload_bytes >= 1000 AND p.page_id < l.last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN p.payload_bytes >= 1000 AND p.page_id < l.last THEN l.last END AS refers_to
-FROM p JOIN last l ON p.html = l.html
+       CASE WHEN p.payload_bytes >= 1000 AND p.page_id < l.last THEN l.last END AS refers_to,
+       n.url_key, n.stamp, row_number() OVER (ORDER BY n.url_key, n.stamp, p.page_id) - 1 AS position
+FROM p JOIN last l ON p.html = l.html JOIN named n ON p.page_id = n.page_id
 """
