@@ -8,12 +8,19 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it names none (tests, a laptop) is a temporary folder set."""
+    """spark.checkpoint.dir of the session, or the folder that checkpoints go to already.
+
+    Only where there is neither, and all runs on one machine (tests, a laptop), is a temporary folder made.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    known = sc._jsc.sc().getCheckpointDir()
+    if not folder and known.isDefined():
+        return known.get()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tilewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not known.isDefined():
         sc.setCheckpointDir(folder)
     return folder
