@@ -104,3 +104,24 @@ def test_a_hot_fingerprint_joins_by_broadcast(spark):
     rows = [(i, "the same text of many rows") for i in range(400)] + [(1000 + i, f"text {i * 7919} of its {i * 104729} own words {i * 1299709}") for i in range(200)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 600 and {r.component_id for r in got if r.doc_id < 400} == {0}
+
+
+def test_a_large_cell_is_cut_not_paired(spark, monkeypatch):
+    """Twenty thousand fingerprints that agree on two blocks: planted links are found, and no cell of more than CELL is compared."""
+    rng = np.random.default_rng(5)
+    free = [b for x in simhash.cut(list(range(64)))[2:] for b in x]
+    own = rng.integers(0, 1 << len(free), 20_000)
+    prints = [sum(1 << b for i, b in enumerate(free) if int(x) >> i & 1) for x in own]
+    near = [p ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 4)), replace=False)) for p in prints[:200]]
+    seen = []
+    work = simhash.cell_links
+    monkeypatch.setattr(simhash, "cell_links", lambda batches: work(batches))
+    stage = simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name, **k: seen.append((name, out := stage(df, name, **k))) or out)
+    df = spark.createDataFrame([(simhash.as_signed(x),) for x in {*prints, *near}], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    root = lambda x: roots.get(simhash.as_signed(x), simhash.as_signed(x))
+    assert all(root(a) == root(b) for a, b in zip(prints, near))
+    large = [d for n, d in seen if n == "simhash-large-cells"]
+    assert len(large) == 1 and large[0].count() >= 20_000  # cut once, each member ten times
+    assert seen[-1][1].agg(F.max("n")).first()[0] <= simhash.CELL

@@ -21,19 +21,32 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tilewright/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the stage tables in the shared folder, once no result that reads them is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tilewright")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a file of a stage table, at least, where their number is known.
+FILE_ROWS = 20_000
+
+
+def stage(df: DataFrame, name: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs no more than its own tasks.
+    rows: a bound of the number of its rows, for tables of few columns: no more files are written than these need.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     path = stage_path(spark, name)
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def in_small_batches(spark: SparkSession) -> None:
-    """Have texts handed to Python in batches of a few MB, unless the session asks for another size."""
+    """Have texts handed to Python in batches of a few MB, from now on in this session, unless it asks for another size."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, str(64 << 20)).rstrip("bB") == str(64 << 20):  # Spark's own default
         spark.conf.set(name, str(8 << 20))

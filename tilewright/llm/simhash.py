@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hot_join, in_small_batches, shared_dir, stage, table, tidy
+from .common import ascii_lower, hot_join, in_small_batches, row_share, shared_dir, stage, table, tidy
 
 MAX_BITS = 3
 SEED = 42
@@ -60,6 +60,10 @@ CELL = 512
 PIVOTS, PIVOT_SAMPLE = 32, 2048
 #: Most members of a MinHash bucket that are compared at once with as many others, and shingles of theirs.
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Edges of a file, at least, when components are sought.
+EDGES = 20_000
+#: Texts that are looked up by a broadcast of their ids at most.
+BROADCAST = 200_000
 #: MinHash bands of a text, MinHashes in each, and bands that are verified first.
 BANDS, ROWS, FIRST_BANDS = 24, 5, 4
 
@@ -118,7 +122,9 @@ def as_signed(x: int) -> int:
 
 def choose_pivots(prints: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> list[int]:
     """n reference fingerprints: of a bounded sample of the input's (by hash) always the one farthest from those chosen; fixed numbers where there are too few."""
-    some = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)  # `sample` rows at most
+    enough = (1.2 * sample + 100) / max(prints.count(), 1)  # those that can be among the lowest
+    low = prints.withColumn("h", row_share(F.col("fp"), F.lit("pivot"))).where(F.col("h") < enough).orderBy("h", "fp")
+    some = np.array([r.fp for r in low.limit(sample).collect()], np.int64).view(np.uint64)  # `sample` rows at most
     out: list[int] = []
     if len(some):
         far = np.full(len(some), 65, np.int64)
@@ -267,7 +273,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each node's larger neighbours, then its
     smaller ones, are hung on the smallest node around, until only stars are left.
-    Every round is checkpointed in the shared folder; there are as many as it takes.
+    Every round is checkpointed in the shared folder, in no more files than its edges need;
+    there are as many as it takes.
     """
     shared_dir(edges.sparkSession)
 
@@ -285,7 +292,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.checkpoint()
     now = mark(edges)
     while True:  # ends, as roots only fall
-        edges = step(edges).checkpoint()
+        edges = step(edges).coalesce(1 + now[0] // EDGES).checkpoint()  # a step never adds edges
         seen, now = now, mark(edges)
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -325,7 +332,7 @@ def band_keys(text: Column, words: int) -> Column:
 
 
 def similar_links(words: int, least: float):
-    """Rows (k, i, j, c, node, root, text) sorted by (k, i, j) in, links between similar nodes out: with the roots, a spanning forest of each unit's."""
+    """Rows (k, i, j, c, root, text) sorted by (k, i, j) in, links between the roots of similar texts out: a spanning forest of each unit's."""
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
         if min(len(x), len(y)) < least * max(len(x), len(y)):
@@ -334,32 +341,32 @@ def similar_links(words: int, least: float):
         return both >= least * (len(x) + len(y) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, members = None, []  # of each member: chunk, node, shingles, and the label of its component
+        unit, members = None, []  # of each member: chunk, root, shingles, and the label of its component
         for batch in batches:
             a, b = [], []
-            for k, i, j, c, node, root, text in zip(*(batch[n].to_pylist() for n in ("k", "i", "j", "c", "node", "root", "text"))):
+            for k, i, j, c, root, text in zip(*(batch[n].to_pylist() for n in ("k", "i", "j", "c", "root")), batch["text"]):
                 if unit != (k, i, j):
                     unit, members = (k, i, j), []
-                own, label = shingle_set(text, words), root
+                own, label = shingle_set(text.as_py(), words), root
                 for m in members:
                     if m[3] != label and (i == j or m[0] != c) and alike(m[2], own):
-                        a.append(max(m[1], node))
-                        b.append(min(m[1], node))
+                        a.append(max(m[1], root))
+                        b.append(min(m[1], root))
                         gone, label = label, m[3]
                         for x in members:
                             if x[3] == gone:
                                 x[3] = label
-                members.append([c, node, own, label])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+                members.append([c, root, own, label])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         tidy()
 
     return run
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """(a, b): links between texts with a Jaccard similarity of at least `least`. nodes: (fp, first_id, shingles, bands), each fp once."""
-    rows = docs.select(F.col(id_col).alias("first_id"), normal_key(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
-    cells = nodes.select(F.col("fp").alias("node"), "shingles", F.posexplode("bands").alias("band", "k"))
+def verified_roots(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """(node, root): the nodes that links of at least `least` connect with others. nodes: (node, fp, first_id, shingles, bands), each once."""
+    rows = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
+    cells = nodes.select("node", "shingles", F.posexplode("bands").alias("band", "k"))
 
     def verify(cells: DataFrame) -> DataFrame:
         """cells: node, root, shingles, k. Buckets whose members have one root are left out, as are those of the same members as another."""
@@ -368,40 +375,46 @@ def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
         chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
         shared = shared.groupBy("n", "s", "x", "y").agg(F.min("k").alias("k")).select("k", chunks.alias("chunks"))
         members = stage(cells.join(shared, "k").select("k", "chunks", "node", "root"), "minhash-members")
-        wanted = members.select(F.col("node").alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp")
-        texts = rows.where("first_id is not null").join(wanted, ["first_id", "fp"]).select("fp", "text")
-        texts = texts.unionByName(rows.where("first_id is null").join(wanted.where("first_id is null").select("fp"), "fp").select("fp", "text"))
-        texts = stage(texts.dropDuplicates(["fp"]).withColumnRenamed("fp", "node"), "minhash-texts")
+        wanted = stage(members.select("node").distinct().join(nodes.select("node", "fp", "first_id"), "node"), "minhash-wanted", rows=nodes.count())
+        few = F.broadcast if wanted.count() <= BROADCAST else (lambda x: x)
+        is_it = normal_key(F.col("text")) == F.col("fp")  # rows may share an id
+        texts = rows.where("first_id is not null").join(few(wanted), "first_id").where(is_it).select("node", "text")
+        nameless = rows.where("first_id is null").select("text", normal_key(F.col("text")).alias("fp")).join(few(wanted.where("first_id is null").select("node", "fp")), "fp")
+        texts = stage(texts.unionByName(nameless.select("node", "text")).dropDuplicates(["node"]), "minhash-texts")
         units = members.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        units = units.select("k", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "root").join(texts, "node").select("k", "i", "j", "c", "node", "root", "text")
-        return stage(units.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(similar_links(words, least), "a string, b string").distinct(), "minhash-links")
+        units = units.select("k", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "root").join(texts, "node").select("k", "i", "j", "c", "root", "text")
+        return components(units.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(similar_links(words, least), "a long, b long").distinct())
 
     first = verify(cells.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")))
-    roots = components(first)
-    others = cells.where(F.col("band") >= FIRST_BANDS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return first.unionByName(verify(others))
+    others = cells.where(F.col("band") >= FIRST_BANDS).join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    then = verify(others).select(F.col("node").alias("root"), F.col("root").alias("last"))  # of roots
+    both = nodes.select("node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(then, "root", "left")
+    return both.select("node", F.coalesce("last", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, least: float | None = None) -> DataFrame:
-    """One row for each row of docs: its id, fp and component, and component_id.
+    """One row for each row of docs: its id, fp, component and component_id.
 
-    fp and component are fingerprints (bigint), linked at 3 or fewer bits; with `least` they are
-    normal_key()s, linked at a Jaccard similarity of at least that between sets of `words`-word shingles.
+    fp is the fingerprint, and fingerprints link at 3 or fewer bits; with `least` it is normal_key(), and
+    texts link at a Jaccard similarity of at least that between sets of `words`-word shingles. component
+    (bigint) is one for each component, within one result.
     """
     in_small_batches(docs.sparkSession)
     first = [F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")]
     if least is None:
         prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "simhash")
-        nodes = stage(prints.groupBy("fp").agg(*first), "simhash-nodes")
-        found = links(nodes.select("fp"))
+        rows = prints.count()
+        nodes = stage(prints.groupBy("fp").agg(*first).withColumn("node", F.col("fp")), "simhash-nodes", rows=rows)
+        roots = components(links(nodes.select("fp")))
     else:
         prints = stage(docs.select(F.col(id_col).alias("doc_id"), normal_key(F.col(text_col)).alias("fp"), band_keys(F.col(text_col), words).alias("m")), "minhash")
-        nodes = stage(prints.groupBy("fp").agg(*first, F.first("m").alias("m")).select("fp", "first_id", "n", "m.*"), "minhash-nodes")
-        found = verified_links(docs, nodes, id_col, text_col, words, least)
-    roots = components(found).withColumnRenamed("node", "fp")
-    rooted = stage(nodes.join(roots, "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("component")), "simhash-roots")
-    names = stage(rooted.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-names")
-    named = stage(hot_join(rooted.select("fp", "component", F.col("n").alias("rows")), names, "component").select("fp", "component", "component_id", F.col("rows").alias("n")), "simhash-named")
+        nodes = prints.groupBy("fp").agg(*first, F.first("m").alias("m")).select(F.monotonically_increasing_id().alias("node"), "fp", "first_id", "n", "m.*")
+        rows = prints.count()
+        nodes = stage(nodes, "minhash-nodes", rows=rows)  # a node keeps its number
+        roots = verified_roots(docs, nodes, id_col, text_col, words, least)
+    rooted = stage(nodes.join(roots, "node", "left").select("fp", "first_id", "n", F.coalesce("root", "node").alias("component")), "simhash-roots", rows=rows)
+    names = stage(rooted.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-names", rows=rows)
+    named = stage(hot_join(rooted.select("fp", "component", F.col("n").alias("rows")), names, "component").select("fp", "component", "component_id", F.col("rows").alias("n")), "simhash-named", rows=rows)
     return hot_join(prints.select("doc_id", "fp"), named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component", "component_id")
 
 
