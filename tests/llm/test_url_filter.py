@@ -50,3 +50,17 @@ def test_no_rules_no_urls(spark):
 
 def test_equal_rules_of_opposite_action(spark):
     assert run(spark, ["http://a.com/x"], [("com", "/x", "allow"), ("com", "/x", "block")])[0][3] == "block"
+
+
+def test_clashing_columns_and_long_urls(spark):
+    """Columns named like the new ones are replaced, others stay; a url of a megabyte is judged whole."""
+    long = "http://deep." + "a." * 200_000 + "com/" + "x" * 500_000 + "/en"
+    urls = [long, "http://deep.a.com/en/1", None]
+    df = spark.createDataFrame([(i, u, "h", "p", 5, "v", "s", 7) for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule int, verdict string, stack string, part long")
+    r = spark.createDataFrame([("com", "/", "block"), ("a.com", "/" + "x" * 400_000, "allow")], "host string, path string, action string")
+    got = url_filter.judge(df, r)
+    assert got.columns == ["page_id", "url", "stack", "part", "host", "path", "rule", "verdict"]
+    by = {x.page_id: x for x in got.collect()}
+    want = [judged(u, [("com", "/", "block"), ("a.com", "/" + "x" * 400_000, "allow")]) for u in urls]
+    assert [(by[i].host, by[i].path, by[i].rule, by[i].verdict) for i in range(3)] == want and by[0].verdict == "allow"
+    assert {(x.stack, x.part) for x in by.values()} == {("s", 7)}
