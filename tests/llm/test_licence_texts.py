@@ -18,7 +18,7 @@ def test_real_texts(spark):
     files = [
         ("a/LICENSE", BSD, "BSD-3-Clause"), ("b/x.py", GPL2, "GPL-2.0"), ("b/y.py", GPL2.replace("version 2", "version 3"), "GPL-3.0"), ("c/LICENSE", ISC, "ISC"),
         ("d/x.c", "// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("d/y.c", "/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"), ("d/z.c", "# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
-        ("e/x.md", "Released under CC BY 4.0.", "CC-BY-4.0"), ("f/LICENSE", "All rights reserved.", "Proprietary"), ("a/z.py", "nothing", "BSD-3-Clause"), ("g/x.c", "// SPDX-License-Identifier: Unheard-1.0", None),
+        ("e/x.md", "Released under CC BY 4.0.", "CC-BY-4.0"), ("f/LICENSE", "All rights reserved.", "Proprietary"), ("h/x.c", "// Copyright 2020 Somebody. All rights reserved.\n// SPDX-License-Identifier: ISC\n", "ISC"), ("h/y.md", "Released under CC0 1.0 Universal, dedicated to the public domain.", "CC0-1.0"), ("a/z.py", "nothing", "BSD-3-Clause"), ("g/x.c", "// SPDX-License-Identifier: Unheard-1.0", None),
     ]
     for path, want in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")):
         if os.path.exists(f"/usr/share/common-licenses/{path}"):

@@ -1,21 +1,28 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-1. Units. Of every file each line with a cue (CUES) is a header, and so is each run of
-   such lines; of a licence file (LICENSE, LICENCE, COPYING, NOTICE, with any ending) the
-   whole text is a unit too. Equal units are scored once.
-2. Weights. A term of a unit or template weighs tf x (ln((1 + N) / (1 + df)) + 1), N and
-   df counted over all units of all files, copies included.
+1. Weights. A term of a unit or template weighs tf x (ln((1 + N) / (1 + df)) + 1), N the
+   number of files and df of those with the term, copies included.
+2. Units. Every line that could reach `least` with a short template is a header, and so is
+   each run of such lines; of a licence file (LICENSE, LICENCE, COPYING, NOTICE, with any
+   ending) the whole text is a unit too. Which lines could is told by the templates: a
+   line's cosine to a template is at most the root of the share of the template's squared
+   weight that lies on the line's terms, so it needs a term besides the commonest of the
+   template's that together have less than the share least^2 (the gate). Nothing is lost by
+   that, and no list of words decides. Equal units are scored once.
 3. Scores. The sparse vectors meet in an inverted index of the templates' terms; a unit's
-   licence is the template of the highest cosine, if that is at least `least`. A file's
-   own licence is that of its best unit (ties: the name that sorts first); a licence
-   file's whole text, if it has a licence, outweighs its lines.
+   licence is the template of the highest cosine, if that is at least `least`. Lines and
+   runs are held against templates of up to LONG terms, whole licence files against all.
+   A file's own licence is that of its best unit (ties: the name that sorts first); a licence
+   file's whole text, if it has a licence, outweighs its lines, and a named licence outweighs
+   the mere reservation of rights (NOTICE), which many licences begin with.
 4. Inheritance. A file without a licence of its own takes that of the nearest directory
    at or above its own that has one. A directory's is that of its licence files (the
    best, ties as above). Directories are resolved once each by joins with their
    ancestors' paths; files then join their directory.
 
 Defined results: a null or empty text has no unit; a null path inherits nothing;
-repeated rows are files of their own with equal results. Templates and directory
+repeated rows are files of their own with equal results; very long texts are read whole, line
+by line; without templates nothing has a licence. Templates and directory
 licences are broadcast while they are fewer than BROADCAST rows, else they are shuffled.
 """
 
@@ -24,19 +31,19 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage, table
+from .common import ascii_lower, let, stage, table
 
 BROADCAST = 100_000
 LEAST = 0.6
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 LICENCE_FILE = r"^(licen[cs]e|copying|notice)(\..*)?$"
-CUES = [
-    "licen", "copyright", "rights reserved", "public domain", "redistribut", "hereby granted", "spdx",
-    "released under", "distributed under", "available under", "terms of the", "creative commons", "cc by", "cc-by", "cc0", "any later version", "permission to use, copy",
-]
+#: Most terms of a template that lines are held against.
+LONG = 400
+#: The licence that gives way to any other.
+NOTICE = "Proprietary"
 
 #: licence, a text that announces it
 TEMPLATES = [
@@ -105,49 +112,54 @@ def long_texts() -> list[tuple[str, str]]:
 TEMPLATES += [*BODIES, *HEADERS, *SPDX, *long_texts()]
 
 
-def has_cue(line: Column) -> Column:
-    found = F.lit(False)
-    for c in CUES:
-        found = found | F.contains(line, F.lit(c))
-    return found
-
-
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0))
 
 
-def units(files: DataFrame) -> DataFrame:
+def weighted_templates(files: DataFrame, templates: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Column, list[str]]:
+    """Written tables of the templates' weights (template, licence, long, term, weight) and of all terms (term, df), the idf as an expression of df, and the gate."""
+    n = files.count()
+    df = stage(files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "licence-terms")
+    idf = F.log(F.lit(1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    numbered = templates.select(F.xxhash64("licence", "text").alias("template"), "licence", terms(F.col("text")).alias("terms")).distinct()
+    counts = numbered.select("template", "licence", (F.size("terms") > LONG).alias("long"), F.explode("terms").alias("term")).groupBy("template", "licence", "long", "term").agg(F.count(F.lit(1)).alias("tf"))
+    index = stage(counts.join(df, "term", "left").select("template", "licence", "long", "term", (F.col("tf") * idf).alias("weight"), F.coalesce("df", F.lit(0)).alias("df")), "template-index", rows=1000 * templates.count())
+    square = F.col("weight") * F.col("weight")
+    upto = Window.partitionBy("template").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    share = F.sum(square).over(upto) / F.sum(square).over(Window.partitionBy("template"))
+    gate = index.where("not long").withColumn("share", share).where(F.round("share", 9) >= round(least * least, 9)).select("term").distinct()
+    return index, df, idf, sorted(r.term for r in gate.collect())  # the templates' terms at most
+
+
+def units(files: DataFrame, gate: list[str]) -> DataFrame:
     """(file, unit, key, body): the texts of each file that are held against templates, the md5 they are known by, and whether they are a whole licence file; files: file, path, text."""
     name = F.element_at(F.split(ascii_lower(F.coalesce("path", F.lit(""))), "/"), -1)
-    low = files.select("file", name.rlike(LICENCE_FILE).alias("whole"), ascii_lower(F.col("text")).alias("low")).where(F.col("whole") | has_cue(F.col("low")))
-    marked = F.transform(F.split("low", "\r?\n"), lambda x: F.when(has_cue(x), F.trim(x)).otherwise(F.lit("")))
-    lines = F.filter(marked, lambda x: x != "")
-    # runs of lines with cues stand between empty ones
-    runs = F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda x: F.trim(F.regexp_replace(x, "\n", " "))), lambda x: x != "")
+    low = files.select("file", name.rlike(LICENCE_FILE).alias("whole"), ascii_lower(F.col("text")).alias("low"))
+    passed = F.array(*[F.lit(t) for t in gate]).cast("array<string>")
+    marked = F.transform(F.split("low", "\r?\n"), lambda x: F.when(F.arrays_overlap(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)), passed), F.trim(x)).otherwise(F.lit("")))
+
+    def found(marked: Column) -> Column:
+        lines = F.filter(marked, lambda x: x != "")
+        # runs of such lines stand between empty ones
+        runs = F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda x: F.trim(F.regexp_replace(x, "\n", " "))), lambda x: x != "")
+        return F.when(F.size(lines) > 0, F.concat(lines, runs)).otherwise(F.array().cast("array<string>"))
+
     whole = F.when(F.col("whole"), F.array(F.trim("low"))).otherwise(F.array().cast("array<string>"))
     body = F.when(F.col("whole"), F.md5(F.trim("low"))).alias("body")
-    parts = low.select("file", body, F.explode(F.array_distinct(F.concat(lines, runs, whole))).alias("unit")).where("unit != ''").withColumn("key", F.md5("unit"))
+    parts = low.select("file", body, F.explode(F.array_distinct(F.concat(let(marked, found), whole))).alias("unit")).where("unit != ''").withColumn("key", F.md5("unit"))
     return parts.withColumn("body", F.coalesce(F.col("key") == F.col("body"), F.lit(False)))
 
 
-def scored(texts: DataFrame, templates: DataFrame) -> DataFrame:
-    """(key, licence, score): the best template of each unit. texts: key, unit, n (how often it occurs)."""
-    bag = texts.select("key", "n", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    bag = stage(bag, "unit-terms")
-    df = bag.groupBy("term").agg(F.sum("n").alias("df"))
-    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_units"))  # one row
-    idf = (F.log((1 + F.col("all_units")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")
-    numbered = templates.select(F.xxhash64("licence", "text").alias("template"), "licence", "text").distinct()
-    index = numbered.select("template", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
-    index = stage(index.join(df, "term", "left").join(F.broadcast(total)).select("template", "licence", "term", (F.col("tf") * idf).alias("weight")), "template-index")
+def scored(texts: DataFrame, index: DataFrame, df: DataFrame, idf: Column) -> DataFrame:
+    """(key, licence, score): the best template of each unit, a NOTICE only where there is no other at LEAST. texts: key, unit, whole."""
+    bag = texts.select("key", "whole", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "whole", "term").agg(F.count(F.lit(1)).alias("tf"))
     few = (lambda x: F.broadcast(x)) if index.count() <= BROADCAST else (lambda x: x)
+    weighed = stage(bag.join(df, "term").select("key", "whole", "term", (F.col("tf") * idf).alias("w")), "unit-weights")
     lengths = index.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("template_norm"))
-    weighed = stage(bag.join(df, "term").join(F.broadcast(total)).select("key", "term", (F.col("tf") * idf).alias("w")), "unit-weights")
     norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(few(index), "term").groupBy("key", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = weighed.join(few(index.drop("df")), "term").where(F.col("whole") | ~F.col("long")).groupBy("key", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm") / F.col("template_norm"), 6)
-    best = dots.join(norms, "key").join(few(lengths), "template").groupBy("key").agg(F.min(F.struct((-cosine).alias("s"), "licence")).alias("b"))
-    return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    return dots.join(norms, "key").join(few(lengths), "template").groupBy("key", "licence").agg(F.max(cosine).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -161,14 +173,15 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFr
     own = [c for c in files.columns if c not in new]
     name = F.xxhash64(F.coalesce("path", F.lit("")), F.coalesce("text", F.lit("")))  # with the path below, what tells files apart
     keyed = files.select(F.struct(*own).alias("row"), name.alias("file"), F.col("path"), F.col("text"))
-    parts = stage(units(keyed.select(F.struct("file", "path").alias("file"), "path", "text")).distinct(), "licence-units")
-    rows = keyed.select(F.struct("file", "path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("copies"))
-    counts = parts.select("file", "key").join(rows, "file").groupBy("key").agg(F.sum("copies").alias("n"))
-    texts = stage(parts.select("key", "unit").distinct().join(counts, "key"), "licence-texts")
-    known = stage(scored(texts, templates).where(F.col("score") >= least), "licence-scores")
+    index, df, idf, gate = weighted_templates(keyed, templates, least)
+    parts = stage(units(keyed.select(F.struct("file", "path").alias("file"), "path", "text"), gate).distinct(), "licence-units")
+    texts = stage(parts.groupBy("key").agg(F.min("unit").alias("unit"), F.max("body").alias("whole")), "licence-texts")
+    fits = scored(texts, index, df, idf).where(F.col("score") >= least)
+    rank = F.struct((F.col("licence") == NOTICE).alias("notice"), (-F.col("score")).alias("s"), "licence")
+    known = stage(fits.groupBy("key").agg(F.min(rank).alias("b")), "licence-scores")
     few = F.broadcast(known) if known.count() <= BROADCAST else known
-    found = parts.select("file", "key", "body").join(few, "key").groupBy("file", "licence").agg(F.max("score").alias("score"), F.max("body").alias("body"))
-    found = found.groupBy("file").agg(F.min(F.struct(~F.col("body"), (-F.col("score")).alias("s"), "licence")).alias("b"))
+    found = parts.select("file", "key", "body").join(few, "key")
+    found = found.groupBy("file").agg(F.min(F.struct("b.notice", ~F.col("body"), "b.s", "b.licence")).alias("b"))
     found = stage(found.select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score")), "file-licences")
 
     base = F.element_at(F.split(ascii_lower(F.col("file.path")), "/"), -1)
@@ -206,8 +219,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_CUE = "(" + " OR ".join(f"contains({{0}}, '{c}')" for c in CUES) + ")"
-SQL = f"""
+SQL = rf"""
 WITH f AS (
   SELECT doc_id, {_LOW.format("coalesce(text, '')")} AS low,
          CASE WHEN doc_id % 4096 = 0 THEN coalesce(source, 'none') || '/' || (doc_id // 4096) || '/LICENSE'
@@ -216,42 +228,51 @@ WITH f AS (
   FROM documents
 ), d AS (
   SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir, ends_with(path, '/LICENSE') AS whole FROM f
-), l AS (
-  SELECT doc_id, whole, low, i, CASE WHEN {_CUE.format("line")} THEN trim(line) ELSE '' END AS line
-  FROM (SELECT doc_id, whole, low, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, whole, low, string_split(low, chr(10)) AS ls FROM d))
-), grp AS (
-  SELECT doc_id, i, line, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l
-), parts AS (
-  SELECT doc_id, line AS unit FROM l WHERE line != ''
-  UNION SELECT doc_id, trim(string_agg(line, ' ' ORDER BY i)) FROM grp WHERE line != '' GROUP BY doc_id, g
-  UNION SELECT doc_id, trim(low) FROM d WHERE whole AND trim(low) != ''
-), texts AS (
-  SELECT unit, count(*) AS n FROM parts GROUP BY unit
-), bag AS (
-  SELECT unit, n, term, count(*) AS tf FROM (SELECT unit, n, unnest(regexp_extract_all(unit, '{TERM}')) AS term FROM texts) GROUP BY unit, n, term
 ), df AS (
-  SELECT term, sum(n) AS df FROM bag GROUP BY term
+  SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(low, '{TERM}'))) AS term FROM d) GROUP BY term
 ), total AS (
-  SELECT coalesce(sum(n), 0) AS total FROM texts
+  SELECT count(*) AS total FROM d
 ), t(template, licence, text) AS (
   VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))}
+), ts AS (
+  SELECT template, licence, regexp_extract_all({_LOW.format("text")}, '{TERM}') AS terms FROM t
 ), tt AS (
-  SELECT template, licence, term, count(*) AS tf FROM (SELECT template, licence, unnest(regexp_extract_all({_LOW.format("text")}, '{TERM}')) AS term FROM t) GROUP BY template, licence, term
+  SELECT template, licence, len(terms) > {LONG} AS long, unnest(terms) AS term FROM ts
 ), ti AS (
-  SELECT template, licence, tt.term, tf * (ln((1 + total) / (1 + coalesce(df, 0))::DOUBLE) + 1) AS w FROM tt LEFT JOIN df ON tt.term = df.term CROSS JOIN total
+  SELECT template, licence, long, tt.term, coalesce(any_value(df), 0) AS df, count(*) * (ln((1 + any_value(total)) / (1 + coalesce(any_value(df), 0))::DOUBLE) + 1) AS w
+  FROM tt LEFT JOIN df ON tt.term = df.term CROSS JOIN total GROUP BY template, licence, long, tt.term
+), gate AS (
+  SELECT list(DISTINCT term) AS g FROM (
+    SELECT term, sum(w * w) OVER (PARTITION BY template ORDER BY df DESC, term ROWS UNBOUNDED PRECEDING) / sum(w * w) OVER (PARTITION BY template) AS share FROM ti WHERE NOT long)
+  WHERE round(share, 9) >= {round(LEAST * LEAST, 9)}
+), l AS (
+  SELECT doc_id, whole, low, i, CASE WHEN list_has_any(regexp_extract_all(line, '{TERM}'), g) THEN trim(line) ELSE '' END AS line
+  FROM (SELECT doc_id, whole, low, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, whole, low, string_split_regex(low, '\r?\n') AS ls FROM d)) CROSS JOIN gate
+), grp AS (
+  SELECT doc_id, i, line, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l
+), parts AS (
+  SELECT doc_id, unit, max(body) AS body FROM (
+    SELECT doc_id, line AS unit, false AS body FROM l WHERE line != ''
+    UNION SELECT doc_id, trim(string_agg(line, ' ' ORDER BY i)), false FROM grp WHERE line != '' GROUP BY doc_id, g
+    UNION SELECT doc_id, trim(low), true FROM d WHERE whole AND trim(low) != '')
+  GROUP BY doc_id, unit
+), texts AS (
+  SELECT unit, max(body) AS whole FROM parts GROUP BY unit
+), bag AS (
+  SELECT unit, whole, term, count(*) AS tf FROM (SELECT unit, whole, unnest(regexp_extract_all(unit, '{TERM}')) AS term FROM texts) GROUP BY unit, whole, term
 ), tn AS (
   SELECT template, sqrt(sum(w * w)) AS norm FROM ti GROUP BY template
 ), ui AS (
-  SELECT unit, bag.term, tf * (ln((1 + total) / (1 + df)::DOUBLE) + 1) AS w FROM bag JOIN df ON bag.term = df.term CROSS JOIN total
+  SELECT unit, whole, bag.term, tf * (ln((1 + total) / (1 + df)::DOUBLE) + 1) AS w FROM bag JOIN df ON bag.term = df.term CROSS JOIN total
 ), un AS (
   SELECT unit, sqrt(sum(w * w)) AS norm FROM ui GROUP BY unit
 ), cs AS (
   SELECT ui.unit, ti.template, ti.licence, round(sum(ui.w * ti.w) / any_value(un.norm) / any_value(tn.norm), 6) AS score
-  FROM ui JOIN ti ON ui.term = ti.term JOIN un ON ui.unit = un.unit JOIN tn ON ti.template = tn.template GROUP BY ui.unit, ti.template, ti.licence
+  FROM ui JOIN ti ON ui.term = ti.term JOIN un ON ui.unit = un.unit JOIN tn ON ti.template = tn.template WHERE ui.whole OR NOT ti.long GROUP BY ui.unit, ti.template, ti.licence
 ), best AS (
-  SELECT unit, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) AS rn FROM cs) WHERE rn = 1 AND score >= {LEAST}
+  SELECT unit, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY licence = '{NOTICE}', score DESC, licence) AS rn FROM cs WHERE score >= {LEAST}) WHERE rn = 1
 ), own AS (
-  SELECT doc_id, licence, score FROM (SELECT p.doc_id, b.*, row_number() OVER (PARTITION BY p.doc_id ORDER BY score DESC, licence) AS rn FROM parts p JOIN best b ON p.unit = b.unit) WHERE rn = 1
+  SELECT doc_id, licence, score FROM (SELECT p.doc_id, b.*, row_number() OVER (PARTITION BY p.doc_id ORDER BY licence = '{NOTICE}', body DESC, score DESC, licence) AS rn FROM parts p JOIN best b ON p.unit = b.unit) WHERE rn = 1
 ), dl AS (
   SELECT dir, licence, score FROM (SELECT d.dir, o.licence, o.score, row_number() OVER (PARTITION BY d.dir ORDER BY score DESC, licence) AS rn FROM d JOIN own o ON d.doc_id = o.doc_id WHERE d.whole) WHERE rn = 1
 ), heirs AS (
