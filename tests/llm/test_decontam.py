@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,9 +29,28 @@ def brute(text, items):
     return len(w), len(hit), sorted(found)
 
 
-def expected(text, items):
+def expected(text, items, counts):
     n, hit, found = brute(text, items)
-    return n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0
+    return n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0, len(near(text, items, counts))
+
+
+def near(text, items, counts, slack=decontam.SLACK):
+    """Items with a window all of whose words lie around an occurrence of its rarest one."""
+    w, found = words(text), set()
+    for item, t in items:
+        v = words(t)
+        for i in range(max(1, len(v) - 9) if v else 0):
+            win = v[i : i + 10]
+            if all(x in counts for x in win):
+                rarest = min(win, key=lambda x: counts[x])  # the first of the rarest
+                reach = len(win) + slack
+                if any(x == rarest and set(win) <= set(w[max(0, p - reach + 1) : p + reach]) for p, x in enumerate(w)):
+                    found.add("" if item is None else str(item))
+    return found
+
+
+def counted(texts):
+    return Counter(x for t in texts for x in words(t))
 
 
 def run(spark, path, docs, items, extra=""):
@@ -43,7 +63,8 @@ def test_query_is_brute_force(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     got = {r.doc_id: tuple(r)[1:] for r in decontam.op7_decontamination(spark, sf).collect()}
-    assert got == {d: expected(t, items) for d, t in docs.items()}
+    counts = counted(docs.values())
+    assert got == {d: expected(t, items, counts) for d, t in docs.items()}
     assert any(v[4] for v in got.values())
 
 
@@ -60,22 +81,29 @@ def test_edge_rows(spark, tmp_path, monkeypatch, broadcast):
         (11, long, "o"), (11, long, "o"), (11, "another text", "o"), (12, "... \x00 !", "o"),
     ]
     got = run(spark, tmp_path, docs, items)
-    assert sorted(got, key=str) == sorted(((d, expected(t, items)) for d, t, _ in docs), key=str)
+    counts = counted(t for _, t, _ in docs)
+    assert sorted(got, key=str) == sorted(((d, expected(t, items, counts)) for d, t, _ in docs), key=str)
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
     clean = decontam.keep_clean(df, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
     assert clean.columns == df.columns
+    clash = df.withColumn("found", F.lit("f")).withColumn("items", F.lit("i")).withColumn("words", F.lit("w"))
+    whole = decontam.contaminated(clash, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert whole.columns == ["doc_id", "text", "k1", "found", "words", "n_words", "n_hit", "items", "n_near"]
+    assert {(r.k1, r.found, r.words) for r in whole.collect()} == {("o", "f", "w"), (None, "f", "w")}
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, t, _ in docs if not brute(t, items)[1])
 
 
 def test_empty_tables(spark, tmp_path):
     assert run(spark, tmp_path / "a", [], [(1, "some words")]) == []
-    assert run(spark, tmp_path / "b", [(1, "some words", "x")], []) == [(1, expected("some words", []))]
-    assert run(spark, tmp_path / "c", [(1, "some words", "x")], [(1, "absent words entirely")]) == [(1, expected("some words", []))]
-
-
-def test_proximity(spark):
-    docs = spark.createDataFrame([("rare x common y z term",), ("rare a b c d e f g common term",), ("common term",)], "text string")
-    items = spark.createDataFrame([(1, "common rare term")], "item_id long, text string")
-    near = decontam.proximity(docs, items, slack=3).join(docs.select("text", *decontam.key_of(F.col("text"))), ["k1", "k2"])
-    assert [r.text for r in near.collect()] == ["rare x common y z term"]
-    assert decontam.proximity(docs, items, slack=7).count() == 2
+    assert run(spark, tmp_path / "b", [(1, "some words", "x")], []) == [(1, expected("some words", [], {}))]
+    assert run(spark, tmp_path / "c", [(1, "some words", "x")], [(1, "absent words entirely")]) == [(1, expected("some words", [], {}))]
+
+
+def test_proximity(spark, tmp_path):
+    """Words in another order and with others between them, up to the distance; copies and repeats alike."""
+    item = "common rare term"
+    docs = [(1, "rare x common y z term"), (2, "rare a b c d e f g common term"), (3, "common term"), (4, "term a b c d rare e f g h common"), (5, "rare " * 30 + "common " * 9 + "term"), (6, "common " * 5 + "a b c d e f term rare"), (7, "rare x common y z term")]
+    counts = counted(t for _, t in docs)
+    got = run(spark, tmp_path, [(d, t, "x") for d, t in docs], [(1, item), (2, "rare"), (3, "x rare x")])
+    assert got and sorted(got) == [(d, expected(t, [(1, item), (2, "rare"), (3, "x rare x")], counts)) for d, t in docs]
+    assert {d: v[5] for d, v in got}[2] == 1 and {d: v[5] for d, v in got}[1] == 3
