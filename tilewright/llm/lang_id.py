@@ -10,9 +10,10 @@ bytes, and the language of the shortest code is predicted. Costs are held in uni
 2^-16 bit as whole numbers: sums are exact and the same in any order.
 
 Training counts are gathered by partition and summed; only the summed table reaches
-the driver, which is bounded by the training sample: about `sample` texts of each
-language (all if it has fewer), taken by a hash of the row. Scoring reads the whole
-of every text in blocks of BLOCK bytes.
+the driver, which is bounded by the training sample: of the `langs` languages with the most
+texts at most `sample` texts each (all if it has fewer), those of the lowest hash of the row,
+and no more than `most` bytes together, in equal parts. Equal rows count towards these
+bounds like others. Scoring reads the whole of every text in blocks of BLOCK bytes.
 
 Defined results: a null text, or one without any letter, is `und` with score 0, as is
 every text if nothing was learned. Ties go to the language that sorts first. A text's
@@ -26,14 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, in_small_batches, row_share, table, tidy
+from .common import crc_remainder, in_small_batches, row_share, stage, table, tidy
 
 MAX_ORDER = 3
-#: Training texts of each language, about.
-SAMPLE = 1500
+#: Training texts of each language, bytes of all, and languages, at most.
+SAMPLE, MOST, LANGS = 1500, 20_000_000, 32
 #: Bytes scored at once.
 BLOCK = 1 << 19
 UNIT = 65536.0
@@ -104,6 +105,8 @@ class Model:
     max_order: int
     symbols: list[tuple[Lookup, np.ndarray]]
     escapes: list[tuple[Lookup, np.ndarray]]
+    #: 99.9th percentile of the training texts' bits a byte
+    usual: float = 0.0
 
     def costs(self, data: np.ndarray) -> np.ndarray:
         """(bytes, langs) costs of the bytes behind the first max_order ones."""
@@ -216,23 +219,33 @@ def build(langs: list[str], counts: pd.DataFrame, max_order: int) -> Model:
     return Model(langs, max_order, symbols, escapes)
 
 
-def sampled(docs: DataFrame, sample: int) -> DataFrame | None:
-    """About `sample` texts of each language, or None if there are no languages."""
+def sampled(docs: DataFrame, sample: int, most: int = MOST, langs: int = LANGS) -> DataFrame | None:
+    """A written table of training texts (lang, text) within the bounds, or None if there are no languages."""
     known = docs.where("lang is not null and text is not null and text != ''")
-    rows = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    rows = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
     if not rows:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))
-    return known.where(row_share(*[F.col(c) for c in docs.columns if c != "text"], F.lit("ppm")) < share)
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, 1.2 * sample / n + 20 / n))]), F.col("lang"))
+    few = known.select("lang", "text", row_share(*[F.col(c) for c in docs.columns if c != "text"], F.lit("ppm")).alias("h")).where(F.col("h") < share)
+    order = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"), "text")
+    # limited before the shuffle as well, whatever shares a hash
+    first = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    size = F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return stage(first.withColumn("size", size).where((F.col("size") <= most // len(rows)) | (F.col("rank") == 1)).select("lang", "text"), "language-sample")
 
 
-def train(docs: DataFrame, max_order: int = MAX_ORDER, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, max_order: int = MAX_ORDER, sample: int = SAMPLE, most: int = MOST, langs: int = LANGS) -> Model | None:
     """A model of the languages of docs (lang, text, and any columns that tell rows apart), or None if there are none."""
-    keep = sampled(docs, sample)
+    keep = sampled(docs, sample, most, langs)
     if keep is None:
         return None
     counts = count_grams(keep, max_order).toPandas()
-    return build(sorted(set(counts["lang"])), counts, max_order) if len(counts) else None
+    if not len(counts):
+        return None
+    model = build(sorted(set(counts["lang"])), counts, max_order)
+    bits = keep.select(predict(model, F.col("text"), docs.sparkSession).alias("p")).where("p.lang_pred != 'und'").agg(F.percentile_approx("p.bits", 0.999, 10_000)).first()[0]
+    model.usual = bits or 0.0
+    return model
 
 
 def predict(model: Model | None, text: Column, spark: SparkSession) -> Column:
@@ -270,13 +283,9 @@ def contract_model(docs: DataFrame) -> Model | None:
     return train(contract_rows(docs))
 
 
-def most_bits(model: Model | None, docs: DataFrame, sample: int = SAMPLE) -> float:
-    """Bits a byte up to which a text is of a learned language: MARGIN times the 99.9th percentile of the training texts in docs."""
-    keep = sampled(docs, sample) if model is not None else None
-    if keep is None:
-        return 0.0
-    bits = keep.select(predict(model, F.col("text"), docs.sparkSession).alias("p")).where("p.lang_pred != 'und'").agg(F.percentile_approx("p.bits", 0.999, 10_000)).first()[0]
-    return MARGIN * (bits or 0.0)
+def most_bits(model: Model | None, docs: DataFrame | None = None) -> float:
+    """Bits a byte up to which a text is of a learned language: MARGIN times the 99.9th percentile of the training texts."""
+    return MARGIN * model.usual if model is not None else 0.0
 
 
 def is_coded(p: Column, text: Column, limit: float) -> Column:
