@@ -35,6 +35,10 @@ def exact_likeness(a, b):
     return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
 
 
+def exact_count(a):
+    return len(a) if len(a) < sketch.K else (sketch.K - 1) / ((a[-1] + 2.0**63 + 1) / 2.0**64)
+
+
 def as_hex(a):
     return "".join(f"{x % (1 << 64):016x}" for x in a)
 
@@ -57,6 +61,9 @@ def check(got, docs, tolerance):
         own, of_edited, of_next = exact_sketch(texts[i]), exact_sketch(e), exact_sketch(nxt)
         assert (r.fingerprint, r.edited_fingerprint) == (as_hex(own), as_hex(of_edited))
         assert (r.near_edited, r.near_next) == pytest.approx((exact_likeness(own, of_edited), exact_likeness(own, of_next)), abs=1e-12)
+        n, m = exact_count(own), exact_count(of_edited)
+        j = exact_likeness(own, of_edited)
+        assert r.n_shingles == pytest.approx(n) and r.kept_by_edited == pytest.approx(min(1.0, j / (1 + j) * (n + m) / n) if own else 1.0)
         for likeness, other in ((r.near_edited, e), (r.near_next, nxt)):
             exact = jaccard(texts[i], other)
             small = len(shingles(texts[i])) < sketch.K and len(shingles(other)) < sketch.K

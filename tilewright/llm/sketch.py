@@ -25,7 +25,7 @@ from .common import let, table
 K = 128
 SHINGLE = 5
 #: Blocks of neighbouring ids for each shuffle partition, when documents are put in order; and keys that are sampled for each.
-BLOCKS, SAMPLED = 4, 32
+BLOCKS, SAMPLED = 8, 16
 
 
 def sketch(text: Column, k: int = K, words: int = SHINGLE) -> Column:
@@ -66,9 +66,9 @@ def distinct_count(a: Column, k: int = K) -> Column:
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise(F.lit(float(k - 1)) / share)
 
 
-def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated share of a's shingles that b has: |A and B| / |A|, as J / (1 + J) x (|A| + |B|) / |A|."""
-    j, n, m = resemblance(a, b, k), distinct_count(a, k), distinct_count(b, k)
+def containment(a: Column, b: Column, k: int = K, likeness: Column | None = None) -> Column:
+    """Estimated share of a's shingles that b has: |A and B| / |A|, as J / (1 + J) x (|A| + |B|) / |A|. likeness: their resemblance, if known."""
+    j, n, m = resemblance(a, b, k) if likeness is None else likeness, distinct_count(a, k), distinct_count(b, k)
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), j / (1 + j) * (n + m) / n))
 
 
@@ -97,7 +97,8 @@ def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, derive
     keyed = df.select(*[F.col(f"`{c}`") for c in own], F.struct(F.col(f"`{order}`").alias("o"), tie.alias("t")).alias(key))
     kind = keyed.schema[key].dataType.simpleString()
     size = max(min(SAMPLED * blocks, 200_000), 2 * blocks)
-    some = sorted(keyed.select(f"{key}.*").orderBy(F.rand(7)).limit(size).collect(), key=lambda r: (r.o is not None, r.o, r.t))  # `size` keys
+    chance = min(1.0, size / max(df.count(), 1))
+    some = sorted(keyed.select(f"{key}.*").where(F.rand(7) < chance).collect(), key=lambda r: (r.o is not None, r.o, r.t))  # about `size` keys
     each = max(1, len(some) // blocks)
     cuts = {tuple(r) for r in some[each::each]}
     often = Counter(tuple(r) for r in some)
@@ -136,18 +137,20 @@ def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, derive
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's sketch against that of its edited text and of the next document."""
+    """Every document's sketch against that of its edited text and of the next document, and what it tells of the number of its shingles and of the share that the edited text keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs, "doc_id", ["text"], F.xxhash64("text"), {"sk": sketch(F.col("text"))})
     cut = F.floor(F.char_length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.withColumn("edited", edited).withColumn("edited_sk", sketch(F.col("edited")))
+    rows = rows.withColumn("edited", edited).withColumn("edited_sk", sketch(F.col("edited"))).withColumn("near_edited", resemblance(F.col("sk"), F.col("edited_sk")))
     return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         as_hex(F.col("sk")).alias("fingerprint"),
         as_hex(F.col("edited_sk")).alias("edited_fingerprint"),
-        resemblance(F.col("sk"), F.col("edited_sk")).alias("near_edited"),
+        "near_edited",
         resemblance(F.col("sk"), F.col("next_sk")).alias("near_next"),
+        distinct_count(F.col("sk")).alias("n_shingles"),
+        containment(F.col("sk"), F.col("edited_sk"), likeness=F.col("near_edited")).alias("kept_by_edited"),
     )
