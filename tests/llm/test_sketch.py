@@ -124,6 +124,7 @@ def test_sketches_merge(spark):
 @pytest.mark.parametrize("blocks", [2, 40])
 def test_hot_ids_and_equal_rows(spark, monkeypatch, blocks):
     """A third of the rows are equal, a third share an id: each has the row that follows next, whatever the blocks."""
+    monkeypatch.setattr(sketch, "HOT", 150)
     rows = [(50, "equal row")] * 300 + [(70, f"text {i}") for i in range(300)] + [(i, f"own {i}") for i in range(300) if i not in (50, 70)] + [(None, f"none {i}") for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__key", F.lit("k")).withColumn("next_text", F.lit("clash"))
     got = sketch.with_next(df, "doc_id", ["text"], F.xxhash64("text"), {"size": F.length("text")}, blocks)

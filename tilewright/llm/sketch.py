@@ -26,6 +26,8 @@ K = 128
 SHINGLE = 5
 #: Blocks of neighbouring ids for each shuffle partition, when documents are put in order; and keys that are sampled for each.
 BLOCKS, SAMPLED = 8, 16
+#: Rows of one key, at least, that are dealt out.
+HOT = 1000
 
 
 def sketch(text: Column, k: int = K, words: int = SHINGLE) -> Column:
@@ -102,7 +104,7 @@ def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, derive
     each = max(1, len(some) // blocks)
     cuts = {tuple(r) for r in some[each::each]}
     often = Counter(tuple(r) for r in some)
-    hot = [k for k, n in often.items() if n >= 2 * each and n > 8]
+    hot = [k for k, n in often.items() if n >= 2 * each and n / chance >= HOT]
     cuts = sorted(cuts | set(hot), key=lambda k: (k[0] is not None, *k))
 
     def literal(keys) -> Column:
@@ -125,7 +127,8 @@ def with_next(df: DataFrame, order: str, carried: list[str], tie: Column, derive
     ids = heads.select("b", F.coalesce(F.lead("b").over(around), F.first("b").over(around)).alias("after"))
     after = ids.join(heads.withColumnRenamed("b", "after"), "after").select("b", "head")
 
-    parts = max((often[k] for k in hot), default=0) // each + 1
+    # so few parts that none of a hot key's is ever empty
+    parts = min(max(often[k] for k in hot) // each + 1, int(min(often[k] for k in hot) / chance) // 64) if hot else 1
     spread = F.when(F.col(block) % 2 == 0, F.floor(F.rand(11) * parts)).otherwise(F.lit(0)).cast("int")
     rows = keyed.withColumn(salt, spread).repartition(block, salt).withColumns(derived)
     rank = Window.partitionBy(block, salt).orderBy(key)
