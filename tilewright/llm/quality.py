@@ -199,7 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     """
     in_small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).where("doc_id is not null and quality is not null").distinct()
-    few = stage(known.withColumn("h", row_share(F.col("doc_id"), F.col("quality"), F.lit("fm"))).orderBy("h", "doc_id", "quality").limit(sample).drop("h"), "quality-labels")
+    known = known.withColumn("h", row_share(F.col("doc_id"), F.col("quality"), F.lit("fm")))
+    enough = (1.2 * sample + 100) / max(known.count(), 1)  # those that can be among the lowest
+    few = stage(known.where(F.col("h") < enough).orderBy("h", "doc_id", "quality").limit(sample).drop("h"), "quality-labels")
     wanted = F.broadcast(few.select("doc_id").distinct())  # `sample` rows at most
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
