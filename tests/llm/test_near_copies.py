@@ -38,3 +38,21 @@ def test_edited_texts_in_large_buckets(spark, monkeypatch):
     got = simhash.keep_one(df, words=5, least=0.8)
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 50, 51, 53]
     assert simhash.keep_one(df.limit(0), words=5, least=0.8).count() == 0
+
+
+def test_a_large_group_is_not_paired(spark, monkeypatch):
+    """Hundreds of near copies in small chunks, and strays in their buckets: components are those of all pairs, and few texts are read."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{i * 7919 % 1000}" for i in range(120)]
+    edit = lambda n: " ".join(f"e{rng.random()}" if i in n else w for i, w in enumerate(base))
+    rows = [(i, edit({rng.randrange(120)})) for i in range(150)]  # within 0.8 of each other
+    rows += [(200 + i, edit(set(rng.sample(range(120), 4)))) for i in range(40)]  # some are, some aren't
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    seen, stage = {}, simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name, **k: seen.setdefault(name, []).append(out := stage(df, name, **k)) or out)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, least=0.8).collect()}
+    want = smallest(rows)
+    assert got == want and 1 < len(set(want.values())) < 60
+    assert "minhash-large" in seen

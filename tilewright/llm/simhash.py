@@ -29,7 +29,9 @@ of their sets of word shingles instead. Candidates share a band of MinHashes (BA
 of pairs at 0.8 all but 1 in 14,000 do), and every link is verified on the texts themselves.
 Buckets of the same members are looked at once. The first bands are verified first; of the
 others, buckets whose members are already connected have nothing to add and are left out,
-so the copies of a large group are read for few buckets.
+so the copies of a large group are read for few buckets. A bucket of over CHUNK members is cut
+into chunks, each compared within itself; then one text of each component so far meets those
+of the others; and only chunks that are still not of one component meet each other in full.
 
 Defined results: a text without words, or null, has fingerprint 0 and links like any
 other. A null doc_id has a fingerprint and takes its component's smallest known id. Very long
@@ -372,19 +374,53 @@ def verified_roots(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
         """cells: node, root, shingles, k. Buckets whose members have one root are left out, as are those of the same members as another."""
         same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
         shared = cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"), F.min("root").alias("low"), F.max("root").alias("high"), *same).where("low != high")
-        chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
-        shared = shared.groupBy("n", "s", "x", "y").agg(F.min("k").alias("k")).select("k", chunks.alias("chunks"))
-        members = stage(cells.join(shared, "k").select("k", "chunks", "node", "root"), "minhash-members")
+        shared = shared.groupBy("n", "s", "x", "y").agg(F.min("k").alias("k")).select("k", chunks_of(F.col("n"), F.col("s")).alias("chunks"))
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("c")
+        members = stage(cells.join(shared, "k").select("k", "chunks", chunk, "node", "root"), "minhash-members")
+        texts = read_texts(members)
+        roots = linked(members.select("k", F.col("c").alias("i"), F.col("c").alias("j"), "c", "node", "root"), texts)
+        large = members.where("chunks > 1")
+        if not large.take(1):
+            return roots
+        # large buckets: one text of each root so far against those of the others, chunk by chunk
+        large = stage(renamed(large, roots), "minhash-large")
+        few = large.groupBy("k", "root").agg(F.min("node").alias("node"))
+        sizes = few.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        few = few.join(sizes, "k").select("k", "chunks", chunk, "node", "root").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        then = linked(few.select("k", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "root"), texts)
+        roots, large = chained(roots, then), renamed(large, then)
+        # and what still isn't one: pairs of chunks, but for those of a single root
+        mixed = large.groupBy("k", "c").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        ends = lambda n: mixed.select("k", F.col("c").alias(n), F.col("low").alias(f"{n}_low"), F.col("high").alias(f"{n}_high"))
+        pairs = ends("i").join(ends("j"), "k").where("i < j and (i_low != i_high or j_low != j_high or i_low != j_low)").select("k", "i", "j")
+        sides = pairs.withColumn("c", F.explode(F.array("i", "j")))
+        return chained(roots, linked(large.join(sides, ["k", "c"]).select("k", "i", "j", "c", "node", "root"), texts))
+
+    def chunks_of(n: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(n / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+
+    def read_texts(members: DataFrame) -> DataFrame:
+        """A written table (node, text) of the members' texts."""
         wanted = stage(members.select("node").distinct().join(nodes.select("node", "fp", "first_id"), "node"), "minhash-wanted", rows=nodes.count())
         few = F.broadcast if wanted.count() <= BROADCAST else (lambda x: x)
         is_it = normal_key(F.col("text")) == F.col("fp")  # rows may share an id
         texts = rows.where("first_id is not null").join(few(wanted), "first_id").where(is_it).select("node", "text")
         nameless = rows.where("first_id is null").select("text", normal_key(F.col("text")).alias("fp")).join(few(wanted.where("first_id is null").select("node", "fp")), "fp")
-        texts = stage(texts.unionByName(nameless.select("node", "text")).dropDuplicates(["node"]), "minhash-texts")
-        units = members.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        units = units.select("k", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "root").join(texts, "node").select("k", "i", "j", "c", "root", "text")
+        return stage(texts.unionByName(nameless.select("node", "text")).dropDuplicates(["node"]), "minhash-texts")
+
+    def linked(units: DataFrame, texts: DataFrame) -> DataFrame:
+        """(node, root) of the roots that links within units (k, i, j, c, node, root) connect."""
+        units = units.join(texts, "node").select("k", "i", "j", "c", "root", "text")
         return components(units.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(similar_links(words, least), "a long, b long").distinct())
 
+    def renamed(members: DataFrame, roots: DataFrame) -> DataFrame:
+        last = roots.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        return members.join(last, "root", "left").withColumn("root", F.coalesce("last", "root")).drop("last")
+
+    def chained(roots: DataFrame, then: DataFrame) -> DataFrame:
+        """(node, root) of both, the second about the roots of the first."""
+        return renamed(roots, then).select("node", "root").unionByName(then.join(roots.select("node"), "node", "left_anti"))
+
     first = verify(cells.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")))
     others = cells.where(F.col("band") >= FIRST_BANDS).join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     then = verify(others).select(F.col("node").alias("root"), F.col("root").alias("last"))  # of roots
