@@ -123,21 +123,22 @@ def matches(docs: DataFrame, wins: DataFrame, rare: DataFrame, postings: DataFra
 def proximity(read: DataFrame, rare: DataFrame, postings: DataFrame, slack: int = SLACK, size: int = SIZE) -> DataFrame:
     """(k1, k2, pos, window): the rarest word of a window at pos, with every other word of it fewer than its size + slack words away; a written table."""
     reach = size + slack  # the widest
-    known = rare.select("window", "size", "terms", F.col("terms")[0].alias("term"), F.get("terms", F.lit(1)).alias("second"))
-    seeds = postings.join(small(known), "term").select("window", (F.col("size") + slack).alias("reach"), "terms", "second", "k1", "k2", F.col("pos").alias("at"))
+    known = rare.select("window", (F.col("size") + slack).alias("reach"), F.col("terms")[0].alias("term"), F.get("terms", F.lit(1)).alias("second"))
+    seeds = postings.join(small(known), "term").select("window", "reach", "second", "k1", "k2", F.col("pos").alias("at"))
     stretch = F.floor(F.col("at") / reach)
     wide = seeds.where("second is not null").withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
     second = postings.select(F.col("term").alias("second"), "k1", "k2", "pos", F.floor(F.col("pos") / reach).alias("stretch"))
     met = wide.join(second, ["second", "k1", "k2", "stretch"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("reach"))
-    kept = ["window", "reach", "terms", "k1", "k2", "at"]
+    kept = ["window", "k1", "k2", "at"]
     both = stage(met.select(*kept).distinct().unionByName(seeds.where("second is null").select(*kept)), "near-places")
     at = both.select("k1", "k2", "at").distinct().groupBy("k1", "k2").agg(F.collect_list("at").alias("at"))  # places of a text, each once
     texts = read.select("k1", "k2", "words").join(at, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     around = F.transform("at", lambda a: F.struct(a.alias("at"), F.slice("words", F.greatest(a - reach + 2, F.lit(1)), a + reach - F.greatest(a - reach + 1, F.lit(0))).alias("around"), F.greatest(a - reach + 1, F.lit(0)).alias("base")))
     stretches = texts.select("k1", "k2", F.explode(around).alias("s")).select("k1", "k2", "s.*")
+    asked = rare.select("window", (F.col("size") + slack).alias("reach"), "terms")
     low = F.greatest(F.col("at") - F.col("reach") + 1, F.lit(0))
     own = F.slice("around", low - F.col("base") + 1, F.col("at") + F.col("reach") - low)
-    near = both.join(stretches, ["k1", "k2", "at"]).where(F.size(F.array_except("terms", own)) == 0)
+    near = both.join(stretches, ["k1", "k2", "at"]).join(small(asked), "window").where(F.size(F.array_except("terms", own)) == 0)
     return stage(near.select("k1", "k2", F.col("at").alias("pos"), "window"), "near-matches")
 
 
