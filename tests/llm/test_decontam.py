@@ -72,6 +72,7 @@ def test_query_is_brute_force(spark, sf):
 def test_edge_rows(spark, tmp_path, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(decontam, "BROADCAST", -1)
+        monkeypatch.setattr(decontam, "TERMS", -1)
     long = "one two three four five six seven eight nine ten eleven twelve"
     items = [(1, long), (2, "Été à Paris"), (3, None), (4, " -- "), (5, "solo"), (6, long), (7, "a b a b a b a b a b a b"), (None, "nobody here")]
     filler = " ".join(f"x{i}" for i in range(50_000))
