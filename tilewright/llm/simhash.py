@@ -64,7 +64,7 @@ PIVOTS, PIVOT_SAMPLE = 32, 2048
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 #: Edges of a file, at least, when components are sought.
 EDGES = 20_000
-#: Texts that are looked up by a broadcast of their ids at most.
+#: Texts, or roots, that are looked up by a broadcast at most.
 BROADCAST = 200_000
 #: MinHash bands of a text, MinHashes in each, and bands that are verified first.
 BANDS, ROWS, FIRST_BANDS = 24, 5, 4
@@ -414,7 +414,9 @@ def verified_roots(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
         return components(units.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(similar_links(words, least), "a long, b long").distinct())
 
     def renamed(members: DataFrame, roots: DataFrame) -> DataFrame:
-        last = roots.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        last = roots.select(F.col("node").alias("root"), F.col("root").alias("last"))  # checkpointed, so counted at no cost
+        if last.count() <= BROADCAST:
+            last = F.broadcast(last)
         return members.join(last, "root", "left").withColumn("root", F.coalesce("last", "root")).drop("last")
 
     def chained(roots: DataFrame, then: DataFrame) -> DataFrame:
