@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import boxes, draws
 from tilewright.operators import checks, composites, corruptions, rasters
-from tilewright.operators.augment import Augmenter, pair_column, patch_column, pixels_of
+from tilewright.operators.augment import Augmenter, pair_column, parts, patch_column, pixels_of
 from tilewright.operators.generate import PairSource, training_rows
 from tilewright.operators.index import ExampleIndex
 from tilewright.schema import BOX
@@ -248,3 +248,32 @@ def test_bad_options(spark):
     for bad in ({"into": "other"}, {"placement": "other"}, {"donor_box": "other"}):
         with pytest.raises(ValueError):
             composites.composites(ex, ex, **bad)
+
+
+def most_held(spark, pasted: bool) -> int:
+    """The most rendered pairs that a worker holds at a time."""
+
+    class Counted(Augmenter):
+        def render(self, image, draft, source=None):
+            import gc
+
+            made = super().render(image, draft, source)
+            made.params["held"] = sum(type(x).__name__ == "Pair" for x in gc.get_objects())
+            return made
+
+    px = F.struct(F.lit(96).alias("height"), F.lit(128).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.repeat(F.lit("0A"), 96 * 128)).alias("data"))
+    rows = spark.range(0, 120, 1, 1).withColumn("image", px).withColumn("box", boxes.make(*map(F.lit, (30.0, 30.0, 74.0, 62.0))))
+    pair = pair_column(Counted(ops=[]), F.col("image"), F.col("box"), F.col("id"), source=F.col("image") if pasted else None)
+    got = rows.withColumn("pair", pair).select("id", "pair.seed", "pair.params").collect()
+    assert sorted((r.id, r.seed) for r in got) == [(i, i) for i in range(120)]
+    return max(json.loads(r.params)["held"] for r in got)
+
+
+def test_pairs_of_a_batch_are_not_all_held(spark):
+    assert most_held(spark, pasted=False) < 5
+
+
+def test_parts_are_of_bounded_size():
+    sizes = [1 << 20] * 20 + [64 << 20] + [1] * 5
+    made = list(parts(iter(sizes), int))
+    assert sum(made, []) == sizes and [len(p) for p in made] == [8, 8, 5, 5] and list(parts([], len)) == []

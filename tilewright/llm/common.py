@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import in_small_batches, shared_dir  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -45,13 +45,6 @@ def stage(df: DataFrame, name: str, codec: str = "snappy", rows: int | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_small_batches(spark: SparkSession) -> None:
-    """Have texts handed to Python in batches of a few MB, from now on in this session, unless it asks for another size."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, str(64 << 20)).rstrip("bB") == str(64 << 20):  # Spark's own default
-        spark.conf.set(name, str(8 << 20))
-
-
 def tidy() -> None:
     """Give freed memory of a Python worker back, as workers outlive their tasks."""
     import ctypes

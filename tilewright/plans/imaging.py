@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import boxes, draws, pixels
 from ..operators import rasters
-from ..operators.augment import Augmenter, pair_column
+from ..operators.augment import Augmenter, pair_column, parts
 from ..operators.composites import placed
 from .geometry import chosen
 from .views import FRAME_H, FRAME_W, PX, TOP3, account, account_sql, box, flat, patches, table, uniform_sql
@@ -236,10 +238,11 @@ def synthetic_frames(spark, sf):
     """Frames made up from the embeddings' ids: path, image, box."""
 
     @F.pandas_udf("height int, width int, nChannels int, data binary")
-    def frame(ids):
-        import pandas as pd
-
-        return pd.DataFrame([(96, 128, 1, rasters.synthetic_frame(96, 128, int(i)).tobytes()) for i in ids], columns=["height", "width", "nChannels", "data"])
+    def frame(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for ids in batches:
+            made = ((96, 128, 1, rasters.synthetic_frame(96, 128, int(i)).tobytes()) for i in ids)
+            for part in parts(made, lambda r: len(r[3])):
+                yield pd.DataFrame(part, columns=["height", "width", "nChannels", "data"])
 
     e = table(spark, sf, "embeddings").select("vec_id")
     at = (F.col("vec_id") % 40).cast("double")

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The session: the folder that driver and executors share, and the size of what is handed to Python."""
 
 from __future__ import annotations
 
@@ -24,3 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not known.isDefined():
         sc.setCheckpointDir(folder)
     return folder
+
+
+#: Bytes of texts or pictures that go to Python, or come back, at once.
+PART_BYTES = 8 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Have texts and pictures handed to Python in batches of a few MB, from now on in this session, unless it asks for another size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, str(64 << 20)).rstrip("bB") == str(64 << 20):  # Spark's own default
+        spark.conf.set(name, str(PART_BYTES))
