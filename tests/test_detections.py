@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,42 @@ def test_suppressed_boxes_suppress_nothing(spark):
     assert [r.box.score for r in got] == [0.9, 0.7, 0.6]
 
 
+def overlap(a, b):
+    w, h = (max(0.0, min(a[i + 2], b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    return w * h / (area(a) + area(b) - w * h)
+
+
+def test_frames_of_all_sizes_are_suppressed_as_one_by_one(spark):
+    """Frames that fill many batches and many frames in a batch, with labels of many boxes and of few, and without a row that holds a frame."""
+    rng = np.random.default_rng(6)
+    rows, want = [], set()
+    for path, n in [("large", 1200), (None, 30), ("one", 1)] + [(f"f{i}", 1 + i % 9) for i in range(40)]:
+        x, y, q = rng.integers(0, 60, n), rng.integers(0, 60, n), rng.integers(1, 20, n)
+        own = [det(path, int(o), a, b, a + 2 * c, b + c, s / 8, lb) for o, a, b, c, s, lb in zip(rng.permutation(n), x, y, q, rng.integers(0, 9, n), rng.choice(["p", "p", "p", "q"], n))]
+        if path == "one":
+            own += [(path, o, (0.0, 0.0, 9.0, 9.0, 0.1, None)) for o in (7, 8)]  # unlabelled ones hide nothing
+        kept = []
+        for r in sorted(own, key=lambda r: (-r[2][4], -(r[2][2] - r[2][0]) * (r[2][3] - r[2][1]), r[1])):
+            if r[2][5] is None or not any(k[2][5] == r[2][5] and overlap(k[2], r[2]) > 0.3 for k in kept):
+                kept.append(r)
+        want |= {(path, i, r[2]) for i, r in enumerate(kept)}
+        rows += own
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = detections.suppress(frame(spark, rows), 0.3)
+        assert got.columns == ["path", "ord", "box"] and sorted(((r.path, r.ord, tuple(r.box)) for r in got.collect()), key=repr) == sorted(want, key=repr)
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_not_a_number_is_the_largest_overlap(spark):
+    rows = [det("a", 0, NAN, 0, 9, 9, 0.9), det("a", 1, 50, 50, 60, 60, 0.8), det("a", 2, 3, 3, 3, 3, 0.7, "flat"), det("a", 3, 3, 3, 3, 3, 0.6, "flat")]
+    assert [r.box.score for r in detections.suppress(frame(spark, rows), 0.3).orderBy("ord").collect()] == [0.9, 0.7, 0.6]
+    assert detections.suppress(frame(spark, []), 0.3).collect() == []
+
+
 def scanned(spark, n):
     return spark.createDataFrame([(f"f{i}", i) for i in range(n)], "path string, frame_ord long")
 

@@ -6,8 +6,11 @@ answer and settles ties, as relations have no order.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,24 +56,108 @@ def select(det: DataFrame, min_score: float = 0.0, min_side: float = 0.0, max_pe
     return ranked.where(F.col("n") < max_per_frame) if max_per_frame else ranked
 
 
-def non_maximum(sorted_boxes: Column, threshold: float) -> Column:
-    """Of an array of boxes, best first, those that no kept better box of their label overlaps by more than the threshold."""
-    hides = lambda k, b: (k["label"] == b["label"]) & (boxes.iou(k, b) > threshold)
-    start = F.slice(sorted_boxes, 1, 0)
-    return F.aggregate(sorted_boxes, start, lambda kept, b: F.when(F.exists(kept, lambda k: hides(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
+#: Boxes that are compared by themselves from so many of one frame and label on; smaller groups are folded together.
+LARGE = 256
 
 
-def suppress(det: DataFrame, threshold: float = 0.45, by: str | list[str] = "path", ordinal: str = "ord") -> DataFrame:
-    """Class-wise non-maximum suppression in each frame; one row a kept box, ord its rank.
+def hidden(kept: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a kept box overlaps each other one by more than the threshold. Columns of corners and area; as in boxes.iou, NaN is the largest number."""
+    low, high = np.maximum(kept[:2], others[:2]), np.fmin(kept[2:4], others[2:4])
+    sides = np.maximum(high - low, 0.0)
+    inter = sides[0] * sides[1]
+    union = kept[4] + others[4] - inter
+    return ~(np.where(union <= 0, 0.0, inter / union) <= threshold)
+
+
+def fold(b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which boxes of one group, best first, non-maximum suppression keeps."""
+    left, keeps = np.arange(b.shape[1]), np.zeros(b.shape[1], bool)
+    while len(left):
+        stays, i = np.ones(len(left), bool), 0
+        for _ in range(32):  # and then those that are hidden are left out
+            keeps[left[i]], stays[i] = True, False
+            stays[i + 1 :] &= ~hidden(b[:, i : i + 1], b[:, i + 1 :], threshold)
+            after = np.argmax(stays[i:])
+            if not stays[i + after]:
+                break
+            i += after
+        left, b = left[stays], b[:, stays]
+    return keeps
+
+
+def survivors(b: np.ndarray, group: np.ndarray, threshold: float) -> np.ndarray:
+    """Which boxes are kept of groups that lie together, each best first.
+
+    Small groups are folded in step: in each round the best box left of every group is kept, and hides others of its own.
+    """
+    keeps = np.zeros(len(group), bool)
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    sizes = np.diff(ends, prepend=0)
+    for end, n in zip(ends[sizes >= LARGE], sizes[sizes >= LARGE]):
+        keeps[end - n : end] = fold(b[:, end - n : end], threshold)
+    left = np.flatnonzero(np.repeat(sizes < LARGE, sizes))
+    group, b = group[left], b[:, left]
+    while len(left):
+        best = np.flatnonzero(np.diff(group, prepend=-1))
+        keeps[left[best]] = True
+        stays = ~hidden(np.repeat(b[:, best], np.diff(np.append(best, len(left))), axis=1), b, threshold)
+        stays[best] = False
+        left, group, b = left[stays], group[stays], b[:, stays]
+    return keeps
+
+
+def kept_boxes(threshold: float, ordinal: str):
+    """Batches of ranked frames (first: whether a row begins one) to the boxes that are kept, ordinal: their rank."""
+
+    def kept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        frame = np.cumsum(rows["first"].to_numpy())
+        rows = rows.drop_columns("first").combine_chunks()
+        box = rows["box"].combine_chunks()
+        corners = [box.field(c) for c in boxes.CORNERS]
+        label = pc.fill_null(box.field("label").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        known = (label >= 0) & ~np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in corners])
+        b = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in corners])
+        b = np.vstack((b, np.prod(np.maximum(b[2:] - b[:2], 0.0), axis=0)))
+        at = np.flatnonzero(known)
+        at = at[np.lexsort((label[at], frame[at]))]  # a stable sort: best first in each group
+        keeps = ~known  # without a label or a corner a box overlaps nothing
+        if len(at):
+            group = np.cumsum(np.append(False, (np.diff(frame[at]) != 0) | (np.diff(label[at]) != 0)))
+            with np.errstate(all="ignore"):
+                keeps[at] = survivors(b[:, at], group, threshold)
+        frame = frame[keeps]
+        rank = np.arange(len(frame)) - np.searchsorted(frame, frame)
+        out = rows.filter(pa.array(keeps)).append_column(ordinal, pa.array(rank, pa.int32()))
+        yield from out.to_batches(10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # of the frame that isn't complete yet
+        for batch in batches:
+            begins = np.flatnonzero(batch["first"].to_numpy(zero_copy_only=False))
+            if len(begins):
+                held.append(batch.slice(0, begins[-1]))
+                yield from kept(pa.Table.from_batches(held))
+                held = []
+                batch = batch.slice(begins[-1])
+            held.append(batch)
+        if held:
+            yield from kept(pa.Table.from_batches(held))
+
+    return run
+
+
+def suppress(det: DataFrame, threshold: float = 0.45, by: str | list[str] = "path", ordinal: str = "ord", carry: Iterable[str] = ()) -> DataFrame:
+    """Class-wise non-maximum suppression in each frame; one row a kept box, ord its rank, with the columns of carry.
 
     The fold is sequential within a frame, as a suppressed box must not suppress others;
-    frames are independent.
+    frames are independent. Spark ranks the boxes; the fold compares a kept box with all that
+    are left of its label at once, in numpy over Arrow batches.
     """
-    keys = [by] if isinstance(by, str) else list(by)
-    b = F.col("box")
-    packed = F.struct((-b["score"]).alias("s"), (-boxes.area(b)).alias("a"), F.col(ordinal).alias("o"), b.alias("box"))
-    frames = det.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(packed)), lambda p: p["box"]).alias("boxes"))
-    return frames.select(*keys, F.posexplode(non_maximum(F.col("boxes"), threshold)).alias(ordinal, "box"))
+    keys, b = [by] if isinstance(by, str) else list(by), F.col("box")
+    over = Window.partitionBy(*keys).orderBy((-b["score"]).asc(), (-boxes.area(b)).asc(), F.col(ordinal).asc(), b.asc())
+    ranked = det.select(*keys, "box", *carry, (F.row_number().over(over) == 1).alias("first"))
+    out = ranked.drop("first").withColumn(ordinal, F.lit(0))
+    return ranked.mapInArrow(kept_boxes(threshold, ordinal), out.schema).select(*keys, ordinal, "box", *carry)
 
 
 def decode(pred: DataFrame, names: list[str], kept: Iterable[str] | None = None, conf: float = 0.25, nms: float = 0.45, size: int = 416, by: str | list[str] = "path") -> DataFrame:
