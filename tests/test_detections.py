@@ -74,6 +74,15 @@ def test_not_a_number_is_the_largest_overlap(spark):
     assert detections.suppress(frame(spark, []), 0.3).collect() == []
 
 
+def test_predictions_are_decoded_in_one_pass(spark):
+    """Boxes carry their frame's size: no second pass finds it, and a frame without a name keeps its boxes."""
+    raw = [(p, o, 100.0 + 90 * o, 208.0, 50.0, 40.0, 0.9, [0.9, 0.2], 640.0, 512.0) for p in ("a", None) for o in range(3)]
+    df = spark.createDataFrame(raw, "path string, ord long, cx double, cy double, w double, h double, obj double, cls array<double>, frame_w double, frame_h double")
+    got = detections.decode(df, ["boat", "bird"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["path", "ord", "box"] and sorted(((r.path, r.ord) for r in got.collect()), key=repr) == sorted(((p, o) for p in ("a", None) for o in range(3)), key=repr)
+
+
 def scanned(spark, n):
     return spark.createDataFrame([(f"f{i}", i) for i in range(n)], "path string, frame_ord long")
 

@@ -177,8 +177,8 @@ def decode(pred: DataFrame, names: list[str], kept: Iterable[str] | None = None,
     square = boxes.from_center(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.col("score"), F.col("best.name"))
     framed = boxes.undo_letterbox(square, boxes.letterbox(F.col("frame_w"), F.col("frame_h"), size))
     rows = best.select(*keys, F.col("ord"), "frame_w", "frame_h", framed.alias("box"))
-    shapes = rows.groupBy(*keys).agg(F.first("frame_w").alias("frame_w"), F.first("frame_h").alias("frame_h"))
-    return finalize(suppress(rows, nms, keys).join(shapes, keys), frame_size=(F.col("frame_w"), F.col("frame_h"))).drop("frame_w", "frame_h")
+    size = ["frame_w", "frame_h"]
+    return finalize(suppress(rows, nms, keys, carry=size), frame_size=tuple(map(F.col, size))).drop(*size)
 
 
 def crops(det: DataFrame, out_size: int = 256, paste_context: float = 0.15, window_context: float = 0.0) -> DataFrame:
