@@ -1,5 +1,7 @@
 """Near copies at an exact Jaccard similarity, as the pipeline's stage takes them."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tilewright.llm import simhash
 
@@ -56,3 +58,15 @@ def test_a_large_group_is_not_paired(spark, monkeypatch):
     want = smallest(rows)
     assert got == want and 1 < len(set(want.values())) < 60
     assert "minhash-large" in seen
+
+
+def test_fingerprints_link_without_bands(spark, monkeypatch):
+    """The stage's pairs come from fingerprints through the pivot tables, and are checked on the texts."""
+    keys = simhash.band_keys
+    monkeypatch.setattr(simhash, "band_keys", lambda text, words: keys(text, words).withField("bands", F.array(F.xxhash64(text))))  # none is shared
+    words = [f"w{i * 7919 % 100003}" for i in range(3000)]
+    rows = [(i, " ".join(words) + f" end{i}") for i in range(5)] + [(9, " ".join(reversed(words)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df, words=5, least=0.8).collect()) == [0, 9]
+    # within 3 bits, but not alike enough
+    assert sorted(r.doc_id for r in simhash.keep_one(df, words=5, least=0.9999).collect()) == [0, 1, 2, 3, 4, 9]

@@ -25,9 +25,11 @@ Pairs are found among distinct fingerprints:
    other, and nothing is capped. A cell returns a spanning forest of its links, not all.
 
 With `least` given, near_duplicates and keep_one link texts by the exact Jaccard similarity
-of their sets of word shingles instead. Candidates share a band of MinHashes (BANDS of ROWS:
-of pairs at 0.8 all but 1 in 14,000 do), and every link is verified on the texts themselves.
-Buckets of the same members are looked at once. The first bands are verified first; of the
+of their sets of word shingles; every link is verified on the texts themselves. Candidates come
+from the fingerprints first: the texts of a component of them, found by the pivot tables as
+above, are a bucket. What these don't link, as near copies may differ in more than 3 bits, has
+candidates that share a band of MinHashes (BANDS of ROWS: of pairs at 0.8 all but 1 in 14,000 do).
+Buckets of the same members are looked at once. Components and the first bands are verified first; of the
 others, buckets whose members are already connected have nothing to add and are left out,
 so the copies of a large group are read for few buckets. A bucket of over CHUNK members is cut
 into chunks, each compared within itself; then one text of each component so far meets those
@@ -312,22 +314,24 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def band_keys(text: Column, words: int) -> Column:
-    """struct<shingles int, bands array<bigint>>: how many distinct shingles, and a hash of every band of MinHashes."""
+    """struct<print long, shingles int, bands array<bigint>>: the fingerprint, how many distinct shingles, and a hash of every band of MinHashes."""
 
-    @F.pandas_udf("shingles int, bands array<long>")
+    @F.pandas_udf("print long, shingles int, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         flip, odd = (np.array(splitmix(2 * BANDS * ROWS), np.uint64).reshape(2, -1, 1))
         odd = odd | np.uint64(1)
         for texts in batches:
-            sizes, out = [], []
+            sizes, out, prints = [], [], []
             for t in texts:
-                hashes, low = shingle_set(t if isinstance(t, str) else None, words), None
+                t = t if isinstance(t, str) else None
+                prints.append(fingerprint_of(t, words))
+                hashes, low = shingle_set(t, words), None
                 for at in range(0, len(hashes), 2048):
                     part = ((hashes[None, at : at + 2048] ^ flip) * odd).min(axis=1)
                     low = part if low is None else np.minimum(low, part)
                 sizes.append(len(hashes))
                 out.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(low.reshape(BANDS, ROWS))])
-            yield pd.DataFrame({"shingles": np.array(sizes, np.int32), "bands": out})
+            yield pd.DataFrame({"print": np.array(prints, np.int64), "shingles": np.array(sizes, np.int32), "bands": out})
         tidy()
 
     return of(text)
@@ -366,7 +370,7 @@ def similar_links(words: int, least: float):
 
 
 def verified_roots(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """(node, root): the nodes that links of at least `least` connect with others. nodes: (node, fp, first_id, shingles, bands), each once."""
+    """(node, root): the nodes that links of at least `least` connect with others. nodes: (node, fp, first_id, print, shingles, bands), each once."""
     rows = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
     cells = nodes.select("node", "shingles", F.posexplode("bands").alias("band", "k"))
 
@@ -423,7 +427,11 @@ def verified_roots(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
         """(node, root) of both, the second about the roots of the first."""
         return renamed(roots, then).select("node", "root").unionByName(then.join(roots.select("node"), "node", "left_anti"))
 
-    first = verify(cells.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")))
+    # the fingerprints' components are a band of their own, with keys apart from those of MinHashes
+    prints = components(links(nodes.select(F.col("print").alias("fp")).distinct()))
+    alike = nodes.join(prints.withColumnRenamed("node", "print"), "print", "left").select("node", "shingles", F.xxhash64(F.lit("simhash"), F.coalesce("root", "print")).alias("k"))
+    early = cells.where(F.col("band") < FIRST_BANDS).select("node", "shingles", "k").unionByName(alike)
+    first = verify(early.withColumn("root", F.col("node")))
     others = cells.where(F.col("band") >= FIRST_BANDS).join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     then = verify(others).select(F.col("node").alias("root"), F.col("root").alias("last"))  # of roots
     both = nodes.select("node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(then, "root", "left")
