@@ -11,7 +11,9 @@ from tilewright.operators import checks, composites, corruptions, rasters
 from tilewright.operators.augment import Augmenter, pair_column, parts, patch_column, pixels_of
 from tilewright.operators.generate import PairSource, training_rows
 from tilewright.operators.index import ExampleIndex
+from tilewright.plans import pairs
 from tilewright.schema import BOX
+from tilewright.session import PART_BYTES
 
 FRAME = rasters.synthetic_frame()
 SHIP = (139.0, 124.0, 183.0, 140.0)
@@ -250,7 +252,7 @@ def test_bad_options(spark):
             composites.composites(ex, ex, **bad)
 
 
-def most_held(spark, pasted: bool) -> int:
+def most_held(spark, pasted: bool = False, ops=()) -> int:
     """The most rendered pairs that a worker holds at a time."""
 
     class Counted(Augmenter):
@@ -263,14 +265,20 @@ def most_held(spark, pasted: bool) -> int:
 
     px = F.struct(F.lit(96).alias("height"), F.lit(128).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.repeat(F.lit("0A"), 96 * 128)).alias("data"))
     rows = spark.range(0, 120, 1, 1).withColumn("image", px).withColumn("box", boxes.make(*map(F.lit, (30.0, 30.0, 74.0, 62.0))))
-    pair = pair_column(Counted(ops=[]), F.col("image"), F.col("box"), F.col("id"), source=F.col("image") if pasted else None)
+    pair = pair_column(Counted(ops=ops if ops is None else list(ops)), F.col("image"), F.col("box"), F.col("id"), source=F.col("image") if pasted else None)
     got = rows.withColumn("pair", pair).select("id", "pair.seed", "pair.params").collect()
     assert sorted((r.id, r.seed) for r in got) == [(i, i) for i in range(120)]
     return max(json.loads(r.params)["held"] for r in got)
 
 
 def test_pairs_of_a_batch_are_not_all_held(spark):
-    assert most_held(spark, pasted=False) < 5
+    assert most_held(spark) < 5
+
+
+def test_pictures_go_to_python_in_small_batches(spark, sf):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pairs.pair_without_ops(spark, sf)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(PART_BYTES)
 
 
 def test_parts_are_of_bounded_size():
