@@ -281,6 +281,10 @@ def test_pictures_go_to_python_in_small_batches(spark, sf):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(PART_BYTES)
 
 
+def test_pasted_pairs_are_not_all_held(spark):
+    assert most_held(spark, pasted=True) < 5
+
+
 def test_parts_are_of_bounded_size():
     sizes = [1 << 20] * 20 + [64 << 20] + [1] * 5
     made = list(parts(iter(sizes), int))
