@@ -285,6 +285,10 @@ def test_pasted_pairs_are_not_all_held(spark):
     assert most_held(spark, pasted=True) < 5
 
 
+def test_pairs_of_the_whole_recipe_are_not_all_held(spark):
+    assert most_held(spark, ops=None) < 5
+
+
 def test_parts_are_of_bounded_size():
     sizes = [1 << 20] * 20 + [64 << 20] + [1] * 5
     made = list(parts(iter(sizes), int))
