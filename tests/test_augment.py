@@ -281,6 +281,23 @@ def test_pictures_go_to_python_in_small_batches(spark, sf):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(PART_BYTES)
 
 
+@pytest.mark.parametrize("query", ["pair_without_ops", "pasted_patch"])
+def test_pictures_go_in_small_batches_in_the_session_given(spark, sf, query):
+    other = spark.newSession()
+    getattr(pairs, query)(other, sf)
+    assert other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(PART_BYTES)
+
+
+def test_fields_of_a_pair_that_are_asked_for_alone_come_back(spark):
+    px = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.repeat(F.lit("0A"), 64)).alias("data"))
+    rows = spark.range(3).withColumn("image", px).withColumn("box", boxes.make(*map(F.lit, (2.0, 2.0, 6.0, 6.0))))
+    whole, some = (rows.withColumn("pair", pair_column(Augmenter(), F.col("image"), F.col("box"), F.col("id"), fields=f)) for f in (None, ("skipped", "mask", "seed")))
+    assert some.select("pair.*").columns == ["skipped", "mask", "seed"] and len(whole.select("pair.*").columns) == 11
+    assert some.select("id", "pair.*").collect() == whole.select("id", "pair.skipped", "pair.mask", "pair.seed").collect()
+    with pytest.raises(ValueError):
+        pair_column(Augmenter(), F.col("image"), F.col("box"), F.col("id"), fields=("masks",))
+
+
 def test_pasted_pairs_are_not_all_held(spark):
     assert most_held(spark, pasted=True) < 5
 

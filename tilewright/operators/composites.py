@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes, draws
+from ..session import in_small_batches
 from .augment import Augmenter, pair_column, patch_column
 from .corruptions import capped
 
@@ -64,6 +65,7 @@ def composites(
     if donor_box not in ("paste", "detection"):
         raise ValueError("donor_box must be 'paste' or 'detection'")
     spark = hosts.sparkSession
+    in_small_batches(spark)
     augmenter = augmenter or Augmenter()
     augmenter = replace(augmenter, ops=capped(augmenter.steps, max_rotation_deg))
     pairs = pairing(spark, hosts.count(), donors.count(), seed, length, into).withColumn("seed", draws.composite_seed(seed, F.col("i")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, draws
+from ..session import in_small_batches
 from . import lifecycle, ordering, rasters
 from .augment import Augmenter, pair_column, patch_column, pixels_of
 from .index import ExampleIndex
@@ -43,6 +44,7 @@ class PairSource:
 
     def pairs(self, visits: DataFrame | None = None, epoch: int = 0) -> DataFrame:
         """Pairs of the visits (idx, epoch and other columns); without them of the whole index in one epoch."""
+        in_small_batches(self.frames.sparkSession)
         crops = self.crops()
         rows = crops.withColumn("epoch", F.lit(epoch).cast("bigint")) if visits is None else visits.join(crops, "idx")
         rows = rows.withColumn("seed", draws.example_seed(self.seed, F.col("epoch"), F.col("idx")))

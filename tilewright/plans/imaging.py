@@ -11,6 +11,7 @@ from ..functions import boxes, draws, pixels
 from ..operators import rasters
 from ..operators.augment import Augmenter, pair_column, parts
 from ..operators.composites import placed
+from ..session import in_small_batches
 from .geometry import chosen
 from .views import FRAME_H, FRAME_W, PX, TOP3, account, account_sql, box, flat, patches, table, uniform_sql
 
@@ -235,7 +236,8 @@ SEEDS = _seeds_sql()
 
 
 def synthetic_frames(spark, sf):
-    """Frames made up from the embeddings' ids: path, image, box."""
+    """Frames made up from the embeddings' ids: vec_id, image, box."""
+    in_small_batches(spark)  # the session given, which need not be the active one
 
     @F.pandas_udf("height int, width int, nChannels int, data binary")
     def frame(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -188,9 +188,11 @@ SELECT frame, n, x0 + 0.0 AS x0, y0 + 0.0 AS y0, x1 + 0.0 AS x1, y1 + 0.0 AS y1
 def pair_without_ops(spark, sf):
     """Nothing changes, and the mask is the rectangle's whole pixels."""
     f = synthetic_frames(spark, sf)
-    p = f.withColumn("pair", pair_column(Augmenter(**STILL), F.col("image"), box(), F.col("vec_id")))
-    zeros = F.length(F.regexp_replace(F.hex("pair.mask"), "0000803F|(00000000)", "$1")) / 8  # without the floats 1.0
-    return p.select("vec_id", (F.col("pair.doctored") == F.col("image.data")).alias("same"), (F.lit(96 * 128) - zeros).cast("bigint").alias("mask_px"), "pair.skipped")
+    p = f.withColumn("pair", pair_column(Augmenter(**STILL), F.col("image"), box(), F.col("vec_id"), fields=("doctored", "mask", "skipped")))
+    mask = F.col("pair.mask").cast("string")  # its bytes as they are
+    rest = F.replace(mask, F.unhex(F.lit("0000803F")).cast("string"), F.lit(""))  # without the floats 1.0
+    ones = ((F.octet_length(mask) - F.octet_length(rest)) / 4).cast("bigint")
+    return p.select("vec_id", (F.col("pair.doctored") == F.col("image.data")).alias("same"), ones.alias("mask_px"), "pair.skipped")
 
 
 NOTHING = "SELECT vec_id, true AS same, ((ceil(74 + vec_id % 40 + 3.52) - floor(30 + vec_id % 40 - 3.52)) * (ceil(62 + 2.56) - floor(30 - 2.56)))::BIGINT AS mask_px, NULL::VARCHAR AS skipped FROM embeddings"
