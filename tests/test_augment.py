@@ -306,6 +306,18 @@ def test_pairs_of_the_whole_recipe_are_not_all_held(spark):
     assert most_held(spark, ops=None) < 5
 
 
+def asked_for(monkeypatch, module, query: str, spark, sf) -> tuple | None:
+    """The fields of a pair that a query has handed back; None: all."""
+    asked, whole = [], module.pair_column
+    monkeypatch.setattr(module, "pair_column", lambda *a, fields=None, **b: asked.append(fields) or whole(*a, fields=fields, **b))
+    getattr(module, query)(spark, sf)
+    return asked[0]
+
+
+def test_pasted_pairs_come_back_without_their_masks(spark, sf, monkeypatch):
+    assert asked_for(monkeypatch, pairs, "pasted_patch", spark, sf) == ("doctored",)
+
+
 def test_parts_are_of_bounded_size():
     sizes = [1 << 20] * 20 + [64 << 20] + [1] * 5
     made = list(parts(iter(sizes), int))

@@ -203,7 +203,7 @@ def pasted_patch(spark, sf):
     value = (F.col("vec_id") % 200 + 30).cast("int")
     patch = F.struct(F.lit(9).alias("height"), F.lit(14).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.repeat(F.lpad(F.hex(value), 2, "0"), 9 * 14)).alias("data"))
     f = synthetic_frames(spark, sf).withColumn("patch", patch)
-    p = f.withColumn("pair", pair_column(Augmenter(**STILL), F.col("image"), box(), F.col("vec_id"), source=F.col("patch")))
+    p = f.withColumn("pair", pair_column(Augmenter(**STILL), F.col("image"), box(), F.col("vec_id"), source=F.col("patch"), fields=("doctored",)))
     byte = lambda data, y, x: F.conv(F.hex(F.substring(data, F.lit(y * 128 + x + 1), F.lit(1))), 16, 10).cast("bigint")
     top = lambda data: F.md5(F.substring(data, F.lit(1), F.lit(27 * 128)))
     return p.select("vec_id", byte(F.col("pair.doctored"), 46, 72).alias("inside"), (top(F.col("pair.doctored")) == top(F.col("image.data"))).alias("outside_same"))
