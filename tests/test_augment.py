@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 from dataclasses import replace
 
@@ -11,7 +12,7 @@ from tilewright.operators import checks, composites, corruptions, rasters
 from tilewright.operators.augment import Augmenter, pair_column, parts, patch_column, pixels_of
 from tilewright.operators.generate import PairSource, training_rows
 from tilewright.operators.index import ExampleIndex
-from tilewright.plans import pairs
+from tilewright.plans import imaging, pairs
 from tilewright.schema import BOX
 from tilewright.session import PART_BYTES
 
@@ -318,6 +319,25 @@ def test_pasted_pairs_come_back_without_their_masks(spark, sf, monkeypatch):
     assert asked_for(monkeypatch, pairs, "pasted_patch", spark, sf) == ("doctored",)
 
 
+def seeds_come_first(df, picture: str) -> bool:
+    """Whether no pictures are made beneath the draw of the seeds, by the plan, in which what is beneath a line is further to the right."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    deep = [max(x.find("+- "), x.find(":- ")) for x in lines]
+    (drawn,) = [i for i, x in enumerate(lines) if "ArrowEvalPython [" in x and "_seed(" in x]
+    beneath = itertools.takewhile(lambda i: deep[i] > deep[drawn], range(drawn + 1, len(lines)))
+    return any(picture in x for x in lines) and not any(picture in lines[i] for i in beneath)
+
+
+@pytest.mark.parametrize("query", ["augment_pairs", "blur_noise_stripe"])
+def test_no_pictures_wait_for_seeds(spark, sf, query):
+    assert seeds_come_first(getattr(imaging, query)(spark, sf), "frame(")
+
+
+def test_no_patches_wait_for_seeds(spark):
+    s = source(spark, 2)
+    assert seeds_come_first(s.pairs(s.index.examples.select("idx", F.lit(1).cast("bigint").alias("epoch"))), "patch(")
+
+
 def test_parts_are_of_bounded_size():
     sizes = [1 << 20] * 20 + [64 << 20] + [1] * 5
     made = list(parts(iter(sizes), int))

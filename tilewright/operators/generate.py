@@ -46,8 +46,9 @@ class PairSource:
         """Pairs of the visits (idx, epoch and other columns); without them of the whole index in one epoch."""
         in_small_batches(self.frames.sparkSession)
         crops = self.crops()
-        rows = crops.withColumn("epoch", F.lit(epoch).cast("bigint")) if visits is None else visits.join(crops, "idx")
-        rows = rows.withColumn("seed", draws.example_seed(self.seed, F.col("epoch"), F.col("idx")))
+        seeded = lambda rows: rows.withColumn("seed", draws.example_seed(self.seed, F.col("epoch"), F.col("idx")))
+        # visits get their seeds before they meet the patches, which would wait for the draw in thousands
+        rows = seeded(crops.withColumn("epoch", F.lit(epoch).cast("bigint"))) if visits is None else seeded(visits).join(crops, "idx")
         inside = boxes.in_patch(F.col("box"), F.col("window"), F.col("scale"))
         return rows.withColumn("pair", pair_column(self.augmenter, F.col("patch"), inside, F.col("seed")))
 

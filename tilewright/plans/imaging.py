@@ -235,8 +235,8 @@ SEEDS = _seeds_sql()
 # -- not expressible in SQL: numpy's generators ------------------------------------------
 
 
-def synthetic_frames(spark, sf):
-    """Frames made up from the embeddings' ids: vec_id, image, box."""
+def synthetic_frames(spark, sf, **drawn):
+    """Frames made up from the embeddings' ids: vec_id, image, box; and columns drawn from the ids, beneath the images, which would wait for a draw in thousands."""
     in_small_batches(spark)  # the session given, which need not be the active one
 
     @F.pandas_udf("height int, width int, nChannels int, data binary")
@@ -248,21 +248,21 @@ def synthetic_frames(spark, sf):
 
     e = table(spark, sf, "embeddings").select("vec_id")
     at = (F.col("vec_id") % 40).cast("double")
-    return e.select("vec_id", frame("vec_id").alias("image"), boxes.make(30 + at, F.lit(30.0), 74 + at, F.lit(62.0)).alias("box"))
+    return e.select("vec_id", *[c.alias(n) for n, c in drawn.items()], frame("vec_id").alias("image"), boxes.make(30 + at, F.lit(30.0), 74 + at, F.lit(62.0)).alias("box"))
 
 
 def augment_pairs(spark, sf):
     """The whole recipe, with what must hold of each pair."""
-    f = synthetic_frames(spark, sf).withColumn("seed", draws.example_seed(3, 0, F.col("vec_id")))
-    p = f.withColumn("pair", pair_column(Augmenter(), F.col("image"), F.col("box"), F.col("seed")))
+    f = synthetic_frames(spark, sf, seed=draws.example_seed(3, 0, F.col("vec_id")))
+    p = f.withColumn("pair", pair_column(Augmenter(), F.col("image"), F.col("box"), F.col("seed"), fields=("clean", "doctored", "params")))
     return p.select("vec_id", "seed", F.md5("pair.clean").alias("clean"), F.md5("pair.doctored").alias("doctored"), "pair.params", (F.md5("pair.clean") == F.md5("image.data")).alias("clean_is_input"))
 
 
 def blur_noise_stripe(spark, sf):
     """Only the ops that need neighbours or noise."""
     ops = {"blur": {"sigma": (0.5, 1.2), "p": 1.0}, "noise": {}, "stripe": {"p": 1.0, "axis": "both"}}
-    f = synthetic_frames(spark, sf).withColumn("seed", draws.example_seed(4, 0, F.col("vec_id")))
-    p = f.withColumn("pair", pair_column(Augmenter(ops), F.col("image"), F.col("box"), F.col("seed")))
+    f = synthetic_frames(spark, sf, seed=draws.example_seed(4, 0, F.col("vec_id")))
+    p = f.withColumn("pair", pair_column(Augmenter(ops), F.col("image"), F.col("box"), F.col("seed"), fields=("doctored", "params")))
     return p.select("vec_id", F.md5("pair.doctored").alias("doctored"), "pair.params")
 
 
